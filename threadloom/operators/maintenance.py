@@ -154,14 +154,22 @@ def missing_replies(
     With ``batch`` only the head of the queue is looked at (the scheduled job);
     without it the whole queue (the bulk job).
     """
-    queue = issues.filter(F.col("message_count") > 1)
     order = ["fetched_at", "id"]
-    if batch is not None:
-        queue = queue.orderBy(*order).limit(batch)
-    stored = replies.select(F.col("issue_id").alias("id"))
+    queue, stored = _queue(issues, replies, batch)
     return queue.join(stored, "id", "left_anti").orderBy(*order).limit(take)
 
 
+def _queue(issues: DataFrame, replies: DataFrame, batch: int | None) -> tuple[DataFrame, DataFrame]:
+    """The queue (or its head), and the ids in it that have stored replies."""
+    queue = issues.filter(F.col("message_count") > 1)
+    stored = replies.select(F.col("issue_id").alias("id"))
+    if batch is not None:
+        queue = queue.orderBy("fetched_at", "id").limit(batch)
+        # At most ``batch`` ids, so the replies are filtered where they are read.
+        stored = stored.join(F.broadcast(queue.select("id")), "id", "left_semi")
+    return queue, stored.distinct()
+
+
 def rotate_queue(
     issues: DataFrame,
     replies: DataFrame,
@@ -174,11 +182,8 @@ def rotate_queue(
     Handled are the batch members whose replies are stored already, and the
     ones just taken by ``missing_replies``.
     """
-    queue = issues.filter(F.col("message_count") > 1).select("id", "fetched_at")
-    if batch is not None:
-        queue = queue.orderBy("fetched_at", "id").limit(batch)
-    stored = replies.select(F.col("issue_id").alias("id"))
-    synced = queue.join(stored, "id", "left_semi").select("id")
+    queue, stored = _queue(issues, replies, batch)
+    synced = queue.select("id").join(stored, "id", "left_semi")
     taken = missing_replies(issues, replies, batch, take).select("id")
     handled = synced.unionByName(taken).select("id", F.lit(True).alias("_handled"))
     return (

@@ -129,8 +129,10 @@ def themes_from_completions(
     parsed = completions.select(
         "completion_id", F.from_json(_json_object(F.col("answer")), COMPLETION).alias("c")
     )
-    themes = parsed.select("completion_id", F.posexplode("c.themes").alias("pos", "t")).filter(
-        F.size("t.issue_idxs") > 0
+    themes = (
+        parsed.select("completion_id", F.posexplode("c.themes").alias("pos", "t"))
+        .filter(F.size("t.issue_idxs") > 0)
+        .withColumn("n", n_issues.scalar())
     )
     keyword = F.transform(F.slice(F.coalesce("t.keywords", F.array()), 1, 6), lambda k: cut(k, 40))
     clean = themes.select(
@@ -141,7 +143,7 @@ def themes_from_completions(
         keyword.alias("keywords"),
         F.size("t.issue_idxs").alias("count"),
         F.slice(
-            F.filter("t.issue_idxs", lambda i: (i >= 0) & (i < n_issues.scalar())), 1, SAMPLES
+            F.filter("t.issue_idxs", lambda i: (i >= 0) & (i < F.col("n"))), 1, SAMPLES
         ).alias("idxs"),
     )
     ids = (

@@ -1,0 +1,51 @@
+"""Tables kept as versioned Parquet folders.
+
+Parquet files cannot be merged into. Every change writes a new version
+``v=<n>`` next to the old ones and readers take the newest complete one (Spark
+writes ``_SUCCESS`` last), so nothing is overwritten while it is read and a
+repeated batch writes the same version again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+
+class SnapshotTable:
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType) -> None:
+        self.spark = spark
+        self.path = path.rstrip("/")
+        self.schema = schema
+
+    def _fs(self):
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        return jvm, root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root
+
+    def versions(self) -> list[int]:
+        jvm, fs, root = self._fs()
+        if not fs.exists(root):
+            return []
+        found = []
+        for status in fs.listStatus(root):
+            folder = status.getPath()
+            name = folder.getName()
+            if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+                found.append(int(name[2:]))
+        return sorted(found)
+
+    def _folder(self, version: int) -> str:
+        return f"{self.path}/v={version}"
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """The newest version, or the newest one below ``before``; empty if none."""
+        usable = [v for v in self.versions() if before is None or v < before]
+        if not usable:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self._folder(usable[-1]))
+
+    def write(self, df: DataFrame, version: int) -> None:
+        df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in self.schema.fields]).write.mode(
+            "overwrite"
+        ).parquet(self._folder(version))
