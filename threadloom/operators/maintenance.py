@@ -124,9 +124,9 @@ def changed_threads(fetched: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def paged(issues: DataFrame, size: int = 25) -> DataFrame:
-    """Page number of each issue, newest first, active and archived apart."""
-    numbered = positions(issues, ["archived"], [F.desc("created_at"), F.asc("id")], "_at")
-    return numbered.withColumn("page", F.floor(F.col("_at") / size)).drop("_at")
+    """Position and page of each issue, newest first, active and archived apart."""
+    numbered = positions(issues, ["archived"], [F.desc("created_at"), F.asc("id")])
+    return numbered.withColumn("page", F.floor(F.col("position") / size))
 
 
 def caught_up_pages(changes: DataFrame, max_pages: int | None = None) -> DataFrame:
