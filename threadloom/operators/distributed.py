@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 # Values are first counted per block of this width, then only inside the block
@@ -139,18 +139,34 @@ def ranked_top(df: DataFrame, order: Sequence[Column], n: int, rank: str = "rank
     return df.orderBy(*order).limit(n).withColumn(rank, F.row_number().over(Window.orderBy(*order)))
 
 
+# A key with fewer facts than this is never split off.
+_LIGHT = 100_000
+
+
 def lookup_by_key(
-    facts: DataFrame, dim: DataFrame, key: str, weight: str, total: int, heavy_share: int = 1000
+    facts: DataFrame, dim: DataFrame, key: str, weight: str, total: int, heaviest: int,
+    heavy_share: int = 1000, light: int = _LIGHT,
 ) -> DataFrame:
     """Inner join of ``facts`` to one row per key, safe when a key has most facts.
 
-    ``weight`` is the number of facts of the key and ``total`` their sum. Keys
-    with more than total/heavy_share facts number fewer than ``heavy_share``,
-    so those rows of ``dim`` are broadcast. All others are joined by shuffle.
+    ``weight`` is the number of facts of the key, ``heaviest`` the largest of
+    them and ``total`` at least their sum. Keys with more than
+    total/heavy_share facts number fewer than ``heavy_share``, so those rows of
+    ``dim`` are broadcast and their facts stay where they are. All others are
+    joined by shuffle.
     """
-    cut_off = max(total // heavy_share, 1)
+    cut_off = max(total // heavy_share, light)
+    if heaviest <= cut_off:
+        return facts.join(dim.drop(weight), key)
     heavy = F.broadcast(dim.filter(F.col(weight) > cut_off).drop(weight))
-    light = dim.filter(F.col(weight) <= cut_off).drop(weight)
+    rest = dim.filter(F.col(weight) <= cut_off).drop(weight)
     heavy_part = facts.join(heavy, key)
-    light_part = facts.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    light_part = facts.join(F.broadcast(heavy.select(key)), key, "left_anti").join(rest, key)
     return heavy_part.unionByName(light_part)
+
+
+def checkpoint_with(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """Checkpoint a table and return totals over it, taken in the same pass."""
+    seen = Observation()
+    kept = df.observe(seen, *[c.alias(name) for name, c in measures.items()]).checkpoint()
+    return kept, seen.get

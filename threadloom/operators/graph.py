@@ -2,34 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import blank_to_null, cut
-from threadloom.operators.distributed import first_n, lookup_by_key
+from threadloom.operators.distributed import checkpoint_with, first_n, lookup_by_key
 
 
-def _state(edges: DataFrame) -> tuple[int, int | None]:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")
-    ).first()
-    return row["n"], row["h"]
+def _rows() -> Column:
+    return F.count(F.lit(1))
+
+
+def _weighed(smallest: DataFrame) -> tuple[DataFrame, int]:
+    kept, seen = checkpoint_with(smallest, heaviest=F.max("degree"))
+    return kept, seen["heaviest"] or 0
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Connect the larger neighbours of each node to its smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    smallest = both.groupBy("u").agg(
-        F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("degree")
+    smallest, heaviest = _weighed(
+        both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), _rows().alias("degree"))
     )
-    linked = lookup_by_key(both, smallest, "u", "degree", 2 * n)
+    linked = lookup_by_key(both, smallest, "u", "degree", 2 * n, heaviest)
     return linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Connect each node and its smaller neighbours to the smallest of them."""
-    smallest = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
-    linked = lookup_by_key(edges, smallest.select("u", "m", "degree"), "u", "degree", n)
+    smallest, heaviest = _weighed(
+        edges.groupBy("u").agg(F.min("v").alias("m"), _rows().alias("degree"))
+    )
+    linked = lookup_by_key(edges, smallest, "u", "degree", n, heaviest)
     siblings = linked.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return siblings.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct()
 
@@ -38,21 +42,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) of every node of the edges (src, dst); component = smallest id.
 
     Alternates the large-star and small-star steps of Kiveris et al., "Connected
-    Components in MapReduce and Beyond" (SoCC 2014), until the edges form stars.
-    Each round is checkpointed, so a lost executor repeats one round at most.
+    Components in MapReduce and Beyond" (SoCC 2014), until the edges no longer
+    change. Every step is checkpointed, so a lost executor repeats one step.
     """
-    # u > v throughout.
-    now = (
+
+    def kept(df: DataFrame) -> tuple[DataFrame, dict]:
+        return checkpoint_with(df, n=_rows(), mark=F.bit_xor(F.xxhash64("u", "v")))
+
+    # u > v throughout, and no step makes more edges than it gets.
+    now, state = kept(
         edges.filter("src != dst")
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
         .distinct()
-        .checkpoint()
     )
-    state = _state(now)
     for _ in range(max_rounds):
-        large = _large_star(now, state[0]).checkpoint()
-        now = _small_star(large, large.count()).checkpoint()
-        previous, state = state, _state(now)
+        large = _large_star(now, state["n"]).checkpoint()
+        previous = state
+        now, state = kept(_small_star(large, state["n"]))
         if state == previous:
             break
     else:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.functions.text import blank_to_null, cut, tags_from_json
-from threadloom.operators.distributed import first_n, lookup_by_key
+from threadloom.operators.distributed import checkpoint_with, first_n, lookup_by_key
 from threadloom.operators.maintenance import upsert
 
 # Similarity from which two issues are near-duplicates, neighbours
@@ -276,14 +276,14 @@ def knn_join(
     )
     asked = mine.groupBy("gid").agg(F.first("values").alias("values"), F.count(F.lit(1)).alias("copies"))
     # Both are read several times below.
-    asked = asked.checkpoint()
-    pool = (
+    asked, asked_seen = checkpoint_with(asked, total=F.sum("copies"), heaviest=F.max("copies"))
+    pool, pool_seen = checkpoint_with(
         first_n(theirs, ["gid"], [F.asc("id")], keep)
         .groupBy("gid")
-        .agg(F.first("values").alias("values"), F.sort_array(F.collect_list("id")).alias("ids"))
-        .checkpoint()
+        .agg(F.first("values").alias("values"), F.sort_array(F.collect_list("id")).alias("ids")),
+        n=F.count(F.lit(1)),
     )
-    cells = min(max_cells, math.ceil(pool.count() / block))
+    cells = min(max_cells, math.ceil(pool_seen["n"] / block))
     if cells > 1:
         # The fingerprint is a hash, so the first ones are an even sample.
         chosen = pool.orderBy("gid").limit(cells).select("values").toPandas()
@@ -338,10 +338,11 @@ def knn_join(
         .agg(F.collect_list(F.struct("neighbour_id", "score")).alias("found"))
         .join(asked.select("gid", "copies"), "gid")
     )
-    total = asked.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
     members = mine.select(F.col("id").alias("anchor_id"), "gid")
     return (
-        lookup_by_key(members, lists, "gid", "copies", total)
+        lookup_by_key(
+            members, lists, "gid", "copies", asked_seen["total"] or 0, asked_seen["heaviest"] or 0
+        )
         .select("anchor_id", F.inline("found"))
         .filter(F.col("anchor_id") != F.col("neighbour_id"))
     )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -14,9 +16,21 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     shared_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application."""
+    sc = spark.sparkContext
+    package = Path(__file__).resolve().parent
+    if getattr(sc, f"_has_{package.name}", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="run-")) / package.name
+    sc.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
+    setattr(sc, f"_has_{package.name}", True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, used for checkpoints and staging.
 

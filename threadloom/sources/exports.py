@@ -54,7 +54,14 @@ def export_csv(issues: DataFrame, guild_id: str = DEFAULT_GUILD_ID) -> DataFrame
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    (
+        rows.write.option("header", True)
+        .option("escape", '"')
+        .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 # Replies per exported line. Nearly every issue fits on one line.
