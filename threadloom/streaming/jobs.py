@@ -127,7 +127,7 @@ def hourly_recent_sync(
 
     def batch(df: DataFrame, batch_id: int) -> None:
         stored, kept = issues.read(before=batch_id), replies.read(before=batch_id)
-        fetched = _fetched_issues(df.filter("not archived"), channel_id, now)
+        fetched = _fetched_issues(df.filter("not coalesce(archived, false)"), channel_id, now)
         newest = fetched.orderBy(F.desc("created_at"), "id").limit(recent).drop("fetched_at")
         merged = upsert(
             stored,
