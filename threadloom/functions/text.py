@@ -15,9 +15,22 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
+def needed_keywords(keywords: Iterable[str], ruled_out: Iterable[str] = ()) -> list[str]:
+    """Keywords that can still decide a substring test.
+
+    A keyword that contains another one of the list adds nothing, and one that
+    contains a ``ruled_out`` keyword cannot occur in the text.
+    """
+    words = list(dict.fromkeys(k.lower() for k in keywords if k))
+    out = list(ruled_out)
+    return [
+        w for w in words if not any(o in w for o in out) and not any(o != w and o in w for o in words)
+    ]
+
+
 def contains_any(lowered: Column, keywords: Iterable[str]) -> Column:
     """True when the lower-cased text holds one of the keywords (case-insensitive)."""
-    return any_of(lowered.contains(k.lower()) for k in dict.fromkeys(keywords) if k)
+    return any_of(lowered.contains(k) for k in needed_keywords(keywords))
 
 
 def cut(text: Column, n: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.constants import OTHER_THEME, THEME_RULES
-from threadloom.functions.text import blank_to_null, contains_any, cut
+from threadloom.functions.text import blank_to_null, contains_any, cut, needed_keywords
 from threadloom.functions.time import half_up
 from threadloom.operators.distributed import first_n
 from threadloom.schemas import COMPLETION
@@ -30,8 +30,12 @@ def issue_themes(issues: DataFrame, rules: Rules = THEME_RULES) -> DataFrame:
             )
         ).alias("_text"),
     )
+    tests: list[list[str]] = []
+    for _, keywords, _ in rules:
+        # A later rule is only tried on texts without any earlier keyword.
+        tests.append(needed_keywords(keywords, [k for words in tests for k in words]))
     number = F.lit(len(rules))
-    for i, (_, keywords, _) in reversed(list(enumerate(rules))):
+    for i, keywords in reversed(list(enumerate(tests))):
         number = F.when(contains_any(F.col("_text"), keywords), i).otherwise(number)
     return lowered.select("id", "created_at", number.alias("theme_no"))
 

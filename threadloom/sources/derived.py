@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from threadloom.operators.maintenance import paged
 from threadloom.operators.response import issue_response
 from threadloom.schemas import ISSUE
-from threadloom.session import configure
+from threadloom.session import configure, spread_small
 
 # The resolution word that occurs in the replies derived here.
 KEYWORDS = ("ring",)
@@ -123,7 +123,9 @@ class Forum:
             F.when(toxic == 1, -0.8).when(quality == 1, 0.6).otherwise(0.0).alias("sentiment_score"),
             F.concat(F.lit("quality "), quality.cast("string")).alias("sentiment_summary"),
         )
-        return self.table("documents").select("doc_id", "text").join(labels, "doc_id", "left")
+        documents = self.table("documents").select("doc_id", "text", "lang", "source")
+        spread = spread_small(documents, f"{self.folder}/documents.parquet", "doc_id")
+        return spread.join(labels, "doc_id", "left")
 
     def with_text(self, threads: DataFrame) -> DataFrame:
         """Add name, first message and sentiment. Each document serves many threads."""
@@ -137,7 +139,7 @@ class Forum:
                     "first_message_content": F.coalesce("text", F.lit("")),
                 }
             )
-            .drop("doc_id", "text")
+            .drop("doc_id", "text", "lang", "source")
         )
 
     @cached_property
@@ -185,9 +187,7 @@ class Forum:
     @cached_property
     def document_issues(self) -> DataFrame:
         """One issue per document, for the text reports."""
-        return self._documents().join(
-            self.table("documents").select("doc_id", "lang", "source"), "doc_id"
-        ).select(
+        return self._documents().select(
             F.col("doc_id").cast("string").alias("id"),
             F.col("source").alias("channel_id"),
             F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"),
