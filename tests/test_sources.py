@@ -8,7 +8,7 @@ from rows import at, issues, replies
 
 from threadloom.operators import maintenance as M
 from threadloom.operators import normalize as Z
-from threadloom.schemas import ISSUE
+from threadloom.schemas import ISSUE, REPLY
 from threadloom.sources import exports as X
 from threadloom.sources import forum_json as J
 from threadloom.sources import tables as B
@@ -113,6 +113,30 @@ def test_snapshots(spark, tmp_path):
     assert table.versions() == [0, 1] and table.read().count() == 2 and table.read(before=1).count() == 1
 
 
+def test_changes_replace_keys(spark, tmp_path):
+    schema = REPLY
+    table = SnapshotTable(spark, str(tmp_path / "t"), schema, ["issue_id"], max_changes=3)
+
+    def rows(*pairs):
+        r = replies(spark, *[{"id": i, "issue_id": k} for i, k in pairs])
+        return r.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema.fields if f.name not in r.columns})
+
+    def state(**at_batch):
+        return {r["id"] for r in table.read(**at_batch).collect()}
+
+    table.write(rows(("a", "1"), ("b", "2")), -1)
+    table.merge(rows(("c", "1"), ("d", "1")), 0)
+    assert state() == {"b", "c", "d"}
+    table.merge(rows(("e", "3")), 1, spark.createDataFrame([("2",), ("3",)], "issue_id string"))
+    assert state() == {"c", "d", "e"} and state(before=1) == {"b", "c", "d"}
+    table.merge(rows(("f", "3")), 1)  # the batch runs again, with another result
+    assert state() == {"b", "c", "d", "f"}
+    table.merge(rows(("g", "1")), 2)  # the third change: written in full
+    assert table.versions() == [-1, 2] and state() == {"b", "f", "g"}
+    table.merge(rows(("h", "2")), 3)
+    assert state() == {"f", "g", "h"} and state(before=2) == {"b", "c", "d", "f"}
+
+
 @pytest.fixture
 def export_input(spark):
     i = issues(

@@ -36,6 +36,11 @@ def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     )
 
 
+def of_keys(table: DataFrame, wanted: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
+    """The rows of a large table that have one of the wanted keys."""
+    return table.join(wanted.select(*keys), list(keys), "left_semi")
+
+
 def upsert(
     target: DataFrame,
     source: DataFrame,
@@ -47,9 +52,8 @@ def upsert(
     """New state of ``target`` after insert-or-update by ``source`` (one row per key).
 
     Only ``columns`` are overwritten in a matched row. ``stamps`` sets columns of
-    every touched row. Two joins instead of a full outer one: a small batch is
-    then broadcast against the large target, of which only the key column is
-    needed to find the new rows.
+    every touched row. No full outer join: a small batch is broadcast against
+    the large target, which is then not shuffled at all.
     """
     columns = [c for c in (columns or source.columns) if c != key and c in target.columns]
     stamps = dict(stamps or {})
@@ -75,7 +79,8 @@ def upsert(
         return value.cast(fields[name]).alias(name)
 
     kept = target.join(incoming, key, "left").select(*[updated(c) for c in target.columns])
-    new = source.join(target.select(key), key, "left_anti").select(*[inserted(c) for c in target.columns])
+    known = of_keys(target.select(key), source, [key])
+    new = source.join(known, key, "left_anti").select(*[inserted(c) for c in target.columns])
     return kept.unionByName(new)
 
 
@@ -110,7 +115,9 @@ def _differs(pairs: Sequence[tuple[str, str]]) -> Column:
 def changed_threads(fetched: DataFrame, stored: DataFrame) -> DataFrame:
     """Fetched issues with ``change``: new, changed or same."""
     watched = ["message_count", "archived", "locked"]
-    old = stored.select("id", F.lit(True).alias("_known"), *[F.col(c).alias(f"_{c}") for c in watched])
+    old = of_keys(stored.select("id", *watched), fetched).select(
+        "id", F.lit(True).alias("_known"), *[F.col(c).alias(f"_{c}") for c in watched]
+    )
     change = (
         F.when(F.col("_known").isNull(), "new")
         .when(_differs([(c, f"_{c}") for c in watched]), "changed")
@@ -170,6 +177,15 @@ def _queue(issues: DataFrame, replies: DataFrame, batch: int | None) -> tuple[Da
     return queue, stored.distinct()
 
 
+def handled_queue(
+    issues: DataFrame, replies: DataFrame, batch: int | None = 20, take: int = 10
+) -> DataFrame:
+    """Ids of the batch whose replies are stored already or were just taken."""
+    queue, stored = _queue(issues, replies, batch)
+    synced = queue.select("id").join(stored, "id", "left_semi")
+    return synced.unionByName(missing_replies(issues, replies, batch, take).select("id"))
+
+
 def rotate_queue(
     issues: DataFrame,
     replies: DataFrame,
@@ -177,15 +193,8 @@ def rotate_queue(
     batch: int | None = 20,
     take: int = 10,
 ) -> DataFrame:
-    """Move the handled head of the reply queue to its end.
-
-    Handled are the batch members whose replies are stored already, and the
-    ones just taken by ``missing_replies``.
-    """
-    queue, stored = _queue(issues, replies, batch)
-    synced = queue.select("id").join(stored, "id", "left_semi")
-    taken = missing_replies(issues, replies, batch, take).select("id")
-    handled = synced.unionByName(taken).select("id", F.lit(True).alias("_handled"))
+    """Move the handled head of the reply queue to its end."""
+    handled = handled_queue(issues, replies, batch, take).withColumn("_handled", F.lit(True))
     return (
         issues.join(handled, "id", "left")
         .withColumn(

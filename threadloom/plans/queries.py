@@ -866,7 +866,7 @@ def backup_ndjson(f: Forum) -> DataFrame:
 @query
 def incremental_sync(f: Forum) -> DataFrame:
     spark, home = f.spark, staging_path(f.spark, "sync")
-    issues, replies = SnapshotTable(spark, f"{home}/issues", ISSUE), SnapshotTable(spark, f"{home}/replies", REPLY)
+    issues, replies = SnapshotTable(spark, f"{home}/issues", ISSUE), SnapshotTable(spark, f"{home}/replies", REPLY, ["issue_id"])
     key = F.col("id").cast("bigint")
     old = f.stored.filter(key % 7 != 0).withColumns(
         {
@@ -902,7 +902,7 @@ def incremental_sync(f: Forum) -> DataFrame:
 @query
 def hourly_recent_sync(f: Forum) -> DataFrame:
     spark, home = f.spark, staging_path(f.spark, "hourly")
-    issues, replies = SnapshotTable(spark, f"{home}/issues", ISSUE), SnapshotTable(spark, f"{home}/replies", REPLY)
+    issues, replies = SnapshotTable(spark, f"{home}/issues", ISSUE), SnapshotTable(spark, f"{home}/replies", REPLY, ["issue_id"])
     issues.write(f.stored.filter("cast(id as bigint) % 7 != 0"), -1)
     messages = f.write_messages(f"{home}/messages")
     jobs.hourly_recent_sync(
@@ -923,7 +923,7 @@ def hourly_recent_sync(f: Forum) -> DataFrame:
 @query
 def note_sync(f: Forum) -> DataFrame:
     spark, home = f.spark, staging_path(f.spark, "notes")
-    table = SnapshotTable(spark, f"{home}/notes", NOTE)
+    table = SnapshotTable(spark, f"{home}/notes", NOTE, ["issue_id", "user_id"])
     table.write(_notes(f, False), -1)
     _notes(f, True).write.parquet(f"{home}/incoming")
     jobs.note_sync(jobs.note_stream(spark, f"{home}/incoming"), table, f"{home}/checkpoint")
@@ -936,7 +936,7 @@ def stream_daily_stats(f: Forum) -> DataFrame:
     issues = f.event_issues.select("created_at", "channel_id", "message_count", "is_answered")
     issues.write.parquet(f"{home}/incoming")
     stats = jobs.stream_daily_stats(spark.readStream.schema(issues.schema).parquet(f"{home}/incoming"))
-    table = SnapshotTable(spark, f"{home}/stats", stats.schema)
+    table = SnapshotTable(spark, f"{home}/stats", stats.schema, ["date", "channel_id"])
     jobs.write_daily_stats(stats, table, f"{home}/checkpoint")
     return table.read()
 

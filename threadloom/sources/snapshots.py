@@ -1,51 +1,101 @@
-"""Tables kept as versioned Parquet folders.
+"""Tables kept as Parquet folders: full versions and the changes since.
 
-Parquet files cannot be merged into. Every change writes a new version
-``v=<n>`` next to the old ones and readers take the newest complete one (Spark
-writes ``_SUCCESS`` last), so nothing is overwritten while it is read and a
-repeated batch writes the same version again.
+Parquet files cannot be merged into, and a large table should not be rewritten
+for a small batch. So a table is a full version ``v=<n>`` plus changes
+``d=<n>``, numbered by batch. A change holds keys and the rows that replace all
+rows of those keys. Readers combine the newest full version with the later
+changes; after some changes the table is written in full again.
+
+Nothing is overwritten while it is read, only folders with a ``_SUCCESS`` file
+count, and a batch that runs again writes the same folders again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 class SnapshotTable:
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType) -> None:
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        schema: T.StructType,
+        key: Sequence[str] = ("id",),
+        max_changes: int = 24,
+    ) -> None:
         self.spark = spark
         self.path = path.rstrip("/")
         self.schema = schema
+        self.key = list(key)
+        self.max_changes = max_changes
 
-    def _fs(self):
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root
-
-    def versions(self) -> list[int]:
-        jvm, fs, root = self._fs()
+    def _complete(self, prefix: str, parts: Sequence[str]) -> list[int]:
+        """Numbers of the folders with this prefix whose parts are all written."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        root = hadoop.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(root):
             return []
-        found = []
-        for status in fs.listStatus(root):
-            folder = status.getPath()
-            name = folder.getName()
-            if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
-                found.append(int(name[2:]))
-        return sorted(found)
+        folders = [s.getPath() for s in fs.listStatus(root)]
+        return sorted(
+            int(f.getName()[len(prefix) :])
+            for f in folders
+            if f.getName().startswith(prefix)
+            and all(fs.exists(hadoop.Path(f, f"{p}_SUCCESS")) for p in parts)
+        )
+
+    def versions(self) -> list[int]:
+        return self._complete("v=", [""])
 
-    def _folder(self, version: int) -> str:
-        return f"{self.path}/v={version}"
+    def changes(self) -> list[int]:
+        return self._complete("d=", ["rows/", "keys/"])
+
+    def _typed(self, df: DataFrame) -> DataFrame:
+        return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in self.schema.fields])
+
+    def _key_schema(self) -> T.StructType:
+        return T.StructType([self.schema[k] for k in self.key])
 
     def read(self, before: int | None = None) -> DataFrame:
-        """The newest version, or the newest one below ``before``; empty if none."""
-        usable = [v for v in self.versions() if before is None or v < before]
-        if not usable:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._folder(usable[-1]))
+        """The current state, or the state before a batch; empty if there is none."""
+        def usable(numbers: list[int]) -> list[int]:
+            return [n for n in numbers if before is None or n < before]
+
+        full = usable(self.versions())
+        if full:
+            base = self.spark.read.schema(self.schema).parquet(f"{self.path}/v={full[-1]}")
+        else:
+            base = self.spark.createDataFrame([], self.schema)
+        later = [n for n in usable(self.changes()) if not full or n > full[-1]]
+        if not later:
+            return base
+
+        def read_all(part: str, schema: T.StructType) -> DataFrame:
+            numbered = T.StructType([*schema.fields, T.StructField("_n", T.LongType())])
+            return self.spark.read.schema(numbered).parquet(*[f"{self.path}/d={n}/{part}" for n in later])
+
+        newest = read_all("keys", self._key_schema()).groupBy(*self.key).agg(F.max("_n").alias("_n"))
+        fresh = read_all("rows", self.schema).join(newest, [*self.key, "_n"], "left_semi")
+        kept = base.join(newest.select(*self.key), self.key, "left_anti")
+        return kept.select(*self.schema.names).unionByName(fresh.select(*self.schema.names))
 
     def write(self, df: DataFrame, version: int) -> None:
-        df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in self.schema.fields]).write.mode(
-            "overwrite"
-        ).parquet(self._folder(version))
+        """Write the table in full."""
+        self._typed(df).write.mode("overwrite").parquet(f"{self.path}/v={version}")
+
+    def merge(self, rows: DataFrame, version: int, keys: DataFrame | None = None) -> None:
+        """Replace all rows of the keys (those of ``rows`` unless given)."""
+        number = F.lit(version).cast("bigint").alias("_n")
+        keys = (rows if keys is None else keys).select(*self.key).distinct()
+        folder = f"{self.path}/d={version}"
+        self._typed(rows).select("*", number).write.mode("overwrite").parquet(f"{folder}/rows")
+        keys.select("*", number).write.mode("overwrite").parquet(f"{folder}/keys")
+        full = self.versions()
+        open_changes = [n for n in self.changes() if n <= version and (not full or n > full[-1])]
+        if len(open_changes) >= self.max_changes:
+            self.write(self.read(before=version + 1), version)

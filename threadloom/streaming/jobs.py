@@ -1,8 +1,12 @@
 """Scheduled jobs as Structured Streaming with ``availableNow``.
 
 Each job reads new files since its last run (the checkpoint remembers them) and
-merges every micro-batch into snapshot tables. Table versions are batch numbers,
-so a batch that runs again after a failure writes the same version again.
+merges every micro-batch into snapshot tables, writing only the rows it changed.
+Changes are numbered by batch, so a batch that runs again after a failure writes
+the same change again.
+
+Tables: issues are keyed by id, replies by issue_id, notes by issue and user,
+daily totals by date and channel.
 """
 
 from __future__ import annotations
@@ -14,12 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.constants import RESOLUTION_KEYWORDS
+from threadloom.functions.time import now_literal
 from threadloom.operators.maintenance import (
     changed_threads,
+    handled_queue,
     latest_by_key,
     missing_replies,
-    replace_replies,
-    rotate_queue,
+    of_keys,
     upsert,
     upsert_issues,
     upsert_replies,
@@ -94,7 +99,7 @@ def incremental_sync(
         stored, kept = issues.read(before=batch_id), replies.read(before=batch_id)
         fetched = _fetched_issues(df, channel_id, now)
         changed = changed_threads(fetched, stored).filter("change != 'same'").drop("change").checkpoint()
-        merged = upsert_issues(stored, changed, now=now)
+        merged = upsert_issues(of_keys(stored, changed), changed, now=now)
         refresh = changed.filter("message_count > 1")
         if max_refresh is not None:
             refresh = refresh.orderBy(F.desc("created_at"), "id").limit(max_refresh)
@@ -105,8 +110,9 @@ def incremental_sync(
             fresh = fresh.withColumn(name, F.lit(None).cast(kept.schema[name].dataType))
         fresh = fresh.checkpoint()
         response = issue_response(refresh, fresh, keywords)
-        replies.write(replace_replies(kept, refresh, fresh), batch_id)
-        issues.write(upsert(merged, response, "id", ANALYTICS_COLUMNS), batch_id)
+        # All replies of a refreshed thread are replaced, also by none.
+        replies.merge(fresh, batch_id, refresh.select(F.col("id").alias("issue_id")))
+        issues.merge(upsert(merged, response, "id", ANALYTICS_COLUMNS), batch_id)
 
     run_available(pages, batch, checkpoint)
 
@@ -128,19 +134,25 @@ def hourly_recent_sync(
     def batch(df: DataFrame, batch_id: int) -> None:
         stored, kept = issues.read(before=batch_id), replies.read(before=batch_id)
         fetched = _fetched_issues(df.filter("not coalesce(archived, false)"), channel_id, now)
-        newest = fetched.orderBy(F.desc("created_at"), "id").limit(recent).drop("fetched_at")
-        merged = upsert(
-            stored,
+        newest = fetched.orderBy(F.desc("created_at"), "id").limit(recent).drop("fetched_at").checkpoint()
+        touched = upsert(
+            of_keys(stored, newest),
             newest,
             "id",
             defaults={"is_answered": False, "responder_count": 0, "resolution_status": "unknown"},
-            stamps={"updated_at": F.current_timestamp() if now is None else F.lit(now).cast("timestamp")},
+            stamps={"updated_at": now_literal(now)},
         )
-        merged = merged.withColumn("fetched_at", F.coalesce("fetched_at", "updated_at")).checkpoint()
-        todo = missing_replies(merged, kept, queue, take)
+        touched = touched.withColumn("fetched_at", F.coalesce("fetched_at", "updated_at")).checkpoint()
+        current = stored.join(touched.select("id"), "id", "left_anti").unionByName(touched)
+        todo = missing_replies(current, kept, queue, take).checkpoint()
         fresh = reply_rows(_messages_of(messages, todo, 100), now)
-        replies.write(upsert_replies(kept, fresh), batch_id)
-        issues.write(rotate_queue(merged, kept, now, queue, take), batch_id)
+        ids = todo.select(F.col("id").alias("issue_id"))
+        replies.merge(upsert_replies(of_keys(kept, ids, ["issue_id"]), fresh), batch_id, ids)
+
+        handled = handled_queue(current, kept, queue, take).withColumn("_handled", F.lit(True)).checkpoint()
+        moved = of_keys(current, touched.select("id").unionByName(handled.select("id")))
+        again = F.when(F.col("_handled"), now_literal(now)).otherwise(F.col("fetched_at"))
+        issues.merge(moved.join(handled, "id", "left").withColumn("fetched_at", again), batch_id)
 
     run_available(pages, batch, checkpoint)
 
@@ -153,8 +165,8 @@ def note_sync(
     def batch(df: DataFrame, batch_id: int) -> None:
         stored = notes.read(before=batch_id)
         newest = latest_by_key(df, list(keys), ["updated_at", "version", "id"])
-        merged = note_merge_lww(stored, newest.select(*stored.columns), keys)
-        notes.write(merged.drop("origin"), batch_id)
+        old = of_keys(stored, newest, keys)
+        notes.merge(note_merge_lww(old, newest.select(*stored.columns), keys).drop("origin"), batch_id)
 
     run_available(incoming, batch, checkpoint)
 
@@ -187,9 +199,7 @@ def write_daily_stats(stats: DataFrame, table: SnapshotTable, checkpoint: str) -
     """Keep the table equal to the newest totals of every day and channel."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        old = table.read(before=batch_id)
-        kept = old.join(df.select("date", "channel_id"), ["date", "channel_id"], "left_anti")
-        table.write(kept.unionByName(df.select(*old.columns)), batch_id)
+        table.merge(df, batch_id)
 
     query = (
         stats.writeStream.outputMode("update")
