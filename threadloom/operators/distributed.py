@@ -44,9 +44,14 @@ def values_at_ranks(
     hits = (
         blocks.select(*keys, "_b", "_hi", (F.col("_hi") - F.col("_bc")).alias("_lo"), wanted.alias("_w"))
         .filter((F.col("_w.rank") >= F.col("_lo")) & (F.col("_w.rank") < F.col("_hi")))
-        .select(*keys, "_b", "_lo", "_w.name", "_w.rank")
+        .select(*[F.col(k).alias(f"_{k}") for k in keys], "_b", "_lo", "_w.name", "_w.rank")
     )
-    inside = counted.withColumn("_b", F.floor(F.col("_v") / F.lit(_BLOCK))).join(hits, [*keys, "_b"])
+    # Null-safe equality keeps groups with a null key. It also adds no filters to
+    # ``counted``, so that both its uses share one shuffle.
+    same = F.floor(F.col("_v") / F.lit(_BLOCK)).eqNullSafe(F.col("_b"))
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    inside = counted.join(hits, same)
     running = (
         Window.partitionBy(*keys, "name")
         .orderBy("_v")

@@ -27,8 +27,12 @@ def global_metrics(issues: DataFrame) -> DataFrame:
         F.count_distinct("owner_id").alias("unique_users"),
         F.count_if(F.col("archived")).alias("archived_issues"),
     )
-    medians = interpolated_median(issues, ["channel_id"], "response_time_ms", "median_response_time_ms")
-    return kpis.join(medians, "channel_id", "left")
+    median = "median_response_time_ms"
+    medians = interpolated_median(issues, ["channel_id"], "response_time_ms", median).select(
+        F.col("channel_id").alias("_channel"), median
+    )
+    same = F.col("channel_id").eqNullSafe(F.col("_channel"))
+    return kpis.join(medians, same, "left").drop("_channel")
 
 
 def daily_stats(issues: DataFrame) -> DataFrame:

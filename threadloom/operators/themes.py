@@ -44,7 +44,8 @@ def keyword_themes(
     issues: DataFrame, rules: Rules = THEME_RULES, channel_id: str | None = None
 ) -> DataFrame:
     """Themes with count and newest sample ids, largest first and Other last."""
-    themed = issue_themes(issues, rules)
+    # Read twice; the texts should be searched once.
+    themed = issue_themes(issues, rules).checkpoint()
     return summarize_themes(themed, rules, channel_id)
 
 
@@ -86,7 +87,7 @@ def theme_share(themes: DataFrame, total: DataFrame) -> DataFrame:
 
     ``total`` is a one-row, one-column count of the issues.
     """
-    biggest = themes.agg(F.max("count")).scalar()
+    biggest = F.max("count").over(Window.partitionBy())  # one row per theme
     whole = total.scalar()
     count = F.col("count")
     return themes.select(

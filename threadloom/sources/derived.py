@@ -252,7 +252,8 @@ class Forum:
 
     def write_pages(self, path: str, size: int = 25) -> str:
         """Search pages as JSON lines. Every fifth thread lacks its first message."""
-        docs = paged(self.thread_docs, size)
+        places = paged(self.threads.select("id", "archived", "created_at"), size)
+        docs = self.thread_docs.join(places.select("id", "position", "page"), "id")
         present = F.col("okey") % 5 != 0
         pages = docs.groupBy("archived", "page").agg(
             F.sort_array(F.collect_list(F.struct("position", "thread"))).alias("t"),

@@ -76,10 +76,22 @@ def export_json(issues: DataFrame, replies: DataFrame, per_line: int = REPLIES_P
     """
     fields = ["id", "author_id", "author_username", "author_global_name", "content", "timestamp",
               "has_attachment", "attachment_count"]
-    placed = positions(replies.select("issue_id", *fields), ["issue_id"], [F.asc("timestamp"), F.asc("id")], "_at")
+    rows = replies.select("issue_id", *fields)
+    long_ones = (
+        replies.groupBy("issue_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > per_line).select("issue_id")
+    )
+    # Only the replies of long threads are numbered, and without their texts.
+    numbered = positions(
+        replies.select("issue_id", "id", "timestamp").join(long_ones, "issue_id", "left_semi"),
+        ["issue_id"],
+        [F.asc("timestamp"), F.asc("id")],
+        "_at",
+    ).select("issue_id", "id", F.floor(F.col("_at") / per_line).alias("part"))
+    short = rows.join(long_ones, "issue_id", "left_anti").withColumn("part", F.lit(0).cast("bigint"))
+    parted = short.unionByName(rows.join(numbered, ["issue_id", "id"]))
     parts = (
-        placed.groupBy("issue_id", F.floor(F.col("_at") / per_line).alias("part"))
-        .agg(F.sort_array(F.collect_list(F.struct("_at", F.struct(*fields).alias("r")))).alias("_rows"))
+        parted.groupBy("issue_id", "part")
+        .agg(F.sort_array(F.collect_list(F.struct("timestamp", "id", F.struct(*fields).alias("r")))).alias("_rows"))
         .select(F.col("issue_id").alias("id"), "part", F.col("_rows.r").alias("replies"))
     )
     return issues.join(parts, "id", "left").withColumns(
@@ -163,12 +175,9 @@ def summary_report(
         F.count_if(F.col("sentiment") == "frustrated").alias("frustrated"),
         F.count_if(F.col("sentiment") == "resolved").alias("resolved"),
         F.count_if(F.col("sentiment") != "").alias("scored"),
-    ).withColumns(
-        {
-            "rate": analytics.select("response_rate").scalar(),
-            "wait": analytics.select("avg_response_time_ms").scalar(),
-        }
     )
+    both = F.struct(F.col("response_rate").alias("rate"), F.col("avg_response_time_ms").alias("wait"))
+    totals = totals.withColumn("_a", analytics.select(both).scalar()).select("*", "_a.rate", "_a.wait")
 
     def row(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"| {name} | "), value.cast("string"), F.lit(" |"))
