@@ -93,8 +93,9 @@ def components_by_union_find(edges):
     return {x: find(x) for x in parent}
 
 
+@pytest.mark.parametrize("light", [5, 10**6])
 @pytest.mark.parametrize("kind", ["random", "star", "path", "none"])
-def test_components_equal_union_find(spark, kind, monkeypatch):
+def test_components_equal_union_find(spark, kind, light, monkeypatch):
     rng = np.random.default_rng(11)
     edges = {
         "random": [(f"{a:03d}", f"{b:03d}") for a, b in rng.integers(300, size=(220, 2)) if a != b],
@@ -104,6 +105,7 @@ def test_components_equal_union_find(spark, kind, monkeypatch):
     }[kind]
     # Every hub of the star takes the path for heavy keys.
     monkeypatch.setattr(G.lookup_by_key, "__defaults__", (1000, 5))
+    monkeypatch.setattr(G, "LIGHT", light)
     df = spark.createDataFrame(edges, "src string, dst string")
     got = {r["id"]: r["component"] for r in G.connected_components(df).collect()}
     assert got == components_by_union_find(edges)

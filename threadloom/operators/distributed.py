@@ -145,12 +145,12 @@ def ranked_top(df: DataFrame, order: Sequence[Column], n: int, rank: str = "rank
 
 
 # A key with fewer facts than this is never split off.
-_LIGHT = 100_000
+LIGHT = 100_000
 
 
 def lookup_by_key(
     facts: DataFrame, dim: DataFrame, key: str, weight: str, total: int, heaviest: int,
-    heavy_share: int = 1000, light: int = _LIGHT,
+    heavy_share: int = 1000, light: int = LIGHT,
 ) -> DataFrame:
     """Inner join of ``facts`` to one row per key, safe when a key has most facts.
 
