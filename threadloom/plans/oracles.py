@@ -826,6 +826,12 @@ _add(
   case when doc_id % 6 <> 0 then 'Tags: ' || applied_tags[1] end), {_ws}), 8000) as text from document_issues)
 select id, md5(text) as text, length(text) as n from x""",
 )
+_add(
+    "embed_issues",
+    "document_issues",
+    """select 'issue:' || id as id, channel_id as channelId, coalesce(sentiment, '') as sentiment,
+  cast(512 as bigint) as dimension, cast(1 as double) as norm from document_issues""",
+)
 _add(
     "vector_upsert",
     "vectors",
@@ -841,6 +847,12 @@ _add(
     """select component as id, coalesce(left(any_value(name), 80), 'cluster-' || component) as name, cast(null as varchar) as description,
   count(*) as issue_count from components left join vector_issues v on v.id = component group by component""",
 )
+# The scheduled job looks for neighbours of the 500 oldest unclustered issues only.
+_sql["daily_clustering_vectors"] = _sql["build_clusters"].replace(
+    "from neighbours)",
+    """from neighbours where anchor_id in
+  (select cast(vec_id as varchar) from embeddings where vec_id % 10 <> 0 order by vec_id limit 500))""",
+)
 _add(
     "assign_clusters",
     "components vector_issues",
