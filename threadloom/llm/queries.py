@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import quality, sharding, url_filter
+from threadloom.llm import bpe, quality, sharding, url_filter
 from threadloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +66,16 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "lost_share", "kept",
     )
+
+
+@_query
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text, and digests of its ids and of what they decode to."""
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = _table(spark, sf_dir, "documents")
+    tokens = bpe.encode(docs, vocabulary, public_tokenizers.PATTERN)
+    hashed = tokens.withColumn("ids_sha256", F.sha2("token_ids", 256))
+    decoded = bpe.decode(hashed, vocabulary)
+    return decoded.select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
