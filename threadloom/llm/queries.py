@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, quality, sharding, url_filter
+from threadloom.llm import bpe, neardup, quality, sharding, url_filter
 from threadloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@_query
+def op10_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document, by 4-word shingles and similarity 0.8."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), neardup.Similarity(shingle_words=4))
