@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, neardup, quality, sharding, url_filter
+from threadloom.llm import bpe, neardup, quality, sharding, substring, url_filter
+from threadloom.llm.common import words
 from threadloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +86,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document, by 4-word shingles and similarity 0.8."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), neardup.Similarity(shingle_words=4))
+
+
+@_query
+def op6_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents less their repeated 13-word windows, as a digest of the kept words."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = substring.remove_repeats(docs)
+    line = F.array_join(words(F.col("text")), " ")
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(line, 256).alias("kept_sha256"))
