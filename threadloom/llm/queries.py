@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, neardup, quality, sharding, substring, url_filter
+from threadloom.llm import bpe, decontam, langid, neardup, quality, sharding, substring, url_filter
 from threadloom.llm.common import words
 from threadloom.session import configure
 
@@ -95,3 +95,20 @@ def op6_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.remove_repeats(docs)
     line = F.array_join(words(F.col("text")), " ")
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(line, 256).alias("kept_sha256"))
+
+
+@_query
+def op7_size_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found inside documents, by 5-word shingles and containment 0.8."""
+    found = decontam.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "n_shared")
+
+
+@_query
+def op8_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text; a quarter of the documents is held out of training."""
+    docs = _table(spark, sf_dir, "documents")
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    docs = docs.withColumn("held_out", F.coalesce(part == 2, F.lit(False)))
+    model = langid.train(docs.filter(~F.col("held_out")))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model)
