@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, decontam, langid, neardup, quality, sharding, substring, url_filter
+from threadloom.llm import (
+    bpe,
+    decontam,
+    langid,
+    neardup,
+    quality,
+    quotes,
+    sharding,
+    substring,
+    url_filter,
+    warc,
+)
 from threadloom.llm.common import words
 from threadloom.session import configure
 
@@ -112,3 +123,47 @@ def op8_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("held_out", F.coalesce(part == 2, F.lit(False)))
     model = langid.train(docs.filter(~F.col("held_out")))
     return langid.predict(docs.select("doc_id", "held_out", "text"), model)
+
+
+ARCHIVE_BYTES = 16 << 20
+
+
+def damaged(records: DataFrame) -> DataFrame:
+    """A second replica: some records altered, some lost, some with one more at the same place."""
+    n = F.col("record_id")
+    kept = records.filter(F.pmod(n, F.lit(101)) != 7)
+    altered = F.when(F.pmod(n, F.lit(97)) == 5, F.sha2(F.concat("digest", F.lit("x")), 256)).otherwise(F.col("digest"))
+    more = records.filter(F.pmod(n, F.lit(103)) == 9).withColumn("offset", F.col("offset") + 1)
+    return kept.withColumn("digest", altered).unionByName(more)
+
+
+@_query
+def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a damaged replica of the crawl's archives differs from the first."""
+    records = warc.layout(_table(spark, sf_dir, "pages"), ARCHIVE_BYTES).checkpoint()
+    return warc.audit(records, damaged(records))
+
+
+def mail(turns: DataFrame) -> DataFrame:
+    """The conversations as mail: a turn quotes the one before it, and what that one quoted.
+
+    Every fifth turn answers the one before the last instead.
+    """
+    quote = F.lit("(?m)^")
+    step = F.when((F.col("turn") % 5 == 4) & (F.col("turn") > 1), 2).otherwise(1)
+    now = turns.select("conv_id", "turn", "text", (F.col("turn") - step).alias("to"))
+    back = turns.select("conv_id", F.col("turn").alias("to"), F.col("text").alias("first"), (F.col("turn") - 1).alias("older"))
+    last = turns.select("conv_id", F.col("turn").alias("older"), F.col("text").alias("second"))
+    joined = now.join(back, ["conv_id", "to"], "left").join(last, ["conv_id", "older"], "left")
+    inner = F.coalesce(F.concat(F.regexp_replace("second", quote, F.lit(">> ")), F.lit("\n")), F.lit(""))
+    outer = F.coalesce(F.concat(inner, F.regexp_replace("first", quote, F.lit("> ")), F.lit("\n\n")), F.lit(""))
+    return joined.select("conv_id", "turn", F.concat(outer, "text").alias("text"))
+
+
+@_query
+def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations rebuilt from the quotes of their messages."""
+    found = quotes.conversations(mail(_table(spark, sf_dir, "conversations")))
+    return found.select(
+        "conv_id", "turn", "root", "parent", "depth", "position", F.sha2("own_text", 256).alias("own_sha256")
+    )
