@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from threadloom.llm import quality
+from threadloom.llm import bpe, decontam, neardup, quality, substring
 from threadloom.session import configure, staging_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -18,8 +20,47 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.clean_documents(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate class, that of smallest doc_id."""
+    configure(spark)
+    return neardup.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take out passages that an earlier document holds; documents left without a word go."""
+    configure(spark)
+    kept = substring.remove_repeats(docs)
+    stays = (F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))
+    new = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))
+    return kept.filter(stays).withColumn("n_chars", new.cast("bigint")).select(*docs.columns)
+
+
+def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that contain a benchmark item."""
+    configure(spark)
+    return decontam.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with a check that they decode to its text."""
+    configure(spark)
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    labelled = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    keys = ["doc_id", "lang", "source", "text_sha256"]
+    encoded = bpe.encode(labelled, vocabulary, public_tokenizers.PATTERN, keys=keys)
+    both = bpe.decode(encoded.withColumn("_ids", F.col("token_ids")), vocabulary, ids="_ids")
+    return both.select(
+        "doc_id", "lang", "source", "n_tokens", "token_ids",
+        F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "text_sha256",
+    )
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_items", benchmark_items),
+    ("tokens", tokens),
 ]
 
 # Tokens and components are beyond SQL; the stages are tested against brute force.
