@@ -12,7 +12,7 @@ from threadloom.llm.common import SPACES, let, without, words
 # Fixed values.
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = ("|", "»", "›", "•", "·", ">", "/")
-SENTENCE_END = "[.!?\\u2026\\u3002\\uFF01\\uFF1F][\"'\\)\\]\\u00BB\\u201C\\u201D\\u2019]*([ \\t\\r]|$)"
+SENTENCE_END = "[.!?\\u2026\\u3002\\uFF01\\uFF1F][\"'\\)\\]\\u00BB\\u201C\\u201D\\u2019]*([ \\t\\r]|\\z)"
 BOILERPLATE = (
     "all rights reserved",
     "cookie policy",
