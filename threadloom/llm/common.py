@@ -48,6 +48,14 @@ def shingle_hashes(tokens: Column, size: int) -> Column:
     return let(tokens, of)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as it takes to be new in ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` less the columns that an operator is about to add (names match as Spark matches them)."""
     taken = {n.lower() for n in names}

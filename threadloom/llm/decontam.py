@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import let, shingle_hashes
+from threadloom.llm.common import fresh, let, shingle_hashes
 
 # More sketch shingles than this are joined by shuffle instead of broadcast.
 MAX_BROADCAST = 500_000
@@ -84,5 +84,6 @@ def contained_items(
 
 def without_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The documents in which no item is found; rows with a null key stay."""
-    found = contained_items(docs, benchmark, key=key, **options).select(F.col(key).alias("_found")).distinct()
-    return docs.join(found, F.col(f"`{key}`") == F.col("_found"), "left_anti")
+    one = fresh(docs, "_found")
+    found = contained_items(docs, benchmark, key=key, **options).select(F.col(key).alias(one)).distinct()
+    return docs.join(found, F.col(f"`{key}`") == F.col(one), "left_anti")

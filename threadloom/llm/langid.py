@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.llm.common import without
 from threadloom.llm.hashing import mix
 from threadloom.llm.packing import pack, slices, unpack
 
@@ -184,8 +185,10 @@ def predict(
     A null text or one without a letter is ``und`` with the score 0, and rejected; so
     is everything if the model knows no language. Rejected are scores below the
     threshold that gave the accepted accuracy on the calibration rows. Texts are
-    read whole; no other column matters.
+    read whole; no other column matters. Other columns stay, those of the names of the
+    new ones are replaced.
     """
+    docs = without(docs, [out, score, rejected])
     rest = [c for c in docs.columns if c != text]
     fields = [docs.schema[c] for c in rest]
     schema = T.StructType(

@@ -7,9 +7,11 @@ agree, each with probability s**rows; with 12 collections of 2 rows a pair of
 similarity 0.8 is missed once in 9,000, one of 0.85 once in 150,000.
 
 Documents with equal shingle sets are one class. In every bucket the smallest
-class is compared with all others, then the next smallest with those that are
-left, and so on until all that is left of a bucket belongs to one component: no
-pair of a bucket is lost, and no step emits more rows than the buckets have.
+class is compared with all others on full sets, which links most of a group
+without emitting its pairs. Buckets chained together form a candidate cluster.
+Where the links leave a cluster in several components, its members are compared
+with each other in blocks inside the tasks, so no pair is lost, and only links
+between components come out.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from threadloom.llm.common import fresh
 from threadloom.llm.hashing import WordHashes, as_longs, fold, minhashes, seeds, shingle_set, split_words
-from threadloom.llm.packing import slices
+from threadloom.llm.packing import slices, spans
 from threadloom.operators.graph import connected_components
 from threadloom.session import staging_path
 
@@ -42,6 +46,7 @@ class Similarity:
     collections: int = 12
     rows: int = 2
     seed: int = 20
+    block_chars: int = 4 << 20  # text in a block of a candidate cluster; a task holds two
 
 
 def signatures(docs: DataFrame, rule: Similarity, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,52 +121,101 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _across(rule: Similarity, kind: T.DataType):
+    """Links between the components of the texts of each task (one or two blocks of a cluster).
+
+    Two texts of different components are not both in the largest one, so only texts
+    outside it are looked up, in an inverted index of all. Links that close no gap
+    between components are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        ids: list = []
+        labels: list = []
+        sets: list[np.ndarray] = []
+        last = None
+        for batch in batches:
+            columns = [batch[c].to_pylist() for c in ("cluster", "low", "high", "id", "component", "text")]
+            for cluster, low, high, i, component, text in zip(*columns, strict=True):
+                if last is not None and last != (cluster, low, high):
+                    yield links(ids, labels, sets)
+                    ids, labels, sets = [], [], []
+                last = (cluster, low, high)
+                ids.append(i)
+                labels.append(component)
+                sets.append(shingle_set(hashes.of(split_words(text, lower=True)), rule.shingle_words))
+        yield links(ids, labels, sets)
+
+    def links(ids: list, labels: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        found: list[tuple] = []
+        names, label = np.unique(np.array(labels), return_inverse=True) if labels else ([], np.zeros(0, np.int64))
+        if len(names) > 1:
+            sizes = np.array([x.size for x in sets])
+            flat = np.concatenate(sets)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], np.repeat(np.arange(sizes.size), sizes)[order]
+            for probe in np.flatnonzero(label != np.bincount(label).argmax()):
+                start = np.searchsorted(flat, sets[probe], "left")
+                count = np.searchsorted(flat, sets[probe], "right") - start
+                shared = np.bincount(owner[spans(start, count)], minlength=sizes.size)
+                near = 100 * shared >= rule.percent * (sizes + sizes[probe] - shared)
+                for other in np.flatnonzero(near & (label != label[probe])):
+                    if label[other] != label[probe]:
+                        label[label == label[other]] = label[probe]
+                        found.append((ids[probe], ids[other]))
+        columns = list(zip(*found, strict=True)) if found else [[], []]
+        arrow = to_arrow_type(kind)
+        return pa.RecordBatch.from_arrays([pa.array(c, arrow) for c in columns], names=["a", "b"])
+
+    return run
+
+
+def _links_across(pairs: DataFrame, components: DataFrame, texts: DataFrame, rule: Similarity) -> DataFrame:
+    """Links inside candidate clusters that hold several components."""
+    clusters = _components(pairs).select("id", F.col("component").alias("cluster"))
+    members = clusters.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sized = _written(members.join(texts.select("id", F.length("text").alias("chars")), "id"), "members")
+    mixed = (
+        sized.groupBy("cluster")
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("chars").alias("chars"))
+        .filter("lo != hi")
+        .select("cluster", F.ceil(F.col("chars") / F.lit(rule.block_chars)).alias("blocks"))
+    )
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    tasks = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
+        lambda j: F.struct(F.least(F.col("block"), j).alias("low"), F.greatest(F.col("block"), j).alias("high")),
+    )
+    placed = sized.select("id", "component", "cluster").join(mixed, "cluster").withColumn("block", block)
+    dealt = placed.join(texts, "id").select("cluster", "id", "component", "text", F.explode(tasks).alias("t"))
+    dealt = dealt.select("cluster", "t.low", "t.high", "id", "component", "text")
+    keys = ["cluster", "low", "high"]
+    kind = pairs.schema["a"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across(rule, kind), schema)
+
+
 def similar_classes(classes: DataFrame, docs: DataFrame, rule: Similarity, key: str, text: str) -> DataFrame:
-    """(id, component) of every class that is linked with another, by all links of all buckets."""
+    """(id, component) of every class that is linked with another.
+
+    A cluster of n blocks of ``rule.block_chars`` characters is compared in n(n+1)/2 tasks.
+    """
     keyed = classes.select("id", F.explode(table_keys(F.col("parts"), rule.collections)).alias("bucket"))
     first = keyed.groupBy("bucket").agg(F.min("id").alias("center"))
     left = keyed.join(first, "bucket").filter("id != center")
-    left = _written(left.select("bucket", "center", "id"), "buckets")
-    pairs = left.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = _written(pairs, "pairs")
+    pairs = _written(left.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     slim = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    texts = _written(slim.join(involved, "id", "left_semi"), "texts")
+    texts = _written(slim.join(involved, "id", "left_semi").distinct(), "texts")
     links = _written(_similar(pairs, texts, rule), "links")
-    tested = pairs
-    components = _components(links)
-    while True:
-        labelled = left.join(components, "id", "left").select(
-            "bucket", "id", F.coalesce("component", "id").alias("component")
-        )
-        mixed = (
-            labelled.groupBy("bucket")
-            .agg(
-                F.min(F.struct("id", "component")).alias("_c"),
-                F.min("component").alias("_lo"), F.max("component").alias("_hi"),
-            )
-            .filter("_lo != _hi")
-            .select("bucket", F.col("_c.id").alias("center"), F.col("_c.component").alias("center_component"))
-        )
-        rest = labelled.join(mixed, "bucket").filter("id != center")
-        rest = _written(rest, "buckets")
-        pairs = rest.filter("component != center_component").select(
-            F.col("center").alias("a"), F.col("id").alias("b")
-        )
-        pairs = _written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if rest.isEmpty():
-            return components
-        left = rest.select("bucket", "id")
-        if pairs.isEmpty():
-            continue
-        tested = tested.unionByName(pairs)
-        found = _written(_similar(pairs, texts, rule), "links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            components = _components(links)
+    across = _written(_links_across(pairs, _components(links), texts, rule), "links")
+    return _components(links.unionByName(across))
 
 
 def _components(links: DataFrame) -> DataFrame:
+    if links.isEmpty():
+        return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).checkpoint()
 
 
@@ -186,7 +240,7 @@ def near_duplicates(
         "set_id", F.coalesce("component", "id").alias("component_id")
     )
     rows = found.select("id", "n_shingles", "set_id").join(labels, "set_id", "left")
-    component = F.coalesce("component_id", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return rows.select(
         F.col("id").alias(key), "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
@@ -198,7 +252,8 @@ def one_of_each(docs: DataFrame, rule: Similarity = Similarity(), key: str = "do
 
     Repeated rows of that key are cut to one; rows with a null key all stay.
     """
-    kept = near_duplicates(docs, rule, key, text).filter(F.col("kept")).select(F.col(key).alias("_kept"))
-    chosen = docs.join(kept.distinct(), F.col(f"`{key}`") == F.col("_kept"), "left_semi")
+    one = fresh(docs, "_kept")
+    kept = near_duplicates(docs, rule, key, text).filter(F.col("kept")).select(F.col(key).alias(one))
+    chosen = docs.join(kept.distinct(), F.col(f"`{key}`") == F.col(one), "left_semi")
     nulls = docs.filter(F.col(f"`{key}`").isNull())
     return chosen.dropDuplicates([key]).unionByName(nulls)

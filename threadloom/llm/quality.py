@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import SPACES, let, without, words
+from threadloom.llm.common import SPACES, fresh, let, without, words
 
 # Fixed values.
 SYMBOLS = "#*$%&|<>"
@@ -150,9 +150,10 @@ def judge_documents(docs: DataFrame, rules: LineRules = LineRules(), text: str =
     names = (
         "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed lost_share cleaned_text kept"
     ).split()
-    judged = docs.withColumn("_v", verdicts(F.col(text), rules))
+    one = fresh(docs, "_v")
+    judged = docs.withColumn(one, verdicts(F.col(text), rules))
     rest = [F.col(f"`{c}`") for c in without(docs, names).columns]
-    return judged.select(*rest, *[F.col(f"_v.{n}").alias(n) for n in names])
+    return judged.select(*rest, *[F.col(f"{one}.{n}").alias(n) for n in names])
 
 
 def clean_documents(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
@@ -162,8 +163,9 @@ def clean_documents(docs: DataFrame, rules: LineRules = LineRules(), text: str =
     verdict is taken once: rejected rows disappear in the generator.
     """
     passed = F.filter(F.array(verdicts(F.col(text), rules)), lambda v: v.kept)
-    rows = docs.select("*", F.explode(passed).alias("_v"))
-    new = {text: F.col("_v.cleaned_text")}
+    one = fresh(docs, "_v")
+    rows = docs.select("*", F.explode(passed).alias(one))
+    new = {text: F.col(f"{one}.cleaned_text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("_v.cleaned_text").cast("bigint")
+        new["n_chars"] = F.length(f"{one}.cleaned_text").cast("bigint")
     return rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import let, without
+from threadloom.llm.common import fresh, let, without
 from threadloom.operators.distributed import positions
 
 # 13 hexadecimal digits of an MD5 hash, 52 bits, are exact in a double.
@@ -60,9 +60,10 @@ def assign(
             F.array_min(c).shard.cast("int").alias("then"),
         ),
     )
-    new = {shard: F.col("_both.now")} | ({grown_shard: F.col("_both.then")} if grown else {})
-    kept = without(df, [shard, grown_shard])
-    return kept.withColumn("_both", both).withColumns(new).drop("_both")
+    name = fresh(df, "_both")
+    new = {shard: F.col(f"{name}.now")} | ({grown_shard: F.col(f"{name}.then")} if grown else {})
+    kept = without(df.withColumn(name, both), [shard, grown_shard])
+    return kept.withColumns(new).drop(name)
 
 
 def slots(df: DataFrame, shard: str, order: Sequence[str], out: str = "slot") -> DataFrame:
