@@ -35,6 +35,9 @@ from threadloom.operators.graph import connected_components
 from threadloom.session import staging_path
 
 _BATCH_BYTES = 8 << 20
+# Up to so many documents with candidates are looked up where the texts are read;
+# for more the texts are shuffled.
+MAX_BROADCAST = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -206,6 +209,9 @@ def similar_classes(classes: DataFrame, docs: DataFrame, rule: Similarity, key:
     left = keyed.join(first, "bucket").filter("id != center")
     pairs = _written(left.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    involved = _written(involved, "involved")
+    if involved.count() <= MAX_BROADCAST:
+        involved = F.broadcast(involved)
     slim = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     texts = _written(slim.join(involved, "id", "left_semi").distinct(), "texts")
     links = _written(_similar(pairs, texts, rule), "links")
