@@ -39,11 +39,11 @@ def test_running_total(spark):
     assert (got.t.to_numpy() == got.v.cumsum().to_numpy()).all()
 
 
-@pytest.mark.parametrize("light", [10, 10**6])
-def test_lookup_keeps_all_rows(spark, light):
+@pytest.mark.parametrize("share", [1, 5, 1000])
+def test_lookup_keeps_all_rows(spark, share):
     facts = spark.range(2000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), "id")
     dim = facts.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.concat(F.lit("n"), "k"))
-    got = D.lookup_by_key(facts, dim, "k", "n", 2000, 700, light=light).toPandas()
+    got = D.lookup_by_key(facts, dim, "k", "n", 2000, heavy_share=share).toPandas()
     assert len(got) == 2000 and (got.name == "n" + got.k.astype(str)).all()
 
 

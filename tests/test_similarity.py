@@ -73,9 +73,14 @@ def test_search(spark):
     want = [f"v{j:02d}" for j in np.argsort(-(unit @ unit[0]))[:4]]
     got = S.semantic_search(asked, table.repartition(5), 4).orderBy("rank").collect()
     assert [r["issue_id"] for r in got] == want and got[0]["score"] == pytest.approx(1)
-    many = spark.createDataFrame([("q", [1.0] * 8)] * (S.MAX_QUERIES + 1), asked.schema)
-    with pytest.raises(ValueError):
-        S.semantic_search(many, table)
+    # Queries and records in several blocks each.
+    all_asked = frame(spark, [f"q{i:02d}" for i in range(50)], matrix).withColumnRenamed("id", "query_id")
+    found = {}
+    for r in S.semantic_search(all_asked, table, 3, block=20, query_block=15).orderBy("rank").collect():
+        found.setdefault(r["query_id"], []).append(r["issue_id"])
+    scores = unit @ unit.T
+    assert found == {f"q{i:02d}": [f"v{j:02d}" for j in np.argsort(-scores[i])[:3]] for i in range(50)}
+    assert S.semantic_search(asked.limit(0), table).count() == 0
 
 
 def components_by_union_find(edges):
@@ -93,9 +98,9 @@ def components_by_union_find(edges):
     return {x: find(x) for x in parent}
 
 
-@pytest.mark.parametrize("light", [5, 10**6])
+@pytest.mark.parametrize("share", [1, 20, 1000])
 @pytest.mark.parametrize("kind", ["random", "star", "path", "none"])
-def test_components_equal_union_find(spark, kind, light, monkeypatch):
+def test_components_equal_union_find(spark, kind, share, monkeypatch):
     rng = np.random.default_rng(11)
     edges = {
         "random": [(f"{a:03d}", f"{b:03d}") for a, b in rng.integers(300, size=(220, 2)) if a != b],
@@ -103,9 +108,8 @@ def test_components_equal_union_find(spark, kind, light, monkeypatch):
         "path": [(f"{(i * 37) % 101:03d}", f"{((i + 1) * 37) % 101:03d}") for i in range(100)],
         "none": [],
     }[kind]
-    # Every hub of the star takes the path for heavy keys.
-    monkeypatch.setattr(G.lookup_by_key, "__defaults__", (1000, 5))
-    monkeypatch.setattr(G, "LIGHT", light)
+    # None, the hubs, or all of the keys take the path for heavy ones.
+    monkeypatch.setattr(G.lookup_by_key, "__defaults__", (share,))
     df = spark.createDataFrame(edges, "src string, dst string")
     got = {r["id"]: r["component"] for r in G.connected_components(df).collect()}
     assert got == components_by_union_find(edges)
@@ -183,4 +187,5 @@ def test_embed_text_forms(spark):
     rows = [("1", " a ", "b", '["x","y"]'), ("2", None, "", "[oops"), ("3", "n", None, None), ("4", "z" * 9000, "", "[]")]
     df = spark.createDataFrame(rows, "id string, name string, first_message_content string, applied_tags string")
     got = {r["id"]: r["text"] for r in S.embed_text(df).collect()}
-    assert got["1"] == "a \n\nb\n\nTags: x y" and got["2"] == "" and got["3"] == "n" and len(got["4"]) == 8000
+    assert got["1"] == "a \n\nb\n\nTags: x y" and got["2"] == "" and got["3"] == "n" and len(got["4"]) == 9000
+    assert {r["id"]: len(r["text"]) for r in S.embed_text(df, S.MODEL_TEXT).collect()}["4"] == 8000

@@ -144,25 +144,17 @@ def ranked_top(df: DataFrame, order: Sequence[Column], n: int, rank: str = "rank
     return df.orderBy(*order).limit(n).withColumn(rank, F.row_number().over(Window.orderBy(*order)))
 
 
-# A key with fewer facts than this is never split off.
-LIGHT = 100_000
-
-
 def lookup_by_key(
-    facts: DataFrame, dim: DataFrame, key: str, weight: str, total: int, heaviest: int,
-    heavy_share: int = 1000, light: int = LIGHT,
+    facts: DataFrame, dim: DataFrame, key: str, weight: str, total: int, heavy_share: int = 1000
 ) -> DataFrame:
     """Inner join of ``facts`` to one row per key, safe when a key has most facts.
 
-    ``weight`` is the number of facts of the key, ``heaviest`` the largest of
-    them and ``total`` at least their sum. Keys with more than
-    total/heavy_share facts number fewer than ``heavy_share``, so those rows of
-    ``dim`` are broadcast and their facts stay where they are. All others are
-    joined by shuffle.
+    ``weight`` is the number of facts of the key and ``total`` at least their
+    sum. Keys with more than total/heavy_share facts number fewer than
+    ``heavy_share``, so those rows of ``dim`` are broadcast and their facts stay
+    where they are. All others are joined by shuffle.
     """
-    cut_off = max(total // heavy_share, light)
-    if heaviest <= cut_off:
-        return facts.join(dim.drop(weight), key)
+    cut_off = total // heavy_share
     heavy = F.broadcast(dim.filter(F.col(weight) > cut_off).drop(weight))
     rest = dim.filter(F.col(weight) <= cut_off).drop(weight)
     heavy_part = facts.join(heavy, key)

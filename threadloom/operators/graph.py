@@ -6,37 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import blank_to_null, cut
-from threadloom.operators.distributed import LIGHT, checkpoint_with, first_n, lookup_by_key
+from threadloom.operators.distributed import checkpoint_with, first_n, lookup_by_key
 
 
 def _rows() -> Column:
     return F.count(F.lit(1))
 
 
-def _weighed(smallest: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """The table of nodes, and the largest degree if it can matter."""
-    if n <= LIGHT:
-        return smallest, 0
-    kept, seen = checkpoint_with(smallest, heaviest=F.max("degree"))
-    return kept, seen["heaviest"] or 0
-
-
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Connect the larger neighbours of each node to its smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    smallest, heaviest = _weighed(
-        both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), _rows().alias("degree")), 2 * n
-    )
-    linked = lookup_by_key(both, smallest, "u", "degree", 2 * n, heaviest)
+    smallest = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), _rows().alias("degree"))
+    linked = lookup_by_key(both, smallest, "u", "degree", 2 * n)
     return linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Connect each node and its smaller neighbours to the smallest of them."""
-    smallest, heaviest = _weighed(
-        edges.groupBy("u").agg(F.min("v").alias("m"), _rows().alias("degree")), n
-    )
-    linked = lookup_by_key(edges, smallest, "u", "degree", n, heaviest)
+    smallest = edges.groupBy("u").agg(F.min("v").alias("m"), _rows().alias("degree"))
+    linked = lookup_by_key(edges, smallest, "u", "degree", n)
     siblings = linked.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return siblings.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct()
 
@@ -46,8 +34,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps of Kiveris et al., "Connected
     Components in MapReduce and Beyond" (SoCC 2014), until the edges no longer
-    change. Steps over many edges are checkpointed
-    one by one, small rounds as a whole, so a lost executor repeats little.
+    change. Each step is checkpointed, so a lost executor repeats little.
     """
 
     def kept(df: DataFrame) -> tuple[DataFrame, dict]:
@@ -60,9 +47,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     for _ in range(max_rounds):
-        large = _large_star(now, state["n"])
-        if state["n"] > LIGHT:
-            large = large.checkpoint()
+        large = _large_star(now, state["n"]).checkpoint()
         previous = state
         now, state = kept(_small_star(large, state["n"]))
         if state == previous:

@@ -154,16 +154,18 @@ def caught_up_pages(changes: DataFrame, max_pages: int | None = None) -> DataFra
 
 
 def missing_replies(
-    issues: DataFrame, replies: DataFrame, batch: int | None = 20, take: int = 10
+    issues: DataFrame, replies: DataFrame, batch: int | None = 20, take: int | None = 10
 ) -> DataFrame:
     """Threads that should have replies but have none stored, least recently fetched first.
 
     With ``batch`` only the head of the queue is looked at (the scheduled job);
-    without it the whole queue (the bulk job).
+    without it the whole queue (the bulk job). Without ``take`` all are returned,
+    in no order.
     """
     order = ["fetched_at", "id"]
     queue, stored = _queue(issues, replies, batch)
-    return queue.join(stored, "id", "left_anti").orderBy(*order).limit(take)
+    missing = queue.join(stored, "id", "left_anti")
+    return missing if take is None else missing.orderBy(*order).limit(take)
 
 
 def _queue(issues: DataFrame, replies: DataFrame, batch: int | None) -> tuple[DataFrame, DataFrame]:
@@ -178,7 +180,7 @@ def _queue(issues: DataFrame, replies: DataFrame, batch: int | None) -> tuple[Da
 
 
 def handled_queue(
-    issues: DataFrame, replies: DataFrame, batch: int | None = 20, take: int = 10
+    issues: DataFrame, replies: DataFrame, batch: int | None = 20, take: int | None = 10
 ) -> DataFrame:
     """Ids of the batch whose replies are stored already or were just taken."""
     queue, stored = _queue(issues, replies, batch)

@@ -19,10 +19,10 @@ from threadloom.operators.distributed import checkpoint_with, first_n, lookup_by
 from threadloom.operators.maintenance import upsert
 
 # Similarity from which two issues are near-duplicates, neighbours
-# looked at per issue, characters of text embedded.
+# looked at per issue, characters of text that a model with a context window reads.
 THRESHOLD = 0.86
 TOP_K = 6
-MAX_TEXT = 8000
+MODEL_TEXT = 8000
 
 # Takes (id, text, ...) rows and adds ``values``, a float array.
 Embedder = Callable[[DataFrame], DataFrame]
@@ -30,8 +30,11 @@ Embedder = Callable[[DataFrame], DataFrame]
 _WHITESPACE = " \t\n\r\f\v"
 
 
-def embed_text(issues: DataFrame) -> DataFrame:
-    """Issues with ``text``: name, body and tags. Tags may be a JSON string."""
+def embed_text(issues: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Issues with ``text``: name, body and tags. Tags may be a JSON string.
+
+    The whole text, unless the model that is to read it takes ``max_chars`` only.
+    """
     tags = F.col("applied_tags")
     if isinstance(issues.schema["applied_tags"].dataType, T.StringType):
         tags = tags_from_json(tags)
@@ -42,7 +45,8 @@ def embed_text(issues: DataFrame) -> DataFrame:
         blank_to_null(F.col("first_message_content")),
         F.concat(F.lit("Tags: "), joined),
     )
-    return issues.withColumn("text", cut(F.btrim(text, F.lit(_WHITESPACE)), MAX_TEXT))
+    trimmed = F.btrim(text, F.lit(_WHITESPACE))
+    return issues.withColumn("text", trimmed if max_chars is None else cut(trimmed, max_chars))
 
 
 def hashing_embedder(dimension: int = 512) -> Embedder:
@@ -75,9 +79,11 @@ def model_embedder(encode: Callable[[list[str]], np.ndarray]) -> Embedder:
     return lambda df: df.withColumn("values", vectors("text"))
 
 
-def embed_issues(issues: DataFrame, embedder: Embedder | None = None) -> DataFrame:
-    """Vector records of all issues with text."""
-    texts = embed_text(issues).filter("text != ''").select("id", "text", "channel_id", "sentiment")
+def embed_issues(
+    issues: DataFrame, embedder: Embedder | None = None, max_chars: int | None = None
+) -> DataFrame:
+    """Vector records of all issues with text; ``max_chars`` as in ``embed_text``."""
+    texts = embed_text(issues, max_chars).filter("text != ''").select("id", "text", "channel_id", "sentiment")
     embedded = (embedder or hashing_embedder())(texts)
     blank = F.lit("")
     return embedded.select(
@@ -140,41 +146,50 @@ def _unit_rows(values: pd.Series) -> np.ndarray:
     return matrix / np.where(norm == 0, 1, norm)
 
 
-# More queries than this belong in knn_join, whose cost is spread over tasks.
-MAX_QUERIES = 1000
-
-
-def semantic_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """The k most similar records per query vector (query_id, values)."""
-    asked = queries.select("query_id", "values").limit(MAX_QUERIES + 1).toPandas()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries at once, use knn_join")
-    out = "query_id string, issue_id string, channel_id string, score double"
-    if asked.empty:
-        return vectors.sparkSession.createDataFrame([], out)
-    wanted = _unit_rows(asked["values"])
-    names = asked["query_id"].astype(str).to_numpy()
+def semantic_search(
+    queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 8192, query_block: int = 1024
+) -> DataFrame:
+    """The k most similar records per query vector (query_id, values).
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            scores = wanted @ _unit_rows(batch["values"]).T
-            ids = batch["issue_id"].to_numpy(dtype=str)
-            for q, row in enumerate(scores):
-                top = np.lexsort((ids, -row))[:k]
-                part = batch.iloc[top][["issue_id", "channel_id"]]
-                yield part.assign(query_id=names[q], score=row[top])[
-                    ["query_id", "issue_id", "channel_id", "score"]
-                ]
-
-    rows = vectors.select(
+    Queries and records are dealt into blocks, and one task multiplies two of
+    them and keeps k records per query, so both tables may have any size. Up to
+    ``query_block`` queries the records are shuffled once.
+    """
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "values")
+    held = vectors.select(
         "values", F.col("metadata.issueId").alias("issue_id"), F.col("metadata.channelId").alias("channel_id")
     )
-    # Each batch keeps k rows per query, so little is shuffled.
-    return first_n(
-        rows.mapInPandas(best, out), ["query_id"], [F.desc("score"), F.asc("issue_id")], k
+    n, m = max(1, math.ceil(asked.count() / query_block)), max(1, math.ceil(held.count() / block))
+
+    def dealt(df: DataFrame, key: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+        return df.select("*", mine.alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    def best(one: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
+        if one.empty or many.empty:
+            none = pd.DataFrame({c: np.array([], object) for c in ("query_id", "issue_id", "channel_id")})
+            return none.assign(score=np.array([], "float64"))
+        scores = _unit_rows(one["values"]) @ _unit_rows(many["values"]).T
+        ids = many["issue_id"].to_numpy(dtype=str)
+        tops = [np.lexsort((ids, -row))[:k] for row in scores]
+        top = np.concatenate(tops)
+        query = np.repeat(np.arange(len(one)), [len(t) for t in tops])
+        return pd.DataFrame(
+            {
+                "query_id": one["query_id"].to_numpy(dtype=object)[query],
+                "issue_id": many["issue_id"].to_numpy(dtype=object)[top],
+                "channel_id": many["channel_id"].to_numpy(dtype=object)[top],
+                "score": scores[query, top],
+            }
+        )
+
+    found = (
+        dealt(asked, "query_id", "_q", n, "_v", m)
+        .groupBy("_q", "_v")
+        .cogroup(dealt(held, "issue_id", "_v", m, "_q", n).groupBy("_q", "_v"))
+        .applyInPandas(best, "query_id string, issue_id string, channel_id string, score double")
     )
+    return first_n(found, ["query_id"], [F.desc("score"), F.asc("issue_id")], k)
 
 
 def _fingerprint(values: str) -> Column:
@@ -277,7 +292,7 @@ def knn_join(
     )
     asked = mine.groupBy("gid").agg(F.first("values").alias("values"), F.count(F.lit(1)).alias("copies"))
     # Both are read several times below.
-    asked, asked_seen = checkpoint_with(asked, total=F.sum("copies"), heaviest=F.max("copies"))
+    asked, asked_seen = checkpoint_with(asked, total=F.sum("copies"))
     pool, pool_seen = checkpoint_with(
         first_n(theirs, ["gid"], [F.asc("id")], keep)
         .groupBy("gid")
@@ -341,9 +356,7 @@ def knn_join(
     )
     members = mine.select(F.col("id").alias("anchor_id"), "gid")
     return (
-        lookup_by_key(
-            members, lists, "gid", "copies", asked_seen["total"] or 0, asked_seen["heaviest"] or 0
-        )
+        lookup_by_key(members, lists, "gid", "copies", asked_seen["total"] or 0)
         .select("anchor_id", F.inline("found"))
         .filter(F.col("anchor_id") != F.col("neighbour_id"))
     )

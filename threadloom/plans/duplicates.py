@@ -19,7 +19,7 @@ from threadloom.operators.similarity import (
 
 def daily_clustering(
     issues: DataFrame,
-    limit: int | None = 500,
+    limit: int | None = None,
     k: int = TOP_K,
     threshold: float = THRESHOLD,
     embedder: Embedder | None = None,
@@ -27,8 +27,8 @@ def daily_clustering(
 ) -> tuple[DataFrame, DataFrame]:
     """New clusters, and the issues with their cluster ids.
 
-    Unclustered issues, oldest first, are compared with all issues, so one of
-    them can pull an already clustered issue into its new cluster. ``vectors``
+    All unclustered issues (with ``limit`` the oldest of them) are compared with all
+    issues, so one of them can pull an already clustered issue into its new cluster. ``vectors``
     are the stored records; without them all issues are embedded.
     """
     records = embed_issues(issues, embedder) if vectors is None else vectors

@@ -822,8 +822,8 @@ _ws = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
 _add(
     "embed_text",
     "document_issues",
-    f""", x as (select id, left(trim(concat_ws(chr(10) || chr(10), name, nullif(first_message_content, ''),
-  case when doc_id % 6 <> 0 then 'Tags: ' || applied_tags[1] end), {_ws}), 8000) as text from document_issues)
+    f""", x as (select id, trim(concat_ws(chr(10) || chr(10), name, nullif(first_message_content, ''),
+  case when doc_id % 6 <> 0 then 'Tags: ' || applied_tags[1] end), {_ws}) as text from document_issues)
 select id, md5(text) as text, length(text) as n from x""",
 )
 _add(
@@ -991,10 +991,10 @@ _add(
 _add(
     "hourly_recent_sync",
     "issues",
-    f""", n as (select id from issues where not archived order by created_at desc, id limit 25),
+    f""", n as (select id from issues where not archived),
 s as (select i.*, n.id is not null as recent, case when okey % 7 <> 0 then created_at else timestamp '{NOW}' end as fetched
   from issues i left join n on n.id = i.id where okey % 7 <> 0 or n.id is not null),
-q as (select id from (select * from s where message_count > 1 order by fetched, id limit 20) order by fetched, id limit 10)
+q as (select id from s where message_count > 1)
 select id, message_count, case when id in (select id from q) then {_ts(f"timestamp '{NOW}'")} else {_ts('fetched')} end as fetched_at,
   case when okey % 7 <> 0 then resolution_status else 'unknown' end as resolution_status,
   case when id in (select id from q) then reply_count else 0 end as replies from s""",

@@ -887,7 +887,6 @@ def incremental_sync(f: Forum) -> DataFrame:
         replies,
         f"{home}/checkpoint",
         now=NOW,
-        max_refresh=None,
         keywords=KEYWORDS,
     )
     counts = replies.read().groupBy(F.col("issue_id").alias("id")).agg(F.count(F.lit(1)).alias("replies"))
@@ -933,11 +932,19 @@ def note_sync(f: Forum) -> DataFrame:
 @query
 def stream_daily_stats(f: Forum) -> DataFrame:
     spark, home = f.spark, staging_path(f.spark, "daily")
-    issues = f.event_issues.select("created_at", "channel_id", "message_count", "is_answered")
-    issues.write.parquet(f"{home}/incoming")
-    stats = jobs.stream_daily_stats(spark.readStream.schema(issues.schema).parquet(f"{home}/incoming"))
-    table = SnapshotTable(spark, f"{home}/stats", stats.schema, ["date", "channel_id"])
-    jobs.write_daily_stats(stats, table, f"{home}/checkpoint")
+    issues = f.event_issues.select("id", "created_at", "channel_id", "message_count", "is_answered")
+    # Newest first, so that later batches are late; every seventh issue comes in two states.
+    parts = [
+        issues.filter(F.col("created_at") < "2024-01-15"),
+        issues.filter(F.col("created_at") >= "2024-01-15"),
+        issues.filter(F.crc32(F.col("id").cast("binary")) % 7 == 0).withColumn("message_count", F.col("message_count") + 1),
+    ]
+    stored = SnapshotTable(spark, f"{home}/issues", issues.schema)
+    table = SnapshotTable(spark, f"{home}/stats", jobs.DAILY, ["date", "channel_id"])
+    for part in reversed(parts):
+        part.coalesce(1).write.mode("append").parquet(f"{home}/incoming")
+        stream = spark.readStream.schema(issues.schema).parquet(f"{home}/incoming")
+        jobs.stream_daily_stats(stream, stored, table, f"{home}/checkpoint", order=["created_at", "message_count"])
     return table.read()
 
 

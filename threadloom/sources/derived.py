@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from threadloom.operators.maintenance import paged
 from threadloom.operators.response import issue_response
 from threadloom.schemas import ISSUE
-from threadloom.session import configure, spread_small
+from threadloom.session import configure
 
 # The resolution word that occurs in the replies derived here.
 KEYWORDS = ("ring",)
@@ -124,8 +124,7 @@ class Forum:
             F.concat(F.lit("quality "), quality.cast("string")).alias("sentiment_summary"),
         )
         documents = self.table("documents").select("doc_id", "text", "lang", "source")
-        spread = spread_small(documents, f"{self.folder}/documents.parquet", "doc_id")
-        return spread.join(labels, "doc_id", "left")
+        return documents.join(labels, "doc_id", "left")
 
     def with_text(self, threads: DataFrame) -> DataFrame:
         """Add name, first message and sentiment. Each document serves many threads."""

@@ -13,6 +13,7 @@ count, and a batch that runs again writes the same folders again.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,8 +81,11 @@ class SnapshotTable:
             return self.spark.read.schema(numbered).parquet(*[f"{self.path}/d={n}/{part}" for n in later])
 
         newest = read_all("keys", self._key_schema()).groupBy(*self.key).agg(F.max("_n").alias("_n"))
-        fresh = read_all("rows", self.schema).join(newest, [*self.key, "_n"], "left_semi")
-        kept = base.join(newest.select(*self.key), self.key, "left_anti")
+        # Null-safe, as a part of a key may be null.
+        named = newest.select(*[F.col(k).alias(f"_key_{k}") for k in self.key], F.col("_n").alias("_newest"))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in self.key])
+        fresh = read_all("rows", self.schema).join(named, same & (F.col("_n") == F.col("_newest")), "left_semi")
+        kept = base.join(named, same, "left_anti")
         return kept.select(*self.schema.names).unionByName(fresh.select(*self.schema.names))
 
     def write(self, df: DataFrame, version: int) -> None:

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from threadloom.functions.text import cut
 from threadloom.schemas import ISSUE
 
-MAX_LOAD = 50_000
-
 
 def issues_light(issues: DataFrame) -> DataFrame:
     """All stored columns, the first message cut to 250 characters."""
@@ -29,7 +27,7 @@ def load_issues(issues: DataFrame, channel_id: str | None = None, limit: int = 1
     return (
         issues_light(issues)
         .orderBy(F.desc("created_at"), F.asc("id"))
-        .limit(min(limit, MAX_LOAD))
+        .limit(limit)
         .withColumn("total_results", total.scalar())
     )
 

@@ -16,10 +16,12 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.constants import RESOLUTION_KEYWORDS
 from threadloom.functions.time import now_literal
 from threadloom.operators.maintenance import (
+    backfill_first_messages,
     changed_threads,
     handled_queue,
     latest_by_key,
@@ -29,6 +31,7 @@ from threadloom.operators.maintenance import (
     upsert_issues,
     upsert_replies,
 )
+from threadloom.operators.metrics import daily_stats
 from threadloom.operators.normalize import normalize_issue, reply_rows, stored_issue
 from threadloom.operators.notes import note_merge_lww
 from threadloom.operators.response import issue_response
@@ -57,15 +60,36 @@ def page_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     )
 
 
-def _fetched_issues(pages: DataFrame, channel_id: str | None, now: datetime | str | None) -> DataFrame:
-    """Normalised issues of a batch of pages, the last copy per id."""
-    rows = normalize_issue(threads_first_message(page_threads(pages), first_messages(pages)))
+def _fetched_issues(
+    pages: DataFrame, channel_id: str | None, now: datetime | str | None, post_data: DataFrame | None = None
+) -> DataFrame:
+    """Normalised issues of a batch of pages, the last copy per id.
+
+    First messages that the pages lack are taken from ``post_data`` (thread_id, message).
+    """
+    threads, firsts = page_threads(pages), first_messages(pages)
+    if post_data is not None:
+        ids = threads.select(F.col("thread.id").alias("id")).distinct()
+        firsts = backfill_first_messages(ids, firsts, post_data).filter("message is not null").drop("origin")
+    rows = normalize_issue(threads_first_message(threads, firsts))
     stored = stored_issue(rows, channel_id, now=now)
     return latest_by_key(stored, ["id"], ["message_count", "archived", "locked", "name"])
 
 
-def _messages_of(messages: DataFrame, issues: DataFrame, limit: int) -> DataFrame:
-    """Newest messages of the given issues without their first one, as (issue_id, message)."""
+_FIRST = ["first_message_id", "first_message_content", "first_message_author_id", "first_message_author_name", "first_message_created_at"]
+
+
+def _keep_first_messages(fetched: DataFrame, stored: DataFrame) -> DataFrame:
+    """Fetched issues, with the stored first message where the pages had none."""
+    names = [c for c in _FIRST if c in fetched.columns and c in stored.columns]
+    old = of_keys(stored.filter("first_message_id is not null"), fetched)
+    old = old.select("id", F.struct(*names).alias("_old"))
+    kept = {c: F.when(F.col("first_message_id").isNull() & F.col("_old").isNotNull(), F.col(f"_old.{c}")).otherwise(F.col(c)) for c in names}
+    return fetched.join(old, "id", "left").withColumns(kept).select(*fetched.columns)
+
+
+def _messages_of(messages: DataFrame, issues: DataFrame) -> DataFrame:
+    """All messages of the given issues without their first one, as (issue_id, message)."""
     wanted = issues.select(F.col("id").alias("thread_id"), "first_message_id")
     flat = messages.select(
         F.col("issue_id").alias("thread_id"),
@@ -73,7 +97,7 @@ def _messages_of(messages: DataFrame, issues: DataFrame, limit: int) -> DataFram
         F.col("message.timestamp").alias("timestamp"),
         "message",
     ).join(wanted.select("thread_id"), "thread_id", "left_semi")
-    return thread_messages(flat, wanted, limit).select(F.col("thread_id").alias("issue_id"), "message")
+    return thread_messages(flat, wanted, None).select(F.col("thread_id").alias("issue_id"), "message")
 
 
 def incremental_sync(
@@ -84,28 +108,27 @@ def incremental_sync(
     checkpoint: str,
     channel_id: str | None = None,
     now: datetime | str | None = None,
-    max_refresh: int | None = 300,
     keywords: Sequence[str] = tuple(RESOLUTION_KEYWORDS),
+    post_data: DataFrame | None = None,
 ) -> None:
     """Store new and changed threads, refresh their replies and analytics.
 
     Every fetched row is compared with the stored one. (A live client stops at
     the first page without a change to save requests; files are already here.)
-    ``max_refresh`` limits the threads whose replies are refreshed per batch,
-    newest first; None lifts it. ``messages`` has (issue_id, message).
+    The replies of every changed thread are refreshed, from all its messages.
+    ``messages`` has (issue_id, message), ``post_data`` first messages (thread_id,
+    message) that pages may lack; a stored one is never replaced by none.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
         stored, kept = issues.read(before=batch_id), replies.read(before=batch_id)
-        fetched = _fetched_issues(df, channel_id, now)
+        fetched = _keep_first_messages(_fetched_issues(df, channel_id, now, post_data), stored)
         changed = changed_threads(fetched, stored).filter("change != 'same'").drop("change").checkpoint()
         merged = upsert_issues(of_keys(stored, changed), changed, now=now)
         refresh = changed.filter("message_count > 1")
-        if max_refresh is not None:
-            refresh = refresh.orderBy(F.desc("created_at"), "id").limit(max_refresh)
         refresh = refresh.select("id", "owner_id", "first_message_id", "first_message_created_at", "created_at")
         refresh = refresh.checkpoint()
-        fresh = reply_rows(_messages_of(messages, refresh, 100), now)
+        fresh = reply_rows(_messages_of(messages, refresh), now)
         for name in set(kept.columns) - set(fresh.columns):
             fresh = fresh.withColumn(name, F.lit(None).cast(kept.schema[name].dataType))
         fresh = fresh.checkpoint()
@@ -125,16 +148,19 @@ def hourly_recent_sync(
     checkpoint: str,
     channel_id: str | None = None,
     now: datetime | str | None = None,
-    recent: int = 25,
-    queue: int = 20,
-    take: int = 10,
+    queue: int | None = None,
+    take: int | None = None,
 ) -> None:
-    """Store the newest active threads and fill in missing replies of a few others."""
+    """Store the active threads and fill in replies that are missing.
+
+    With ``queue`` and ``take`` a batch looks at the head of the queue only and
+    leaves the rest to later ones.
+    """
 
     def batch(df: DataFrame, batch_id: int) -> None:
         stored, kept = issues.read(before=batch_id), replies.read(before=batch_id)
         fetched = _fetched_issues(df.filter("not coalesce(archived, false)"), channel_id, now)
-        newest = fetched.orderBy(F.desc("created_at"), "id").limit(recent).drop("fetched_at").checkpoint()
+        newest = _keep_first_messages(fetched, stored).drop("fetched_at").checkpoint()
         touched = upsert(
             of_keys(stored, newest),
             newest,
@@ -145,7 +171,7 @@ def hourly_recent_sync(
         touched = touched.withColumn("fetched_at", F.coalesce("fetched_at", "updated_at")).checkpoint()
         current = stored.join(touched.select("id"), "id", "left_anti").unionByName(touched)
         todo = missing_replies(current, kept, queue, take).checkpoint()
-        fresh = reply_rows(_messages_of(messages, todo, 100), now)
+        fresh = reply_rows(_messages_of(messages, todo), now)
         ids = todo.select(F.col("id").alias("issue_id"))
         replies.merge(upsert_replies(of_keys(kept, ids, ["issue_id"]), fresh), batch_id, ids)
 
@@ -175,37 +201,37 @@ def note_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     return spark.readStream.schema(NOTE).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def stream_daily_stats(issues: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Streaming daily totals per channel.
+DAILY = T.StructType(
+    [
+        T.StructField("date", T.DateType()), T.StructField("channel_id", T.StringType()),
+        T.StructField("issue_count", T.LongType()), T.StructField("total_messages", T.LongType()),
+        T.StructField("answered_count", T.LongType()),
+    ]
+)
 
-    Days are kept open for ``delay`` after the newest row; later rows are lost
-    here, but not in the batch rollup or the merges above.
-    """
-    return (
-        issues.withWatermark("created_at", delay)
-        .groupBy(F.window("created_at", "1 day").alias("w"), "channel_id")
-        .agg(
-            F.count(F.lit(1)).alias("issue_count"),
-            F.sum("message_count").alias("total_messages"),
-            F.count_if(F.col("is_answered")).alias("answered_count"),
-        )
-        .select(
-            F.to_date("w.start").alias("date"), "channel_id", "issue_count", "total_messages", "answered_count"
-        )
-    )
 
+def stream_daily_stats(
+    incoming: DataFrame, issues: SnapshotTable, stats: SnapshotTable, checkpoint: str,
+    order: Sequence[str] = ("message_count", "is_answered", "created_at", "channel_id"),
+) -> None:
+    """Keep daily totals per channel equal to the totals over all issues seen.
 
-def write_daily_stats(stats: DataFrame, table: SnapshotTable, checkpoint: str) -> None:
-    """Keep the table equal to the newest totals of every day and channel."""
+    Every batch is merged into ``issues``, then the days and channels that it
+    touches, before or after the merge, are counted again from that table. So
+    rows may come late by any time, and an issue that comes again counts once, in
+    its last state; of copies within a batch the last by ``order`` counts.
+    """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        table.merge(df, batch_id)
+        newest = latest_by_key(df.select(*issues.schema.names), ["id"], list(order)).checkpoint()
+        stored = issues.read(before=batch_id)
+        pair = (F.to_date("created_at").alias("date"), "channel_id")
+        touched = of_keys(stored, newest).select(*pair).unionByName(newest.select(*pair)).distinct().checkpoint()
+        issues.merge(newest, batch_id)
+        current = issues.read(before=batch_id + 1).withColumn("date", F.to_date("created_at"))
+        # Null-safe, so that issues without a channel have totals of their own.
+        same = F.col("date").eqNullSafe(F.col("_date")) & F.col("channel_id").eqNullSafe(F.col("_channel"))
+        mine = current.join(touched.toDF("_date", "_channel"), same, "left_semi")
+        stats.merge(daily_stats(mine), batch_id, touched)
 
-    query = (
-        stats.writeStream.outputMode("update")
-        .foreachBatch(batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    run_available(incoming, batch, checkpoint)
