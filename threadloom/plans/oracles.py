@@ -924,17 +924,23 @@ _report = [
     *[
         _line(1, str(i), _q(t), "a")
         for i, t in enumerate(
-            ["# Forum issues: summary report", "", "## Key Metrics", "", "| Metric | Value |", "|---|---|"]
+            ["# Forum issues: summary report", "", "**Channel ID:** ASIA", f"**Generated:** {NOW}"]
         )
     ],
-    _line(1, "6", _row("Total Issues", "issues"), "a"),
-    _line(1, "7", _row("Unique Reporters", "reporters"), "a"),
-    _line(1, "8", _row("Total Messages", "format('{:,}', messages)"), "a"),
-    _line(1, "9", _row("Response Rate", f"{_half_up('rate * 100')} || '%'"), "a"),
-    _line(1, "10", _row("Avg Response Time", _duration("wait")), "a where wait is not null"),
-    _line(1, "11", _row("Frustrated Issues", "frustrated"), "a where scored > 0"),
-    _line(1, "12", _row("Resolved Issues", "resolved"), "a where scored > 0"),
-    _line(1, "13", "''", "a"),
+    _line(1, "4", "'**Issues loaded:** ' || issues || ' of ' || format('{:,}', forum) || ' total'", "a"),
+    *[
+        _line(1, str(i), _q(t), "a")
+        for i, t in enumerate(["", "## Key Metrics", "", "| Metric | Value |", "|---|---|"], 5)
+    ],
+    _line(1, "10", _row("Total Issues (loaded)", "issues"), "a"),
+    _line(1, "11", _row("Total Issues (in forum)", "format('{:,}', forum)"), "a"),
+    _line(1, "12", _row("Unique Reporters", "reporters"), "a"),
+    _line(1, "13", _row("Total Messages", "format('{:,}', messages)"), "a"),
+    _line(1, "14", _row("Response Rate", f"{_half_up('rate * 100')} || '%'"), "a"),
+    _line(1, "15", _row("Avg Response Time", _duration("wait")), "a where wait is not null"),
+    _line(1, "16", _row("Frustrated Issues", "frustrated"), "a where scored > 0"),
+    _line(1, "17", _row("Resolved Issues", "resolved"), "a where scored > 0"),
+    _line(1, "18", "''", "a"),
     *[
         _line(2, str(i), _q(t), "a")
         for i, t in enumerate(
@@ -962,11 +968,12 @@ _report = [
             ]
         )
     ],
+    *[_line(5, str(i), _q(t), "a") for i, t in enumerate(["", "---", "_Generated from the forum tables_"])],
 ]
 _add(
     "summary_report",
-    "full_issues themes clusters",
-    f""", a as (select count(*) as issues, count(distinct owner_id) as reporters,
+    "full_issues issues themes clusters",
+    f""", a as (select count(*) as issues, (select count(*) from issues) as forum, count(distinct owner_id) as reporters,
   cast(sum(case when total_message_sent <> 0 then total_message_sent else message_count end) as bigint) as messages,
   count(*) filter (where sentiment = 'frustrated') as frustrated, count(*) filter (where sentiment = 'resolved') as resolved,
   count(sentiment) as scored,

@@ -842,7 +842,8 @@ def export_json(f: Forum) -> DataFrame:
 @query
 def summary_report(f: Forum) -> DataFrame:
     report = exports.summary_report(
-        f.full_issues, themes.keyword_themes(f.document_issues), _clusters(f), response.response_analytics(f.issues)
+        f.full_issues, themes.keyword_themes(f.document_issues), _clusters(f), response.response_analytics(f.issues),
+        channel_id=CHANNEL, generated=NOW, total_results=f.issues.agg(F.count(F.lit(1))),
     )
     return report
 

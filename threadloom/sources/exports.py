@@ -146,11 +146,17 @@ def summary_report(
     analytics: DataFrame,
     title: str = "Forum issues: summary report",
     guild_id: str = DEFAULT_GUILD_ID,
+    channel_id: str = "",
+    generated: str = "",
+    total_results: DataFrame | None = None,
+    footer: str = "Generated from the forum tables",
 ) -> DataFrame:
     """Lines of the Markdown report as (section, ord, line).
 
     ``analytics`` is the row of ``response_analytics``; clusters have
-    (id, name, description, issue_count).
+    (id, name, description, issue_count). ``total_results`` is a one-row count of
+    the issues in the forum, of which ``issues`` are those loaded; by default
+    these are all. ``generated`` is the time shown.
     """
     def table_head(*names: str) -> list[str]:
         return ["| " + " | ".join(names) + " |", "|" + "|".join("---" for _ in names) + "|"]
@@ -178,14 +184,19 @@ def summary_report(
     )
     both = F.struct(F.col("response_rate").alias("rate"), F.col("avg_response_time_ms").alias("wait"))
     totals = totals.withColumn("_a", analytics.select(both).scalar()).select("*", "_a.rate", "_a.wait")
+    totals = totals.withColumn("forum", F.col("issues") if total_results is None else total_results.scalar())
 
     def row(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"| {name} | "), value.cast("string"), F.lit(" |"))
 
     scored = F.col("scored") > 0
     metrics = lines(
-        totals, 1, 0, f"# {title}", "", "## Key Metrics", "", *table_head("Metric", "Value"),
-        row("Total Issues", F.col("issues")),
+        totals, 1, 0, f"# {title}", "",
+        f"**Channel ID:** {channel_id}", f"**Generated:** {generated}",
+        F.concat(F.lit("**Issues loaded:** "), F.col("issues").cast("string"), F.lit(" of "), number("forum"), F.lit(" total")),
+        "", "## Key Metrics", "", *table_head("Metric", "Value"),
+        row("Total Issues (loaded)", F.col("issues")),
+        row("Total Issues (in forum)", number("forum")),
         row("Unique Reporters", F.col("reporters")),
         row("Total Messages", number("messages")),
         row("Response Rate", F.concat(half_up(F.col("rate") * 100).cast("string"), F.lit("%"))),
@@ -227,6 +238,7 @@ def summary_report(
         cluster_lines,
         heading(totals, 4, "## Top Issues by Message Count", ""),
         issue_lines,
+        lines(totals, 5, 0, "", "---", f"_{footer}_"),
     ]
     out = parts[0]
     for more in parts[1:]:
