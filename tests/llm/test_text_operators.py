@@ -313,7 +313,7 @@ TRICKY = ["it's  we'll\t\tgo\n\n  'tis 123abc", "<|endoftext|> x", "   ", "\n",
 def test_tokens(spark):
     rows = [*cases.odd_rows(), *[(200 + i, t) for i, t in enumerate(TRICKY)]]
     docs = cases.documents(spark, rows)
-    tokens = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, keys=["doc_id", "n_chars"], chunk_bytes=300).cache()
+    tokens = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, keys=["doc_id", "n_chars"], chunk_bytes=600, body_bytes=300).cache()
     got = Counter((r.doc_id, r.n_chars, r.n_tokens, bytes(r.token_ids)) for r in tokens.collect())
     ids = {t: expected_ids(t) for _, t in rows}
     assert got == Counter((i, len(t or ""), len(ids[t]) // 4, ids[t]) for i, t in rows)
