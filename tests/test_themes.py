@@ -46,13 +46,13 @@ def test_answers(spark):
         ]}
     )
     c = answers(spark, f"Fine:\n```json\n{body}\n```", f"text {body} text", "no json", "{broken", None)
-    got = T.themes_from_completions(c, T.theme_prompt_rows(i), i.agg(F.count(F.lit(1)))).collect()
+    got = T.themes_from_completions(c, T.numbered_issues(i), i.agg(F.count(F.lit(1)))).collect()
     assert [(r["completion_id"], r["count"]) for r in got] == [("0", 8), ("0", 1), ("1", 8), ("1", 1)]
     first = got[0]
     assert (len(first["theme"]), len(first["description"]), len(first["keywords"])) == (60, 240, 6)
     assert len(first["keywords"][0]) == 40 and first["sample_issue_ids"] == ["0", "3", "4", "5", "6"]
     assert got[1]["keywords"] == [] and got[1]["description"] == ""
-    themes = T.themes_from_completions(c, T.theme_prompt_rows(i), i.agg(F.count(F.lit(1))))
+    themes = T.themes_from_completions(c, T.numbered_issues(i), i.agg(F.count(F.lit(1))))
     filled = T.with_fallback(themes, c, T.keyword_themes(i)).filter("method = 'fallback'").collect()
     assert {r["completion_id"] for r in filled} == {"2", "3", "4"}
 

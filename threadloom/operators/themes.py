@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.constants import OTHER_THEME, THEME_RULES
 from threadloom.functions.text import blank_to_null, contains_any, cut, needed_keywords
 from threadloom.functions.time import half_up
-from threadloom.operators.distributed import first_n
+from threadloom.operators.distributed import first_n, positions
 from threadloom.schemas import COMPLETION
 
 Rules = Sequence[tuple[str, list[str], str]]
@@ -114,6 +114,13 @@ def theme_prompt_rows(issues: DataFrame, n: int = 120) -> DataFrame:
     )
 
 
+def numbered_issues(issues: DataFrame) -> DataFrame:
+    """(idx, issue_id) of all issues in the order in which prompts number them."""
+    newest = [F.desc("created_at"), F.asc("issue_id")]
+    rows = issues.select("created_at", F.col("id").alias("issue_id"))
+    return positions(rows, [], newest, "idx").select("idx", "issue_id")
+
+
 def _json_object(answer):
     """The JSON object inside an answer, a code fence around it removed."""
     fenced = F.regexp_extract(answer, r"(?s)```(?:json)?\s*(.*?)```", 1)
@@ -123,13 +130,14 @@ def _json_object(answer):
 
 
 def themes_from_completions(
-    completions: DataFrame, prompt_rows: DataFrame, n_issues: DataFrame
+    completions: DataFrame, numbered: DataFrame, n_issues: DataFrame
 ) -> DataFrame:
     """Clean themes from model answers.
 
-    ``completions`` has (completion_id, answer), ``prompt_rows`` the (idx,
-    issue_id) list the model saw, ``n_issues`` is a one-row count. Answers that
-    cannot be read or name no issues give no rows: see ``with_fallback``.
+    ``completions`` has (completion_id, answer), ``numbered`` all issues by number
+    (``numbered_issues``; a model may have seen more than the default prompt holds),
+    ``n_issues`` is a one-row count. Answers that cannot be read or name no issues
+    give no rows: see ``with_fallback``.
     """
     parsed = completions.select(
         "completion_id", F.from_json(_json_object(F.col("answer")), COMPLETION).alias("c")
@@ -153,7 +161,7 @@ def themes_from_completions(
     )
     ids = (
         clean.select("completion_id", "pos", F.posexplode("idxs").alias("at", "idx"))
-        .join(prompt_rows.select("idx", "issue_id"), "idx")
+        .join(numbered.select("idx", "issue_id"), "idx")
         .groupBy("completion_id", "pos")
         .agg(F.sort_array(F.collect_list(F.struct("at", "issue_id"))).alias("s"))
     )

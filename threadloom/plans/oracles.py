@@ -590,11 +590,10 @@ from document_issues qualify idx < 120""",
 )
 # Answers that can be read are those of documents whose id leaves 0 or 1 when divided by 4.
 _CTES["answers"] = """select doc_id, regexp_extract(text, '([A-Za-z]+)', 1) as word from documents where doc_id % 4 in (0, 1)"""
-_CTES["prompt"] = """select row_number() over (order by doc_id desc) - 1 as idx, cast(doc_id as varchar) as issue_id from documents
-  qualify idx < 120"""
+_CTES["prompt"] = """select row_number() over (order by doc_id desc) - 1 as idx, cast(doc_id as varchar) as issue_id from documents"""
 _CTES["model_themes"] = """select cast(doc_id as varchar) as completion_id, 0 as pos, left(word, 60) as theme,
   left('about ' || word, 240) as description, [left(word, 40), 'x', 'y', 'z', 'u', 'v'] as keywords, 4 as count,
-  [doc_id % 120, (doc_id + 7) % 120] as idxs from answers
+  [doc_id % 180, (doc_id + 7) % 180] as idxs from answers
 union all select cast(doc_id as varchar), 1, 'second', '', ['k'], 8, [doc_id % 50 + x for x in range(5)] from answers"""
 _CTES["model_rows"] = """select completion_id, pos, theme, description, keywords, count,
   coalesce((select list(p.issue_id order by u.at) from (select unnest(idxs) as idx, generate_subscripts(idxs, 1) as at) u

@@ -436,7 +436,7 @@ def _completions(f: Forum) -> DataFrame:
                     F.array(word, F.lit("x"), F.lit("y"), F.lit("z"), F.lit("u"), F.lit("v"), F.lit("w")).alias(
                         "keywords"
                     ),
-                    F.array(key % 120, (key + 7) % 120, F.lit(-1), key + 10_000_000).alias("issue_idxs"),
+                    F.array(key % 180, (key + 7) % 180, F.lit(-1), key + 10_000_000).alias("issue_idxs"),
                 ),
                 F.struct(
                     F.lit("second").alias("theme"),
@@ -463,9 +463,9 @@ def _completions(f: Forum) -> DataFrame:
 
 
 def _themes_of_completions(f: Forum) -> DataFrame:
-    prompt = themes.theme_prompt_rows(f.document_issues)
+    numbered = themes.numbered_issues(f.document_issues)
     total = f.table("documents").agg(F.count(F.lit(1)))
-    return themes.themes_from_completions(_completions(f), prompt, total)
+    return themes.themes_from_completions(_completions(f), numbered, total)
 
 
 @query
