@@ -103,19 +103,25 @@ def link(parsed: DataFrame, scope: str, order: str) -> DataFrame:
 
 
 def roots(links: DataFrame, scope: str, order: str) -> DataFrame:
-    """(scope, order, root, depth) of every linked message, by doubling the jumps."""
-    now = links.select(scope, order, F.col("parent").alias("root"), F.lit(1).cast("bigint").alias("depth"))
-    now = now.checkpoint()
+    """(scope, order, root, depth) of every linked message, by doubling the jumps.
+
+    A message whose root is found takes no further part but as a step of others.
+    """
+    now = links.select(
+        scope, order, F.col("parent").alias("root"), F.lit(1).cast("bigint").alias("depth"), F.lit(True).alias("open")
+    ).checkpoint()
     for _ in range(MAX_ROUNDS):
-        ahead = now.select(scope, F.col(order).alias("root"), F.col("root").alias("_next"), F.col("depth").alias("_more"))
-        moved = now.join(ahead, [scope, "root"], "left").select(
+        ahead = now.select(
+            scope, F.col(order).alias("root"), F.col("root").alias("_next"), F.col("depth").alias("_more"),
+            F.col("open").alias("_open"),
+        )
+        moved = now.filter("open").join(ahead, [scope, "root"], "left").select(
             scope, order, F.coalesce("_next", "root").alias("root"),
-            (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), F.col("_next").isNotNull().alias("moved"),
+            (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), F.coalesce("_open", F.lit(False)).alias("open"),
         )
-        moved = moved.checkpoint()
-        now = moved.drop("moved")
-        if moved.filter("moved").isEmpty():
-            return now
+        now = now.filter("not open").unionByName(moved).checkpoint()
+        if now.filter("open").isEmpty():
+            return now.drop("open")
     raise RuntimeError(f"no roots after {MAX_ROUNDS} rounds")
 
 
