@@ -172,3 +172,29 @@ def test_long_chain(spark):
     rows.append(("x", 100, "> line 99\n" + "word " * 100_000))
     got = quotes.conversations(spark.createDataFrame(rows, "conv_id string, turn long, text string")).collect()
     assert all(r.root == 0 and r.depth == r.turn == r.position for r in got)
+
+
+PARTS = [
+    ("p", 1, "Hello all,\n\nthe first paragraph\nhas two lines.\n\nAnd a third one ends it."),
+    ("p", 2, "Something else\nin two lines."),
+    ("p", 3, "> The first paragraph has\n> two lines.\n\nA paragraph, wrapped anew."),
+    ("p", 4, "> in two lines.\nOne line."),
+    ("p", 5, "> Hello all,\nhello\n> the first paragraph\nyes\n> has two lines.\n>\n> And a third one ends it.\nin between"),
+    ("p", 6, ">> One line.\n> altered beyond use\n\nThe level below is lost."),
+    ("p", 7, ">>> Something else\n>> nobody wrote this\n> nor this\n\nDeeper still."),
+    ("p", 8, "> One line.\n>> in between\nLevel 1 goes first."),
+]
+
+
+def test_quoted_parts(spark):
+    mail = spark.createDataFrame(PARTS, "conv_id string, turn long, text string")
+    got = {r.turn: (r.root, r.parent, r.own_text) for r in quotes.conversations(mail).collect()}
+    assert {t: p for t, (_, p, _) in got.items()} == {1: None, 2: None, 3: 1, 4: 2, 5: 1, 6: 4, 7: 2, 8: 4}
+    assert got[5][2] == "hello\nyes\nin between" and got[6][0] == 2
+
+
+def test_mail_quotes_parts_and_interleaves(spark):
+    turns = [("c", i, "\n".join(f"line {i} {j}" for j in range(4))) for i in range(5)]
+    sent = {r.turn: r.text for r in queries.mail(spark.createDataFrame(turns, "conv_id string, turn long, text string")).collect()}
+    assert sent[1] == "> line 0 3\n" + turns[1][2]
+    assert sent[2].split("\n")[4:7] == ["> line 1 0", "line 2 0", "> line 1 1"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import (
@@ -147,17 +147,37 @@ def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mail(turns: DataFrame) -> DataFrame:
     """The conversations as mail: a turn quotes the one before it, and what that one quoted.
 
-    Every fifth turn answers the one before the last instead.
+    Every fifth turn answers the one before the last instead. Turns quote by turns the
+    whole message, its longest line only (a line of one word can be anybody's), or all
+    of it with the answer's first line after its first line.
     """
-    quote = F.lit("(?m)^")
     step = F.when((F.col("turn") % 5 == 4) & (F.col("turn") > 1), 2).otherwise(1)
-    now = turns.select("conv_id", "turn", "text", (F.col("turn") - step).alias("to"))
+    now = turns.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), (F.col("turn") - step).alias("to"))
     back = turns.select("conv_id", F.col("turn").alias("to"), F.col("text").alias("first"), (F.col("turn") - 1).alias("older"))
     last = turns.select("conv_id", F.col("turn").alias("older"), F.col("text").alias("second"))
     joined = now.join(back, ["conv_id", "to"], "left").join(last, ["conv_id", "older"], "left")
-    inner = F.coalesce(F.concat(F.regexp_replace("second", quote, F.lit(">> ")), F.lit("\n")), F.lit(""))
-    outer = F.coalesce(F.concat(inner, F.regexp_replace("first", quote, F.lit("> ")), F.lit("\n\n")), F.lit(""))
-    return joined.select("conv_id", "turn", F.concat(outer, "text").alias("text"))
+
+    def marked(lines: Column, mark: str) -> Column:
+        return F.transform(lines, lambda x: F.concat(F.lit(mark), x))
+
+    def lines_of(name: str) -> Column:
+        return F.split(F.col(name), "\n", -1)
+
+    def longest(lines: Column) -> Column:
+        return F.array(F.array_max(F.transform(lines, lambda x: F.struct(F.length(x).alias("n"), x.alias("line")))).line)
+
+    def rest(lines: Column) -> Column:
+        return F.slice(lines, F.lit(2), F.size(lines))
+
+    none = F.array().cast("array<string>")
+    own, first, second = lines_of("text"), lines_of("first"), lines_of("second")
+    inner, one = F.coalesce(marked(second, ">> "), none), F.slice(own, 1, 1)
+    whole = F.concat(inner, marked(first, "> "), F.array(F.lit("")), own)
+    part = F.concat(F.coalesce(marked(longest(second), ">> "), none), marked(longest(first), "> "), own)
+    between = F.concat(inner, marked(F.slice(first, 1, 1), "> "), one, marked(rest(first), "> "), rest(own))
+    kind = F.pmod("turn", F.lit(3))
+    lines = F.when(kind == 0, whole).when(kind == 1, part).otherwise(between)
+    return joined.select("conv_id", "turn", F.array_join(F.coalesce(lines, own), "\n").alias("text"))
 
 
 @_query

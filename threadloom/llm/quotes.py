@@ -11,6 +11,8 @@ from threadloom.llm.common import SPACE_PATTERN, let
 from threadloom.operators.distributed import positions
 
 _MARKS = "^[ \\t]*(?:>[ \\t]?)*"  # quote marks at the start of a line
+_PARAGRAPH = "\\n[ \\t-\\r]*\\n"
+_UNITS = "array<struct<level:int,run:int,paragraph:int,size:string,hash:binary>>"
 MAX_ROUNDS = 64  # each round doubles the depth that is resolved
 
 
@@ -49,57 +51,129 @@ def passages(text: Column) -> Column:
     return let(lines, runs)
 
 
-def normalised(lines: Column) -> Column:
+def normalised(text: Column) -> Column:
     """One line in lower case with single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.array_join(lines, " ")), SPACE_PATTERN, " "))
+    return F.trim(F.regexp_replace(F.lower(text), SPACE_PATTERN, " "))
 
 
 def _digest(text: Column) -> Column:
-    return F.sha2(text, 256)
+    return F.unhex(F.md5(text))
 
 
-def parse(messages: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """``keys``, ``own_text``, ``own_hashes`` and ``quote_hashes`` of every message.
+def _joined(lines: Column) -> Column:
+    return F.array_join(lines, "\n")
+
+
+def _full(texts: Column) -> Column:
+    """The normalised texts that are not empty."""
+    return F.filter(F.transform(texts, normalised), lambda t: t != "")
+
+
+def _paragraphs(lines: Column) -> Column:
+    return F.filter(F.split(_joined(lines), _PARAGRAPH, -1), lambda t: normalised(t) != "")
+
+
+def _unit(level: Column, run: Column, paragraph: Column, size: str, text: Column) -> Column:
+    return F.struct(
+        level.alias("level"), run.alias("run"), paragraph.alias("paragraph"), F.lit(size).alias("size"),
+        _digest(text).alias("hash"),
+    )
+
 
-    ``own_hashes`` are of the whole own text and of its single runs, ``quote_hashes``
-    of the passages at level 1, which the message answers. Empty passages have none.
+def _quoted_units(runs: Column, level: Column) -> Column:
+    """What is quoted at one level: all of it, its runs, their paragraphs and lines.
+
+    A part that is the whole of the next larger one is left out.
     """
+    none = F.lit(-1)
+
+    def of_run(lines: Column, i: Column) -> Column:
+        def of_paragraphs(paragraphs: Column) -> Column:
+            single = F.transform(paragraphs, lambda t, p: _unit(level, i, p, "paragraph", normalised(t)))
+            lines_of = F.transform(
+                paragraphs,
+                lambda t, p: let(
+                    _full(F.split(t, "\n", -1)),
+                    lambda x: F.when(F.size(x) > 1, F.transform(x, lambda y: _unit(level, i, p, "line", y))).otherwise(
+                        F.array().cast(_UNITS)
+                    ),
+                ),
+            )
+            whole = F.array(_unit(level, i, none, "run", normalised(_joined(lines))))
+            return (
+                F.when(F.size(paragraphs) == 0, F.array().cast(_UNITS))
+                .when(F.size(paragraphs) == 1, F.concat(whole, F.flatten(lines_of)))
+                .otherwise(F.concat(whole, single, F.flatten(lines_of)))
+            )
+
+        return let(_paragraphs(lines), of_paragraphs)
+
+    def of(mine: Column) -> Column:
+        every = F.array(_unit(level, none, none, "all", normalised(_joined(F.flatten(F.transform(mine, lambda r: r.lines))))))
+        parts = F.flatten(F.transform(mine, lambda r, i: of_run(r.lines, i)))
+        return F.when(F.size(mine) > 1, F.concat(every, parts)).otherwise(parts)
+
+    return let(F.filter(runs, lambda r: r.level == level), of)
 
-    def hashes(runs: Column) -> Column:
-        texts = F.filter(F.transform(runs, lambda r: normalised(r.lines)), lambda t: t != "")
-        return F.array_distinct(F.transform(texts, _digest))
+
+def parse(messages: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """``keys``, ``own_text``, ``own_hashes`` and ``quoted`` of every message.
+
+    ``own_hashes`` are of the whole own text, its single runs, paragraphs and lines.
+    ``quoted`` has the level, place, size and hash of what is quoted at each level:
+    all of it, runs, paragraphs and lines. Empty passages have none.
+    """
 
     def of(runs: Column) -> Column:
         own = F.filter(runs, lambda r: r.level == 0)
-        lines = F.flatten(F.transform(own, lambda r: r.lines))
-        return let(
-            lines,
-            lambda x: F.struct(
-                F.regexp_replace(F.array_join(x, "\n"), "^(?:[ \\t\\r]*\\n)+|\\s+$", "").alias("own_text"),
-                F.array_union(hashes(F.array(F.struct(F.lit(0).alias("level"), x.alias("lines")))), hashes(own)).alias("own_hashes"),
-                hashes(F.filter(runs, lambda r: r.level == 1)).alias("quote_hashes"),
-            ),
-        )
+        levels = F.filter(F.array_distinct(F.transform(runs, lambda r: r.level)), lambda v: v > 0)
+
+        def parts(lines: Column) -> Column:
+            texts = F.concat(
+                F.array(_joined(lines)), F.transform(own, lambda r: _joined(r.lines)),
+                F.flatten(F.transform(own, lambda r: _paragraphs(r.lines))), lines,
+            )
+            return F.struct(
+                F.regexp_replace(_joined(lines), "^(?:[ \\t\\r]*\\n)+|\\s+$", "").alias("own_text"),
+                F.transform(F.array_distinct(_full(texts)), _digest).alias("own_hashes"),
+                F.flatten(F.transform(levels, lambda v: _quoted_units(runs, v))).alias("quoted"),
+            )
+
+        return let(F.flatten(F.transform(own, lambda r: r.lines)), parts)
 
     parsed = messages.select(*[F.col(k) for k in keys], let(passages(F.col(text)), of).alias("_p"))
-    return parsed.select(*keys, "_p.own_text", "_p.own_hashes", "_p.quote_hashes")
+    return parsed.select(*keys, "_p.own_text", "_p.own_hashes", "_p.quoted")
 
 
 def link(parsed: DataFrame, scope: str, order: str) -> DataFrame:
     """(scope, order, parent): the message that each message quotes.
 
     A passage belongs to the earliest message of the scope that wrote it, so a
-    hash has one row however many messages repeat it. Of several quoted messages
-    the latest is answered; a message is never linked to itself or a later one.
+    hash has one row however many messages repeat it. Paragraphs are looked at where
+    their run is not found, lines where their paragraph is not. Of several messages
+    quoted at level 1 the latest is answered; deeper levels count, the lowest first,
+    where level 1 finds none. A message is never linked to itself or a later one.
     """
     wrote = (
         parsed.select(scope, order, F.explode("own_hashes").alias("hash"))
         .groupBy(scope, "hash")
         .agg(F.min(order).alias("parent"))
     )
-    quoted = parsed.select(scope, order, F.explode("quote_hashes").alias("hash"))
+    quoted = parsed.select(scope, order, F.explode("quoted").alias("_q")).select(scope, order, "_q.*")
     found = quoted.join(wrote, [scope, "hash"]).filter(F.col("parent") < F.col(order))
-    return found.groupBy(scope, order).agg(F.max("parent").alias("parent"))
+
+    def latest(size: str) -> Column:
+        return F.max(F.when(F.col("size") == size, F.col("parent")))
+
+    paragraphs = found.groupBy(scope, order, "level", "run", "paragraph").agg(
+        latest("all").alias("all"), latest("run").alias("whole"),
+        F.coalesce(latest("paragraph"), latest("line")).alias("part"),
+    )
+    runs = paragraphs.groupBy(scope, order, "level", "run").agg(
+        F.max("all").alias("all"), F.coalesce(F.max("whole"), F.max("part")).alias("part")
+    )
+    levels = runs.groupBy(scope, order, "level").agg(F.coalesce(F.max("all"), F.max("part")).alias("parent"))
+    return levels.groupBy(scope, order).agg(F.min_by("parent", "level").alias("parent"))
 
 
 def roots(links: DataFrame, scope: str, order: str) -> DataFrame:
