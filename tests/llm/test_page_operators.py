@@ -60,6 +60,19 @@ def test_url_trees_learn(spark):
     assert sum((r.verdict == "block") == truth[r.page_id] for r in got) / len(got) > 0.97
 
 
+def test_suffix_statistics_of_all_urls(spark):
+    rows = [(f"http://h{i}.{'org' if i % 20 else 'rare'}/{i}", int(i % 3 == 0)) for i in range(1000)]
+    model = url_filter.train(spark.createDataFrame(rows, "url string, blocked int"), max_rows=60, rounds=2)
+    got = {r["_suffix"]: (r["_n"], r["_b"]) for r in model.suffixes.table.collect()}
+    assert got == {"org": (950, 317), "rare": (50, 17)}
+    # Two urls of one fold and of unlike labels share their statistics, and differ from an unlabelled one.
+    urls = spark.createDataFrame(rows, "url string, blocked int").withColumns({"host": F.lit("x.rare"), "path": F.lit("/"), "labelled": F.lit(True)})
+    values = url_filter._vectors(urls, model.suffixes).select(url_filter._fold(F.col("url")).alias("fold"), F.col("_features")).collect()
+    assert len({(r.fold, r["_features"][10]) for r in values}) == len({r.fold for r in values})
+    new = url_filter._vectors(urls.withColumn("labelled", F.lit(False)), model.suffixes).first()
+    assert new["_features"][10] == pytest.approx((17 + 20 * 0.334) / 70)
+
+
 def test_url_features_and_edges(spark):
     got = spark.range(1).select(url_filter.entropy(F.lit("aabb")).alias("two"), url_filter.entropy(F.lit("")).alias("none")).first()
     assert got.two == 1.0 and got.none == 0.0

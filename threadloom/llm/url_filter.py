@@ -15,6 +15,8 @@ from threadloom.llm.common import ascii_lower, let, without
 
 Rule = tuple[str, str, str]  # host, path, verdict
 MAX_RULES = 1000
+MAX_BROADCAST = 100_000  # more suffixes than this are joined by shuffle
+FOLDS = 8
 _PARTS = "(?s)^.*?://([^/?#]*)([^?#]*)"
 LEXICAL = (
     "url_chars host_chars path_chars path_depth host_labels digit_share hyphens entropy parameters encoded"
@@ -103,12 +105,22 @@ def suffix(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
+@dataclass(frozen=True)
+class Suffixes:
+    """Labelled and blocked urls of every suffix, in all and by fold."""
+
+    table: DataFrame
+    small: bool
+    prior: float
+    smoothing: float
+
+
 @dataclass(frozen=True)
 class UrlModel:
     """Boosted trees with the suffix statistics that two of their features need."""
 
     trees: GBTClassificationModel | None
-    suffixes: DataFrame
+    suffixes: Suffixes
     prior: float
 
 
@@ -118,57 +130,70 @@ def train(
 ) -> UrlModel:
     """Fit the trees on labelled urls (url, blocked 0/1).
 
-    Uses ``max_rows`` different urls at most, those of smallest hash. Suffix
+    The trees use ``max_rows`` different urls at most, those of smallest hash. Suffix
     statistics, the smoothed share of blocked urls and the number of urls, come
-    from the same rows and only for suffixes with ``min_suffix`` of them, so there
-    are at most ``max_rows / min_suffix``. Null urls and labels are left out. With
-    one class or no row there are no trees and every url scores the prior.
+    from all different labelled urls, for suffixes with ``min_suffix`` of them. Null
+    urls and labels are left out. With one class or no row there are no trees and
+    every url scores the prior.
     """
     rows = labelled.filter(F.col("url").isNotNull() & F.col("blocked").isNotNull())
     distinct = rows.groupBy("url").agg(F.max(F.col("blocked").cast("double")).alias("blocked"))
-    sample = distinct.orderBy(F.xxhash64("url"), "url").limit(max_rows)
-    parts = sample.withColumn("_u", split_url(F.col("url")))
-    parts = parts.select("url", "blocked", F.col("_u.host").alias("host"), F.col("_u.path").alias("path"))
-    parts = parts.repartition(4, "url").checkpoint()
-    n, blocked = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
-    prior = blocked / n if n else 0.0
-    suffixes = (
-        parts.groupBy(suffix(F.col("host")).alias("_suffix"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum("blocked").alias("_b"))
-        .filter(F.col("_n") >= min_suffix)
-        .select(
-            "_suffix",
-            ((F.col("_b") + smoothing * prior) / (F.col("_n") + smoothing)).alias("suffix_blocked"),
-            F.log1p(F.col("_n").cast("double")).alias("suffix_seen"),
-        )
+    distinct = distinct.withColumn("_u", split_url(F.col("url")))
+    distinct = distinct.select("url", "blocked", F.col("_u.host").alias("host"), F.col("_u.path").alias("path")).checkpoint()
+    folds = (
+        distinct.groupBy(suffix(F.col("host")).alias("_suffix"), _fold(F.col("url")).alias("fold"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("b"))
+        .groupBy("_suffix")
+        .agg(F.sum("n").alias("_n"), F.sum("b").alias("_b"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "b")))).alias("_folds"))
         .checkpoint()
     )
-    if blocked in (0, n):
+    n, blocked = folds.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_b"), F.lit(0.0))).first()
+    prior = blocked / n if n else 0.0
+    seen = folds.filter(F.col("_n") >= min_suffix).checkpoint()
+    suffixes = Suffixes(seen, seen.count() <= MAX_BROADCAST, prior, smoothing)
+    sample = distinct.orderBy(F.xxhash64("url"), "url").limit(max_rows).withColumn("labelled", F.lit(True))
+    parts = sample.repartition(4, "url").checkpoint()
+    found = {r.blocked for r in parts.select("blocked").distinct().collect()}
+    if len(found) < 2:
         return UrlModel(None, suffixes, prior)
     learner = GBTClassifier(
         labelCol="blocked", featuresCol="_features", maxIter=rounds, maxDepth=depth, seed=seed, stepSize=0.2
     )
-    return UrlModel(learner.fit(_vectors(parts, suffixes, prior)), suffixes, prior)
+    return UrlModel(learner.fit(_vectors(parts, suffixes)), suffixes, prior)
+
+
+def _fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), url), F.lit(FOLDS)).cast("int")
 
 
-def _vectors(df: DataFrame, suffixes: DataFrame, prior: float) -> DataFrame:
-    """Add the feature vector; needs url, host and path."""
+def _vectors(df: DataFrame, suffixes: Suffixes) -> DataFrame:
+    """Add the feature vector; needs url, host, path and labelled.
+
+    A labelled url takes the statistics of its suffix without its own fold, so its
+    label is not in them. Leaving out the url alone would give the label away: the
+    blocked urls of a suffix would all have one share and the others another.
+    """
     full = df.withColumns({f"_{k}": v for k, v in lexical(F.col("url"), F.col("host"), F.col("path")).items()})
-    renamed = suffixes.select(
-        "_suffix", F.col("suffix_blocked").alias("_suffix_blocked"), F.col("suffix_seen").alias("_suffix_seen")
-    )
-    # The suffix table is bounded by the size of the training sample.
-    full = full.join(F.broadcast(renamed), suffix(F.col("host")) == F.col("_suffix"), "left")
-    full = full.fillna({"_suffix_blocked": prior, "_suffix_seen": 0.0})
+    table = F.broadcast(suffixes.table) if suffixes.small else suffixes.table
+    full = full.join(table, suffix(F.col("host")) == F.col("_suffix"), "left")
+    own = F.when(F.col("labelled"), F.col("_folds")[_fold(F.col("url"))])
+    left = F.col("_n") - F.coalesce(own.n, F.lit(0))
+    share = (F.col("_b") - F.coalesce(own.b, F.lit(0.0)) + suffixes.smoothing * suffixes.prior) / (left + suffixes.smoothing)
+    full = full.withColumns(
+        {
+            "_suffix_blocked": F.coalesce(share, F.lit(suffixes.prior)),
+            "_suffix_seen": F.coalesce(F.log1p(left.cast("double")), F.lit(0.0)),
+        }
+    ).drop("_n", "_b", "_folds")
     names = [f"_{f}" for f in FEATURES]
     return VectorAssembler(inputCols=names, outputCol="_features").transform(full).drop("_suffix", *names)
 
 
 def score(df: DataFrame, model: UrlModel, out: str = "blocked_score") -> DataFrame:
-    """Add the probability that a url is blocked; needs url, host and path."""
+    """Add the probability that a url is blocked; needs url, host, path and labelled."""
     if model.trees is None:
         return df.withColumn(out, F.lit(model.prior))
-    scored = model.trees.transform(_vectors(df, model.suffixes, model.prior))
+    scored = model.trees.transform(_vectors(df, model.suffixes))
     scored = scored.withColumn(out, vector_to_array("probability")[1])
     return scored.drop("_features", "rawPrediction", "probability", "prediction")
 
@@ -200,6 +225,10 @@ def judge_urls(
         labelled = ruled.filter(F.col("rule").isNotNull()).select(
             "url", (F.col("rule_verdict") == "block").cast("int").alias("blocked")
         )
+        ruled = ruled.withColumn("labelled", F.col("rule").isNotNull())
+    else:
+        known = labelled.filter(F.col("blocked").isNotNull()).select("url").distinct().withColumn("labelled", F.lit(True))
+        ruled = ruled.join(known, "url", "left").withColumn("labelled", F.coalesce("labelled", F.lit(False)))
     scored = score(ruled, train(labelled, **training))
     by_model = F.when(F.col("blocked_score") > threshold, "block").otherwise("allow")
     return scored.select(
