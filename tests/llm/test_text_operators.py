@@ -263,6 +263,18 @@ def test_items_by_shuffle(spark, monkeypatch):
     assert [r.doc_id for r in decontam.contained_items(docs, benchmark).collect()] == [1]
 
 
+def test_short_and_unspaced_items(spark):
+    items = [(1, "Yes!"), (2, "Mount Fuji"), (3, "who, what, where, when"), (4, "日本の首都は東京です。"), (5, "ประเทศไทย"), (6, "東京")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = {
+        1: "They say yes to it", 2: "yesterday Fuji Mount", 3: "at (mount) FUJI, who what where else when", 4: "x who what where when",
+        5: "昨日、日本の首都は東京ですと聞いた", 6: "อยู่ในประเทศไทยนี้", 7: "京東",
+    }
+    got = decontam.contained_items(cases.documents(spark, rows), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (3, 2), (4, 3), (5, 4), (5, 6), (6, 5)}
+    assert all(r.n_shared == r.n_shingles == 1 for r in got if r.item_id in (1, 2, 3, 6))
+
+
 # Languages
 
 

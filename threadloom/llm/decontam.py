@@ -18,9 +18,17 @@ from threadloom.llm.common import fresh, let, shingle_hashes
 MAX_BROADCAST = 500_000
 
 
+# Scripts written without spaces: every character is a word.
+UNSPACED = "([\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}])"
+
+
 def plain_words(text: Column) -> Column:
-    """Words of letters and digits, lower-cased; everything else separates."""
-    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+", " ")
+    """Words of letters and digits, lower-cased; everything else separates.
+
+    Characters of scripts without spaces are words of their own.
+    """
+    cut = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), UNSPACED, " $1 ")
+    spaced = F.regexp_replace(cut, "[^\\p{L}\\p{N}]+", " ")
     return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
@@ -30,7 +38,7 @@ def _distinct_shingles(text: Column, size: int) -> Column:
 
 def items_of(benchmark: DataFrame, size: int, item: str, text: str) -> DataFrame:
     """Item id, its distinct shingles and their number. Items of fewer than ``size``
-    words name no passage and are left out, as are those without an id."""
+    words are searched by ``short_items``; those without an id are left out."""
     counted = benchmark.select(F.col(f"`{item}`").alias("item_id"), plain_words(F.col(f"`{text}`")).alias("_w"))
     counted = counted.filter(F.col("item_id").isNotNull() & (F.size("_w") >= size))
     sets = counted.select("item_id", F.array_distinct(shingle_hashes(F.col("_w"), size)).alias("shingles"))
@@ -49,6 +57,25 @@ def sketches(items: DataFrame, percent: int) -> DataFrame:
     return items.select("item_id", F.explode(chosen).alias("_s")).select("item_id", F.col("_s.shingle").alias("shingle"))
 
 
+def short_items(slim: DataFrame, benchmark: DataFrame, size: int, item: str, text: str) -> DataFrame:
+    """(doc_key, item_id) of the items of fewer than ``size`` words, found as exact runs of their own length."""
+    items = benchmark.select(F.col(f"`{item}`").alias("item_id"), plain_words(F.col(f"`{text}`")).alias("_w"))
+    items = items.filter(F.col("item_id").isNotNull() & F.size("_w").between(1, size - 1))
+
+    def runs(w: Column, n: int) -> Column:
+        return F.transform(shingle_hashes(w, n), lambda h: F.xxhash64(F.lit(n), h))
+
+    by_size = F.coalesce(*[F.when(F.size("_w") == n, runs(F.col("_w"), n)[0]) for n in range(1, size)])
+    items = items.select("item_id", F.size("_w").alias("_n"), by_size.alias("run")).distinct().checkpoint()
+    lengths = sorted(r["_n"] for r in items.select("_n").distinct().collect())
+    if not lengths:
+        return slim.select("doc_key").crossJoin(items.select("item_id").limit(0))
+    near = F.broadcast if items.count() <= MAX_BROADCAST else (lambda df: df)
+    held = let(plain_words(F.col("_text")), lambda w: F.array_distinct(F.concat(*[runs(w, n) for n in lengths])))
+    found = slim.select("doc_key", F.explode(held).alias("run")).join(near(items), "run")
+    return found.select("doc_key", "item_id").distinct()
+
+
 def contained_items(
     docs: DataFrame, benchmark: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", item: str = "item_id",
     text: str = "text", item_text: str = "text",
@@ -56,7 +83,7 @@ def contained_items(
     """(key, item, n_shingles, n_shared) of every item with ``percent`` of its shingles in a document.
 
     Shingles are ``size`` words, compared without case and punctuation; whole texts
-    are searched. No such pair is missed. Null and empty texts contain nothing,
+    are searched. An item of fewer words is one shingle, its words in a row. No such pair is missed. Null and empty texts contain nothing,
     rows with a null key are left out, repeated rows count once. Rows that share a
     key or an item id but not the text are judged each, and the best one counts.
     """
@@ -73,9 +100,17 @@ def contained_items(
     shared = let(
         _distinct_shingles(F.col("_text"), size), lambda mine: F.size(F.array_intersect(mine, F.col("shingles")))
     ).cast("bigint")
+    one = F.lit(1).cast("bigint")
+    short = (
+        short_items(slim, benchmark, size, item, item_text)
+        .select("doc_key", "item_id", one.alias("n_shingles"), one.alias("n_shared"))
+        if size > 1
+        else None
+    )
+    judged = compared.select("doc_key", "item_id", F.col("n_shingles"), shared.alias("n_shared"))
+    judged = judged.unionByName(short) if short is not None else judged
     return (
-        compared.select("doc_key", "item_id", "n_shingles", shared.alias("n_shared"))
-        .filter(100 * F.col("n_shared") >= percent * F.col("n_shingles"))
+        judged.filter(100 * F.col("n_shared") >= percent * F.col("n_shingles"))
         .groupBy(F.col("doc_key").alias(key), F.col("item_id").alias(item))
         .agg(F.max(F.struct((F.col("n_shared") / F.col("n_shingles")).alias("r"), "n_shared", "n_shingles")).alias("_b"))
         .select(key, item, F.col("_b.n_shingles").alias("n_shingles"), F.col("_b.n_shared").alias("n_shared"))
