@@ -302,6 +302,17 @@ def test_languages(spark):
     assert all(r.lang_pred == "und" and r.score == 0 for r in got if r.doc_id >= 100)
 
 
+def test_letters_of_all_code_points(spark):
+    letter = langid._letters()
+    for text in ["\U0001F600\U0001F680", "。！", "\u3000\u3000", "「」"]:
+        assert langid._stream(text, letter).size == 0
+    assert langid._stream("漢字。\U00020000", letter).tolist() == [0x6F22, 0x5B57, 32, 0x20000]
+    rows = [(i, speech(lang, i), lang) for i, lang in enumerate(["en", "ru"] * 10)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = langid.predict(cases.documents(spark, {1: "\U0001F600 。！", 2: "\u3000"}), model).collect()
+    assert {(r.lang_pred, r.score, r.rejected) for r in got} == {("und", 0.0, True)}
+
+
 def test_languages_of_nothing(spark):
     model = langid.train(cases.no_documents(spark))
     got = langid.predict(cases.odd_documents(spark), model)

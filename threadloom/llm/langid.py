@@ -16,7 +16,7 @@ from threadloom.llm.hashing import mix
 from threadloom.llm.packing import pack, slices, unpack
 
 UNKNOWN = "und"
-_TABLE = 0x3000  # code points below this are looked up, others count as letters
+_TABLE = 0x110000  # all code points
 _BATCH_BYTES = 2 << 20
 
 
@@ -38,13 +38,13 @@ class Training:
 
 
 def _letters() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(_TABLE)])
+    return np.fromiter((chr(i).isalpha() for i in range(_TABLE)), bool, _TABLE)
 
 
 def _stream(text: str | None, letter: np.ndarray) -> np.ndarray:
     """Code points of the lower-cased letters, each run of other characters as one space."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32)
-    is_letter = np.where(points < _TABLE, letter[np.minimum(points, _TABLE - 1)], True)
+    is_letter = letter[points]
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]
     out = np.where(is_letter, points, 32)[keep]
