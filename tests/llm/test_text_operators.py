@@ -108,6 +108,14 @@ def test_quality_lines(spark):
     assert set(kept) == {1, 3} and kept[1].text == got[1].cleaned_text and kept[1].n_chars == len(kept[1].text)
 
 
+def test_sentence_ends_of_all_scripts(spark):
+    ends = {"hi": ("शब्द", "।"), "ur": ("لفظ", "۔"), "ar": ("كلمة", "؟"), "hy": ("բառ", "։"), "am": ("ቃል", "።"), "my": ("စာ", "။"), "km": ("ពាក្យ", "។"), "th": ("คำ", ""), "en": ("word", ".")}
+    lines = [(k, " ".join(f"{w}{w * (i % 6)}" for i in range(11)) + end) for k, (w, end) in ends.items()]
+    lines += [("hi-", "शब्द " * 5 + "एक दो तीन चार पांच"), ("en-", "a คำ b c d e f g h i")]
+    got = spark.createDataFrame(lines, "k string, line string").select("k", quality.line_fails(F.col("line"), quality.LineRules()).alias("why"))
+    assert {r.k: r.why for r in got.collect()} == {**dict.fromkeys(ends), "hi-": "punctuation", "en-": "punctuation"}
+
+
 def test_quality_odd_tables(spark):
     docs = cases.odd_documents(spark)
     assert quality.judge_documents(docs).count() == docs.count()

@@ -12,7 +12,20 @@ from threadloom.llm.common import SPACES, fresh, let, without, words
 # Fixed values.
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = ("|", "»", "›", "•", "·", ">", "/")
-SENTENCE_END = "[.!?\\u2026\\u3002\\uFF01\\uFF1F][\"'\\)\\]\\u00BB\\u201C\\u201D\\u2019]*([ \\t\\r]|\\z)"
+# Sentence-terminal marks of all scripts (Unicode's STerm), and the ellipsis.
+SENTENCE_MARKS = (
+    ".!?\\u2026\\u3002\\uFF01\\uFF1F\\u0589\\u061D-\\u061F\\u06D4\\u0700-\\u0702\\u07F9\\u0837\\u0839\\u083D\\u083E\\u0964\\u0965"
+    "\\u104A\\u104B\\u1362\\u1367\\u1368\\u166E\\u1735\\u1736\\u17D4\\u17D5\\u1803\\u1809\\u1944\\u1945\\u1AA8-\\u1AAB"
+    "\\u1B5A\\u1B5B\\u1B5E\\u1B5F\\u1C3B\\u1C3C\\u1C7E\\u1C7F\\u203C\\u203D\\u2047-\\u2049\\u2E2E\\u2E3C\\uA4FF\\uA60E\\uA60F"
+    "\\uA6F3\\uA6F7\\uA876\\uA877\\uA8CE\\uA8CF\\uA92F\\uA9C8\\uA9C9\\uAA5D-\\uAA5F\\uAAF0\\uAAF1\\uABEB\\uFF0E\\uFF61"
+    "\\x{10A56}\\x{10A57}\\x{10F55}-\\x{10F59}\\x{11047}\\x{11048}\\x{110BE}-\\x{110C1}\\x{11141}-\\x{11143}\\x{111C5}\\x{111C6}"
+    "\\x{111CD}\\x{111DE}\\x{111DF}\\x{11238}\\x{11239}\\x{1123B}\\x{1123C}\\x{112A9}\\x{1144B}\\x{1144C}\\x{115C2}\\x{115C3}"
+    "\\x{115C9}-\\x{115D7}\\x{11641}\\x{11642}\\x{1173C}-\\x{1173E}\\x{16A6E}\\x{16A6F}\\x{16AF5}\\x{16B37}\\x{16B38}\\x{16B44}"
+    "\\x{16E98}\\x{1BC9F}\\x{1DA88}"
+)
+# Thai, Lao and Tibetan prose has no such marks: lines that end in these scripts.
+UNMARKED = "[\\p{IsThai}\\p{IsLao}\\p{IsTibetan}][^\\p{L}]*\\z"
+SENTENCE_END = f"[{SENTENCE_MARKS}]" "[\"'\\)\\]\\u00BB\\u201C\\u201D\\u2019]*([ \\t\\r]|\\z)"
 BOILERPLATE = (
     "all rights reserved",
     "cookie policy",
@@ -88,7 +101,7 @@ def line_fails(line: Column, rules: LineRules) -> Column:
             .when((symbols >= 3) & (symbols >= rules.symbol_share * n), "symbols")
             .when((n >= rules.repeat_words) & (F.size(F.array_distinct(w)) < rules.distinct_share * n), "repetition")
             .when((n < rules.boilerplate_words) & F.lower(line).rlike(phrases), "boilerplate")
-            .when((n >= rules.unpunctuated_words) & ~line.rlike(SENTENCE_END), "punctuation")
+            .when((n >= rules.unpunctuated_words) & ~line.rlike(SENTENCE_END) & ~line.rlike(UNMARKED), "punctuation")
         )
 
     return let(line, lambda x: let(words(x), lambda w: judge(x, w)))
