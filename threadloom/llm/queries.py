@@ -10,17 +10,20 @@ from pyspark.sql import functions as F
 
 from threadloom.llm import (
     bpe,
+    curves,
     decontam,
     langid,
     neardup,
+    periodic,
     quality,
     quotes,
     sharding,
     substring,
     url_filter,
     warc,
+    whitening,
 )
-from threadloom.llm.common import words
+from threadloom.llm.common import let, words
 from threadloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,3 +190,50 @@ def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "conv_id", "turn", "root", "parent", "depth", "position", F.sha2("own_text", 256).alias("own_sha256")
     )
+
+
+@_query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding's coordinates on the first eight whitened components."""
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=8)
+    return found.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the documents, by the hash of their id, gets a periodic end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def bounds(w: Column) -> Column:
+        g = F.floor(h / 10)
+        start = F.pmod(g, F.size(w))
+        return F.struct(start.alias("start"), (1 + F.floor((F.size(w) - start) / (3 + g % 8))).alias("period"))
+
+    def repeated(w: Column, b: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(w) - 1)
+        return F.transform(at, lambda i: F.get(w, F.when(i < b.start, i).otherwise(b.start + (i - b.start) % b.period).cast("int")))
+
+    def whole(w: Column) -> Column:
+        return F.when(F.size(w) > 0, let(bounds(w), lambda b: F.array_join(repeated(w, b), " ")))
+
+    changed = F.when(h % 10 == 0, let(words(F.col("text")), whole))
+    return docs.select("doc_id", F.coalesce(changed, F.col("text")).alias("text"))
+
+
+@_query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, some of which get a periodic end first."""
+    found = periodic.find_runs(planted(_table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("n"), r.start.alias("s"), r.period.alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    longest = found.select("*", best.alias("best"))
+    return longest.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.s").alias("start"), (-F.col("best.n")).alias("length"),
+        F.col("best.p").alias("period"), F.floor(-1000 * F.col("best.n") / F.col("best.p")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
+@_query
+def op13_hilbert_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest embeddings of every twentieth one."""
+    return curves.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
