@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm.quality import BOILERPLATE, SEPARATORS, SYMBOLS, LineRules
+from threadloom.llm.quality import BOILERPLATE, SENTENCE_MARKS, SEPARATORS, SYMBOLS, LineRules
 from threadloom.llm.queries import ARCHIVE_BYTES, N_SHARDS
 
 _sql: dict[str, str] = {}
@@ -111,8 +111,10 @@ bad as (
     or (symbols >= 3 and symbols >= {_RULES.symbol_share} * n)
     or (n >= {_RULES.repeat_words} and len(list_distinct(w)) < {_RULES.distinct_share} * n)
     or (n < {_RULES.boilerplate_words} and regexp_matches(lower(line), '{"|".join(BOILERPLATE)}'))
-    or (n >= {_RULES.unpunctuated_words} and not regexp_matches(line,
-      '[.!?\\x{{2026}}\\x{{3002}}\\x{{FF01}}\\x{{FF1F}}]["''\\)\\]\\x{{00BB}}\\x{{201C}}\\x{{201D}}\\x{{2019}}]*([ \\t\\r]|\\z)'))
+    or (n >= {_RULES.unpunctuated_words}
+      and not regexp_matches(translate(line, '{SENTENCE_MARKS}', '{"." * len(SENTENCE_MARKS)}'),
+        '\\.["''\\)\\]\\x{{00BB}}\\x{{201C}}\\x{{201D}}\\x{{2019}}]*([ \\t\\r]|\\z)')
+      and not regexp_matches(line, '[\\p{{Thai}}\\p{{Lao}}\\p{{Tibetan}}][^\\p{{L}}]*\\z'))
     ) as fails
   from judged),
 cleaned as (
@@ -191,3 +193,16 @@ reached as (
 select doc_id, n_shingles, min(other) as component_id, doc_id = min(other) as kept
 from reached join sizes using (doc_id) group by doc_id, n_shingles
 """
+
+# Exact; the query is, too, on tables of one block (4096 records).
+_sql["op13_hilbert_windows"] = """
+with usable as (
+  select vec_id, embedding::double[] as v from embeddings
+  where list_bool_and(list_transform(embedding, lambda c: c is not null and isfinite(c)))
+    and list_bool_or(list_transform(embedding, lambda c: c <> 0))),
+scored as (
+  select a.vec_id as query_id, b.vec_id, list_inner_product(a.v, b.v) as score
+  from usable a join usable b on a.vec_id <> b.vec_id and a.vec_id % 20 = 0)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+from scored qualify rank <= 20
+"""

@@ -12,20 +12,23 @@ from threadloom.llm.common import SPACES, fresh, let, without, words
 # Fixed values.
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = ("|", "»", "›", "•", "·", ">", "/")
-# Sentence-terminal marks of all scripts (Unicode's STerm), and the ellipsis.
-SENTENCE_MARKS = (
-    ".!?\\u2026\\u3002\\uFF01\\uFF1F\\u0589\\u061D-\\u061F\\u06D4\\u0700-\\u0702\\u07F9\\u0837\\u0839\\u083D\\u083E\\u0964\\u0965"
-    "\\u104A\\u104B\\u1362\\u1367\\u1368\\u166E\\u1735\\u1736\\u17D4\\u17D5\\u1803\\u1809\\u1944\\u1945\\u1AA8-\\u1AAB"
-    "\\u1B5A\\u1B5B\\u1B5E\\u1B5F\\u1C3B\\u1C3C\\u1C7E\\u1C7F\\u203C\\u203D\\u2047-\\u2049\\u2E2E\\u2E3C\\uA4FF\\uA60E\\uA60F"
-    "\\uA6F3\\uA6F7\\uA876\\uA877\\uA8CE\\uA8CF\\uA92F\\uA9C8\\uA9C9\\uAA5D-\\uAA5F\\uAAF0\\uAAF1\\uABEB\\uFF0E\\uFF61"
-    "\\x{10A56}\\x{10A57}\\x{10F55}-\\x{10F59}\\x{11047}\\x{11048}\\x{110BE}-\\x{110C1}\\x{11141}-\\x{11143}\\x{111C5}\\x{111C6}"
-    "\\x{111CD}\\x{111DE}\\x{111DF}\\x{11238}\\x{11239}\\x{1123B}\\x{1123C}\\x{112A9}\\x{1144B}\\x{1144C}\\x{115C2}\\x{115C3}"
-    "\\x{115C9}-\\x{115D7}\\x{11641}\\x{11642}\\x{1173C}-\\x{1173E}\\x{16A6E}\\x{16A6F}\\x{16AF5}\\x{16B37}\\x{16B38}\\x{16B44}"
-    "\\x{16E98}\\x{1BC9F}\\x{1DA88}"
-)
+# Sentence-terminal marks of all scripts (Unicode's STerm), and the ellipsis, as code points.
+_MARKS = """
+    2E 21 3F 2026 3002 FF01 FF1F 589 61D-61F 6D4 700-702 7F9 837 839 83D 83E 964 965
+    104A 104B 1362 1367 1368 166E 1735 1736 17D4 17D5 1803 1809 1944 1945 1AA8-1AAB
+    1B5A 1B5B 1B5E 1B5F 1C3B 1C3C 1C7E 1C7F 203C 203D 2047-2049 2E2E 2E3C A4FF A60E A60F
+    A6F3 A6F7 A876 A877 A8CE A8CF A92F A9C8 A9C9 AA5D-AA5F AAF0 AAF1 ABEB FF0E FF61
+    10A56 10A57 10F55-10F59 11047 11048 110BE-110C1 11141-11143 111C5 111C6
+    111CD 111DE 111DF 11238 11239 1123B 1123C 112A9 1144B 1144C 115C2 115C3
+    115C9-115D7 11641 11642 1173C-1173E 16A6E 16A6F 16AF5 16B37 16B38 16B44
+    16E98 1BC9F 1DA88
+"""
+_RANGES = [[int(c, 16) for c in part.split("-")] for part in _MARKS.split()]
+SENTENCE_MARKS = "".join(chr(c) for r in _RANGES for c in range(r[0], r[-1] + 1))
 # Thai, Lao and Tibetan prose has no such marks: lines that end in these scripts.
 UNMARKED = "[\\p{IsThai}\\p{IsLao}\\p{IsTibetan}][^\\p{L}]*\\z"
-SENTENCE_END = f"[{SENTENCE_MARKS}]" "[\"'\\)\\]\\u00BB\\u201C\\u201D\\u2019]*([ \\t\\r]|\\z)"
+# The end of a sentence, where "." stands for all marks.
+SENTENCE_END = "\\.[\"'\\)\\]\\u00BB\\u201C\\u201D\\u2019]*([ \\t\\r]|\\z)"
 BOILERPLATE = (
     "all rights reserved",
     "cookie policy",
@@ -87,6 +90,13 @@ def repeated_words(tokens: Column) -> Column:
     return let(tokens, of).cast("bigint")
 
 
+def ends_sentence(line: Column) -> Column:
+    """Whether a line ends a sentence somewhere, or has a script that does not mark it."""
+    # A class of all marks would be tried at every character, and few lines need more than ".".
+    marked = F.translate(line, SENTENCE_MARKS, "." * len(SENTENCE_MARKS))
+    return line.rlike(SENTENCE_END) | marked.rlike(SENTENCE_END) | line.rlike(UNMARKED)
+
+
 def line_fails(line: Column, rules: LineRules) -> Column:
     """Why a line fails: punctuation, navigation, symbols, repetition or boilerplate; null if it stays."""
 
@@ -101,7 +111,7 @@ def line_fails(line: Column, rules: LineRules) -> Column:
             .when((symbols >= 3) & (symbols >= rules.symbol_share * n), "symbols")
             .when((n >= rules.repeat_words) & (F.size(F.array_distinct(w)) < rules.distinct_share * n), "repetition")
             .when((n < rules.boilerplate_words) & F.lower(line).rlike(phrases), "boilerplate")
-            .when((n >= rules.unpunctuated_words) & ~line.rlike(SENTENCE_END) & ~line.rlike(UNMARKED), "punctuation")
+            .when((n >= rules.unpunctuated_words) & ~ends_sentence(line), "punctuation")
         )
 
     return let(line, lambda x: let(words(x), lambda w: judge(x, w)))
