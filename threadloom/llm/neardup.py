@@ -6,12 +6,13 @@ of c(c-1) * rows. At a similarity s a pair shares a table if two collections
 agree, each with probability s**rows; with 12 collections of 2 rows a pair of
 similarity 0.8 is missed once in 9,000, one of 0.85 once in 150,000.
 
-Documents with equal shingle sets are one class. In every bucket the smallest
-class is compared with all others on full sets, which links most of a group
-without emitting its pairs. Buckets chained together form a candidate cluster.
-Where the links leave a cluster in several components, its members are compared
-with each other in blocks inside the tasks, so no pair is lost, and only links
-between components come out.
+Documents with equal shingle sets are one class. The smallest class of a bucket
+is its centre, and every class is compared on full sets with the smallest centre
+of its buckets, which links most of a group without emitting its pairs. Buckets
+chained together form a candidate cluster. Where the links leave a cluster in
+several components, those outside the largest are compared with all others in
+blocks inside the tasks, so no pair is lost, and only links between components
+come out.
 """
 
 from __future__ import annotations
@@ -31,13 +32,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from threadloom.llm.common import fresh
 from threadloom.llm.hashing import WordHashes, as_longs, fold, minhashes, seeds, shingle_set, split_words
 from threadloom.llm.packing import slices, spans
+from threadloom.operators.distributed import lookup_by_key
 from threadloom.operators.graph import connected_components
 from threadloom.session import staging_path
 
 _BATCH_BYTES = 8 << 20
-# Up to so many documents with candidates are looked up where the texts are read;
-# for more the texts are shuffled.
-MAX_BROADCAST = 1_000_000
+_MEMBERS = 4096  # texts compared with one centre in a task
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,7 @@ class Similarity:
     collections: int = 12
     rows: int = 2
     seed: int = 20
-    block_chars: int = 4 << 20  # text in a block of a candidate cluster; a task holds two
+    block_chars: int = 1 << 20  # text in a block of a candidate cluster; a task holds two
 
 
 def signatures(docs: DataFrame, rule: Similarity, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -90,32 +90,39 @@ def table_keys(parts: Column, collections: int) -> Column:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, rule: Similarity) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+    """The pairs (a, b), one for each b, whose full shingle sets are similar enough.
+
+    The texts that share a centre a follow it into one task, or into several if they
+    are many, so each text moves once and a centre once for each of its tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        seen: dict[str, np.ndarray] = {}
-
-        def shingles(value: str) -> np.ndarray:
-            if (found := seen.get(value)) is None:
-                if sum(map(len, seen)) > _BATCH_BYTES:
-                    seen.clear()
-                words = hashes.of(split_words(value, lower=True))
-                found = seen[value] = shingle_set(words, rule.shingle_words)
-            return found
-
+        centre, sets = None, []
         for batch in batches:
             good = []
-            for one, two in zip(batch["text_a"].to_pylist(), batch["text_b"].to_pylist(), strict=True):
-                x, y = shingles(one), shingles(two)
-                shared = np.intersect1d(x, y, assume_unique=True).size
-                good.append(100 * shared >= rule.percent * (x.size + y.size - shared))
+            columns = [batch[c].to_pylist() for c in ("a", "part", "member", "text")]
+            for a, part, member, value in zip(*columns, strict=True):
+                if centre != (a, part):
+                    centre, sets = (a, part), []
+                y = shingle_set(hashes.of(split_words(value, lower=True)), rule.shingle_words)
+                if not member:
+                    sets.append(y)
+                shared = (np.intersect1d(x, y, assume_unique=True).size for x in sets) if member else ()
+                good.append(any(100 * n >= rule.percent * (x.size + y.size - n) for x, n in zip(sets, shared)))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, T.StructType([pairs.schema["a"], pairs.schema["b"]])).distinct()
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("parts", F.ceil(F.col("n") / _MEMBERS))
+    spread = lookup_by_key(pairs, counts, "a", "n", pairs.count())
+    placed = spread.select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    members = placed.join(texts.withColumnRenamed("id", "b"), "b").select("a", "part", F.lit(True).alias("member"), "b", "text")
+    tasks = counts.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    centres = tasks.join(texts.withColumnRenamed("id", "a"), "a").select(
+        "a", "part", F.lit(False).alias("member"), F.col("a").alias("b"), "text"
+    )
+    rows = members.unionByName(centres).repartition("a", "part").sortWithinPartitions("a", "part", "member")
+    return rows.mapInArrow(run, T.StructType([pairs.schema["a"], pairs.schema["b"]])).distinct()
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -125,7 +132,7 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 
 
 def _across(rule: Similarity, kind: T.DataType):
-    """Links between the components of the texts of each task (one or two blocks of a cluster).
+    """Links (as pairs of components) between the texts of each task, one or two blocks of a cluster.
 
     Two texts of different components are not both in the largest one, so only texts
     outside it are looked up, in an inverted index of all. Links that close no gap
@@ -134,23 +141,21 @@ def _across(rule: Similarity, kind: T.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        ids: list = []
         labels: list = []
         sets: list[np.ndarray] = []
         last = None
         for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("cluster", "low", "high", "id", "component", "text")]
-            for cluster, low, high, i, component, text in zip(*columns, strict=True):
+            columns = [batch[c].to_pylist() for c in ("cluster", "low", "high", "component", "text")]
+            for cluster, low, high, component, text in zip(*columns, strict=True):
                 if last is not None and last != (cluster, low, high):
-                    yield links(ids, labels, sets)
-                    ids, labels, sets = [], [], []
+                    yield links(labels, sets)
+                    labels, sets = [], []
                 last = (cluster, low, high)
-                ids.append(i)
                 labels.append(component)
                 sets.append(shingle_set(hashes.of(split_words(text, lower=True)), rule.shingle_words))
-        yield links(ids, labels, sets)
+        yield links(labels, sets)
 
-    def links(ids: list, labels: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def links(labels: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         found: list[tuple] = []
         names, label = np.unique(np.array(labels), return_inverse=True) if labels else ([], np.zeros(0, np.int64))
         if len(names) > 1:
@@ -166,7 +171,7 @@ def _across(rule: Similarity, kind: T.DataType):
                 for other in np.flatnonzero(near & (label != label[probe])):
                     if label[other] != label[probe]:
                         label[label == label[other]] = label[probe]
-                        found.append((ids[probe], ids[other]))
+                        found.append((labels[probe], labels[other]))
         columns = list(zip(*found, strict=True)) if found else [[], []]
         arrow = to_arrow_type(kind)
         return pa.RecordBatch.from_arrays([pa.array(c, arrow) for c in columns], names=["a", "b"])
@@ -174,25 +179,42 @@ def _across(rule: Similarity, kind: T.DataType):
     return run
 
 
-def _links_across(pairs: DataFrame, components: DataFrame, texts: DataFrame, rule: Similarity) -> DataFrame:
-    """Links inside candidate clusters that hold several components."""
-    clusters = _components(pairs).select("id", F.col("component").alias("cluster"))
-    members = clusters.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sized = _written(members.join(texts.select("id", F.length("text").alias("chars")), "id"), "members")
-    mixed = (
-        sized.groupBy("cluster")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("chars").alias("chars"))
-        .filter("lo != hi")
-        .select("cluster", F.ceil(F.col("chars") / F.lit(rule.block_chars)).alias("blocks"))
-    )
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+def _links_across(pairs: DataFrame, parts: DataFrame, texts: DataFrame, rule: Similarity) -> DataFrame:
+    """Links (a, b) between components that candidate pairs chain together in one cluster.
+
+    The largest component of a cluster is compared with the others only, which
+    are compared with everything: every pair of texts of different components
+    meets in a task, and the work follows what lies outside the largest one.
+    """
+    labels = parts.withColumnRenamed("component", "label")
+    # Members first: those of one component leave one row for each centre.
+    ends = pairs.join(labels.withColumnRenamed("id", "b"), "b", "left").select("a", F.coalesce("label", "b").alias("b")).distinct()
+    starts = ends.join(labels.withColumnRenamed("id", "a"), "a", "left").select(F.coalesce("label", "a").alias("a"), "b")
+    crossing = _written(starts.filter("a != b").distinct(), "crossing")
+    clusters = _components(crossing).select(F.col("id").alias("component"), F.col("component").alias("cluster"))
+    sized = texts.select("id", F.length("text").alias("chars")).join(labels, "id", "left")
+    sized = sized.select("id", "chars", F.coalesce("label", "id").alias("component"))
+    sizes = sized.groupBy("component").agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("n")).join(clusters, "component")
+    sizes = _written(sizes, "sizes")
+
+    def blocks(chars: str) -> Column:
+        return F.ceil(F.col(chars) / F.lit(rule.block_chars))
+
+    plan = sizes.groupBy("cluster").agg(
+        F.max(F.struct("chars", "component")).alias("main"), F.sum("chars").alias("chars")
+    ).select("cluster", "main.component", F.col("main.chars").alias("inside"), (F.col("chars") - F.col("main.chars")).alias("outside"))
+    plan = plan.select("cluster", F.col("component").alias("main"), blocks("inside").alias("mains"), blocks("outside").alias("others"))
+    dealing = sizes.select("component", "n", "cluster").join(plan, "cluster")
+    member = lookup_by_key(sized.drop("chars"), dealing, "component", "n", texts.count())
+    draw, is_main = F.xxhash64("id"), F.col("component") == F.col("main")
+    block = F.when(is_main, F.col("others") + F.pmod(draw, F.col("mains"))).otherwise(F.pmod(draw, F.col("others")))
+    last = F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
     tasks = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
+        F.sequence(F.lit(0).cast("bigint"), last),
         lambda j: F.struct(F.least(F.col("block"), j).alias("low"), F.greatest(F.col("block"), j).alias("high")),
     )
-    placed = sized.select("id", "component", "cluster").join(mixed, "cluster").withColumn("block", block)
-    dealt = placed.join(texts, "id").select("cluster", "id", "component", "text", F.explode(tasks).alias("t"))
-    dealt = dealt.select("cluster", "t.low", "t.high", "id", "component", "text")
+    dealt = member.withColumn("block", block).join(texts, "id").select("cluster", "component", "text", F.explode(tasks).alias("t"))
+    dealt = dealt.select("cluster", "t.low", "t.high", "component", "text")
     keys = ["cluster", "low", "high"]
     kind = pairs.schema["a"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
@@ -202,21 +224,23 @@ def _links_across(pairs: DataFrame, components: DataFrame, texts: DataFrame, rul
 def similar_classes(classes: DataFrame, docs: DataFrame, rule: Similarity, key: str, text: str) -> DataFrame:
     """(id, component) of every class that is linked with another.
 
-    A cluster of n blocks of ``rule.block_chars`` characters is compared in n(n+1)/2 tasks.
+    Each class is compared with one centre, the smallest of those of its buckets.
+    What the links leave apart is compared in blocks, see ``_links_across``.
     """
     keyed = classes.select("id", F.explode(table_keys(F.col("parts"), rule.collections)).alias("bucket"))
-    first = keyed.groupBy("bucket").agg(F.min("id").alias("center"))
-    left = keyed.join(first, "bucket").filter("id != center")
+    shared = keyed.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("last"))
+    shared = shared.filter("center != last").drop("last")
+    left = keyed.join(shared, "bucket").filter("id != center")
     pairs = _written(left.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    involved = _written(involved, "involved")
-    if involved.count() <= MAX_BROADCAST:
-        involved = F.broadcast(involved)
     slim = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     texts = _written(slim.join(involved, "id", "left_semi").distinct(), "texts")
-    links = _written(_similar(pairs, texts, rule), "links")
-    across = _written(_links_across(pairs, _components(links), texts, rule), "links")
-    return _components(links.unionByName(across))
+    links = _written(_similar(pairs.groupBy("b").agg(F.min("a").alias("a")), texts, rule), "links")
+    parts = _components(links)
+    roots = _components(_written(_links_across(pairs, parts, texts, rule), "across"))
+    nodes = parts.unionByName(roots.select("id", F.col("id").alias("component"))).distinct()
+    roots = roots.select(F.col("id").alias("component"), F.col("component").alias("root"))
+    return nodes.join(roots, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
 
 
 def _components(links: DataFrame) -> DataFrame:
