@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import random
 import struct
 import zlib
 from collections import Counter
@@ -357,3 +358,50 @@ def test_tokens(spark):
 def test_tokens_of_nothing(spark):
     empty = bpe.encode(cases.no_documents(spark), VOCABULARY, public_tokenizers.PATTERN)
     assert empty.collect() == [] and bpe.decode(empty, VOCABULARY).collect() == []
+
+
+def near_copies(seed, groups, size, words=150, changed=2):
+    """Groups of documents that differ from their first one in a few words."""
+    draw = random.Random(seed)
+    out = []
+    for g in range(groups):
+        base = cases.prose(1000 * seed + g, words).split()
+        for _ in range(size):
+            w = list(base)
+            for _ in range(changed):
+                w[draw.randrange(words)] = f"x{draw.randrange(10**6)}"
+            out.append(" ".join(w))
+    return out
+
+
+def all_links(texts, rule):
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + rule.shingle_words]) for i in range(len(w) - rule.shingle_words + 1)}
+
+    sets = [shingles(t) for t in texts]
+    return [
+        (i, j) for i in range(len(sets)) for j in range(i)
+        if 100 * len(sets[i] & sets[j]) >= rule.percent * len(sets[i] | sets[j])
+    ]
+
+
+def test_components_across_many_blocks_and_tasks(spark, monkeypatch):
+    """Groups whose texts are at the edge of the threshold, dealt into small blocks, centres and forests."""
+    monkeypatch.setattr(neardup, "_MEMBERS", 7)
+    monkeypatch.setattr(neardup, "_FOREST", 10)
+    rule = neardup.Similarity(shingle_words=4, block_chars=8000)
+    texts = near_copies(3, 2, 60, changed=4) + near_copies(4, 20, 3, changed=3) + [cases.prose(i, 60) for i in range(40)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(cases.documents(spark, dict(enumerate(texts))), rule).collect()}
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in all_links(texts, rule):
+        low, high = sorted((root(i), root(j)))
+        parent[high] = low
+    assert got == {i: root(i) for i in range(len(texts))}
+    assert len(set(got.values())) > 45

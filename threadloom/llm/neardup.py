@@ -37,7 +37,8 @@ from threadloom.operators.graph import connected_components
 from threadloom.session import staging_path
 
 _BATCH_BYTES = 8 << 20
-_MEMBERS = 4096  # texts compared with one centre in a task
+_MEMBERS = 1024  # texts compared with one centre in a task
+_FOREST = 1 << 20  # links reduced in a task
 
 
 @dataclass(frozen=True)
@@ -234,7 +235,8 @@ def similar_classes(classes: DataFrame, docs: DataFrame, rule: Similarity, key:
     pairs = _written(left.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     slim = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    texts = _written(slim.join(involved, "id", "left_semi").distinct(), "texts")
+    # Texts move by their id at every size of the input.
+    texts = _written(slim.join(involved.hint("merge"), "id", "left_semi").distinct(), "texts")
     links = _written(_similar(pairs.groupBy("b").agg(F.min("a").alias("a")), texts, rule), "links")
     parts = _components(links)
     roots = _components(_written(_links_across(pairs, parts, texts, rule), "across"))
@@ -243,10 +245,42 @@ def similar_classes(classes: DataFrame, docs: DataFrame, rule: Similarity, key:
     return nodes.join(roots, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
 
 
+def _forest(kind: T.DataType):
+    """For each node of the task's edges, the smallest one that they connect it with."""
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def root(node):
+            while (up := parent.setdefault(node, node)) != node:
+                parent[node] = parent[up]
+                node = parent[node]
+            return node
+
+        for batch in batches:
+            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+        pairs = [(r, node) for node in list(parent) if (r := root(node)) != node]
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], arrow) for i in (0, 1)], names=["src", "dst"])
+
+    return run
+
+
 def _components(links: DataFrame) -> DataFrame:
-    if links.isEmpty():
+    """(id, component) of every node of a written table of links (a, b).
+
+    Each task first reduces its links, a bounded number, to a forest; the rounds
+    over all of them then find the components of what is left.
+    """
+    n = links.count()
+    if n == 0:
         return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).checkpoint()
+    kind = links.schema["a"].dataType
+    schema = T.StructType([T.StructField("src", kind), T.StructField("dst", kind)])
+    forest = links.coalesce(1 + n // _FOREST).mapInArrow(_forest(kind), schema)
+    return connected_components(forest).checkpoint()
 
 
 def near_duplicates(
