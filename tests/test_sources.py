@@ -97,8 +97,14 @@ def test_pages_and_load(spark):
     assert B.issue_page(i, 0, after="42").count() == 2
     missing = [f for f in ISSUE.fields if f.name not in i.columns]
     full = i.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}).withColumn("first_message_content", F.lit("x" * 300))
-    rows = B.load_issues(full, "c", limit=3).collect()
-    assert [r["id"] for r in rows] == ["44", "43", "42"] and {r["total_results"] for r in rows} == {45}
+
+    def replies_of(*ids):
+        return spark.createDataFrame([(n,) for n in ids], "issue_id string")
+
+    rows = B.load_issues(full, "c", limit=3, replies=replies_of("44")).collect()
+    assert [r["id"] for r in rows] == ["44", "43", "42"] and {(r["total_results"], r["has_replies"]) for r in rows} == {(45, True)}
+    assert not B.load_issues(full, "c", limit=3, replies=replies_of("41")).first()["has_replies"]
+    assert B.load_issues(full, "c").count() == 45
     assert len(rows[0]["first_message_content"]) == 250
 
 

@@ -68,3 +68,13 @@ def thread_url(thread_id: Column, guild_id: Column | str = DEFAULT_GUILD_ID) ->
 def tags_from_json(text: Column) -> Column:
     """Tags kept as a JSON string; anything unreadable is an empty list."""
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
+def text_words(text: Column) -> Column:
+    """Words between blanks, in lower case."""
+    return F.filter(F.split(F.lower(text), "[ \\t-\\r]+"), lambda w: w != "")
+
+
+def slot_of(word: Column, dimension: int) -> Column:
+    """Place of a word in a vector of fixed length, from its MD5."""
+    return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % dimension).cast("int")

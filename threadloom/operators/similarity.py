@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.functions.text import blank_to_null, cut, tags_from_json
+from threadloom.functions.text import blank_to_null, cut, slot_of, tags_from_json, text_words
 from threadloom.operators.distributed import checkpoint_with, first_n, lookup_by_key
 from threadloom.operators.maintenance import upsert
 
@@ -49,20 +48,63 @@ def embed_text(issues: DataFrame, max_chars: int | None = None) -> DataFrame:
     return issues.withColumn("text", trimmed if max_chars is None else cut(trimmed, max_chars))
 
 
-def hashing_embedder(dimension: int = 512) -> Embedder:
-    """Term-frequency vectors weighted by rarity, hashed to ``dimension`` and normalised."""
+def fit_slots(texts: DataFrame, dimension: int = 512, text: str = "text") -> DataFrame:
+    """The model (term, df) of hashed vectors: in how many texts each place occurs; a null term counts them.
 
+    Models of parts of the texts add up, see ``add_models``.
+    """
+    slots = F.array_distinct(F.transform(F.array_distinct(text_words(F.col(text))), lambda w: slot_of(w, dimension)))
+    each = texts.filter(F.col(text).isNotNull())
+    each = each.select(F.explode(F.array_append(slots, F.lit(None).cast("int"))).alias("term"))
+    return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def add_models(model: DataFrame, added: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """Document frequencies (term, df) after the texts of two other models came and went."""
+    total = model.select("term", "df").unionByName(added)
+    if removed is not None:
+        total = total.unionByName(removed.withColumn("df", -F.col("df")))
+    total = total.groupBy("term").agg(F.sum("df").alias("df"))
+    return total.filter((F.col("df") > 0) | F.col("term").isNull())
+
+
+def slot_weights(model: DataFrame, dimension: int) -> np.ndarray:
+    """Weight of each place; the model has one row for each."""
+    rows = model.limit(dimension + 1).collect()
+    n = next((r.df for r in rows if r.term is None), 0)
+    known = {r.term: r.df for r in rows}
+    return np.array([math.log((n + 1) / (known.get(i, 0) + 1)) for i in range(dimension)])
+
+
+def hashing_embedder(dimension: int = 512, model: DataFrame | None = None) -> Embedder:
+    """Term-frequency vectors weighted by rarity, hashed to ``dimension`` and normalised.
+
+    ``model`` is a table by ``fit_slots``; with it a text has the same vector
+    whatever texts it is embedded with. Without it each call fits its own texts.
+    """
     def embed(df: DataFrame) -> DataFrame:
-        stages = [
-            Tokenizer(inputCol="text", outputCol="_words"),
-            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dimension),
-            IDF(inputCol="_tf", outputCol="_idf"),
-            Normalizer(inputCol="_idf", outputCol="_unit"),
-        ]
-        out = Pipeline(stages=stages).fit(df).transform(df)
-        return out.withColumn("values", vector_to_array("_unit", "float32")).drop(
-            "_words", "_tf", "_idf", "_unit"
-        )
+        weights = slot_weights(fit_slots(df, dimension) if model is None else model, dimension)
+
+        @F.pandas_udf("array<float>")
+        def vectors(texts: pd.Series) -> pd.Series:
+            slots: dict[str, int] = {}
+
+            def slot(word: str) -> int:
+                if (found := slots.get(word)) is None:
+                    if len(slots) > 1 << 20:
+                        slots.clear()
+                    found = slots[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimension
+                return found
+
+            def vector(text: str | None) -> np.ndarray:
+                words = re.split("[ \t-\r]+", (text or "").lower())
+                at = np.fromiter((slot(w) for w in words if w), np.int64)
+                values = np.bincount(at, minlength=dimension) * weights
+                return (values / (math.sqrt((values**2).sum()) or 1)).astype("float32")
+
+            return texts.map(vector)
+
+        return df.withColumn("values", vectors("text"))
 
     return embed
 
@@ -134,12 +176,6 @@ def refresh_embeddings(texts: DataFrame, cached: DataFrame, embedder: Embedder)
     return known.unionByName(fresh)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two unit vectors."""
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
-
-
 def _unit_rows(values: pd.Series) -> np.ndarray:
     matrix = np.stack(values.to_numpy()).astype("float64")
     norm = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -192,7 +228,7 @@ def semantic_search(
     return first_n(found, ["query_id"], [F.desc("score"), F.asc("issue_id")], k)
 
 
-def _fingerprint(values: str) -> Column:
+def fingerprint(values: str) -> Column:
     """Text that tells vectors apart: two 64-bit hashes with different seeds."""
     return F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(seed), F.col(values))) for seed in (1, 2)])
 
@@ -286,9 +322,9 @@ def knn_join(
     """
     keep = k + 1
     reach = math.acos(max(-1.0, min(1.0, threshold)))
-    mine = anchors.select(F.col("id").cast("string").alias("id"), _fingerprint("values").alias("gid"), "values")
+    mine = anchors.select(F.col("id").cast("string").alias("id"), fingerprint("values").alias("gid"), "values")
     theirs = candidates.select(
-        F.col("id").cast("string").alias("id"), _fingerprint("values").alias("gid"), "values"
+        F.col("id").cast("string").alias("id"), fingerprint("values").alias("gid"), "values"
     )
     asked = mine.groupBy("gid").agg(F.first("values").alias("values"), F.count(F.lit(1)).alias("copies"))
     # Both are read several times below.
@@ -343,6 +379,15 @@ def knn_join(
         .cogroup(right.groupBy("cell", "vb", "cb"))
         .applyInPandas(_block_scorer(keep, threshold), "gid string, ids array<string>, score double")
     )
+    return neighbour_lists(scored, mine, asked, keep, asked_seen["total"] or 0)
+
+
+def neighbour_lists(scored: DataFrame, members: DataFrame, asked: DataFrame, keep: int, total: int) -> DataFrame:
+    """(anchor_id, neighbour_id, score): the best of each group's scores for all its members.
+
+    ``scored`` has (gid, ids, score) with the ids of equal candidates, ``members``
+    (id, gid), ``asked`` (gid, copies), and ``total`` counts the members.
+    """
     best = first_n(
         scored.select("gid", F.explode("ids").alias("neighbour_id"), "score"),
         ["gid"],
@@ -354,9 +399,9 @@ def knn_join(
         .agg(F.collect_list(F.struct("neighbour_id", "score")).alias("found"))
         .join(asked.select("gid", "copies"), "gid")
     )
-    members = mine.select(F.col("id").alias("anchor_id"), "gid")
+    each = members.select(F.col("id").alias("anchor_id"), "gid")
     return (
-        lookup_by_key(members, lists, "gid", "copies", asked_seen["total"] or 0)
+        lookup_by_key(each, lists, "gid", "copies", total)
         .select("anchor_id", F.inline("found"))
         .filter(F.col("anchor_id") != F.col("neighbour_id"))
     )

@@ -12,9 +12,11 @@ from threadloom.operators.similarity import (
     TOP_K,
     Embedder,
     embed_issues,
+    embed_text,
     knn_join,
     similarity_edges,
 )
+from threadloom.operators.terms import fit_terms, sparse_knn_join, term_vectors
 
 
 def daily_clustering(
@@ -24,19 +26,26 @@ def daily_clustering(
     threshold: float = THRESHOLD,
     embedder: Embedder | None = None,
     vectors: DataFrame | None = None,
+    model: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """New clusters, and the issues with their cluster ids.
 
     All unclustered issues (with ``limit`` the oldest of them) are compared with all
     issues, so one of them can pull an already clustered issue into its new cluster. ``vectors``
-    are the stored records; without them all issues are embedded.
+    are the stored records of a model, ``embedder`` makes them anew. Without either,
+    issues are compared by their weighted words, exactly; ``model`` is the stored
+    table of ``fit_terms``, fitted here if there is none.
     """
-    records = embed_issues(issues, embedder) if vectors is None else vectors
-    pool = records.select(F.col("metadata.issueId").alias("id"), "values")
-    # Embedding is costly and the vectors are read twice.
-    pool = pool.checkpoint()
     todo = unclustered_issues(issues, limit).select("id")
-    anchors = pool.join(todo, "id", "left_semi")
-    edges = similarity_edges(knn_join(anchors, pool, k, threshold))
-    components = connected_components(edges)
+    if vectors is None and embedder is None:
+        texts = embed_text(issues).filter("text != ''").select("id", "text")
+        model = fit_terms(texts).checkpoint() if model is None else model
+        pool = term_vectors(texts, model).checkpoint()
+        neighbours = sparse_knn_join(pool.join(todo, "id", "left_semi"), pool, k, threshold)
+    else:
+        records = embed_issues(issues, embedder) if vectors is None else vectors
+        # Embedding is costly and the vectors are read twice.
+        pool = records.select(F.col("metadata.issueId").alias("id"), "values").checkpoint()
+        neighbours = knn_join(pool.join(todo, "id", "left_semi"), pool, k, threshold)
+    components = connected_components(similarity_edges(neighbours))
     return build_clusters(components, issues), assign_clusters(issues, components)

@@ -174,7 +174,7 @@ def _ordered(names: list[str], done: list[str] | None = None) -> list[str]:
 
 def _add(name: str, needs: str, body: str) -> None:
     ctes = _ordered(needs.split())
-    recursive = "recursive " if "reached" in ctes else ""
+    recursive = "recursive " if any("reached" in c for c in ctes) else ""
     head = ",\n".join(f"{c} as ({_CTES[c]})" for c in ctes)
     _sql[name] = f"with {recursive}{head}\n{body}" if ctes else body
 
@@ -557,8 +557,9 @@ _add(
     "load_issues",
     "full_issues",
     f"""select id, name, {_ts('created_at')} as created_at, message_count, left(first_message_content, 250) as first_message_content,
-  total_results from (select *, count(*) over () as total_results from full_issues where channel_id = '{CHANNEL}')
-qualify row_number() over (order by created_at desc, id) <= 1000""",
+  total_results, bool_or(reply_count > 0) over () as has_replies
+from (select *, count(*) over () as total_results from full_issues where channel_id = '{CHANNEL}'
+  qualify row_number() over (order by created_at desc, id) <= 50000)""",
 )
 _add("issue_page", "threads", f"select id, {_ts('created_at')} as created_at from threads order by id limit 20 offset 40")
 
@@ -702,7 +703,8 @@ _add(
     "thread_messages",
     "",
     f"""select cast(conv_id as varchar) as thread_id, conv_id || '-' || turn as id,
-  {_ts('to_timestamp(turn * 60)::timestamp')} as timestamp, role
+  {_ts('to_timestamp(turn * 60)::timestamp')} as timestamp, role,
+  row_number() over (partition by conv_id order by turn) - 1 as position
 from (select * from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 5) where turn <> 0""",
 )
 _add(
@@ -825,11 +827,62 @@ _add(
   case when doc_id % 6 <> 0 then 'Tags: ' || applied_tags[1] end), {_ws}) as text from document_issues)
 select id, md5(text) as text, length(text) as n from x""",
 )
+_CTES["term_texts"] = f"""select id, channel_id, sentiment, trim(concat_ws(chr(10) || chr(10), name,
+  nullif(first_message_content, ''), 'Tags: ' || applied_tags[1]), {_ws}) as text from document_issues"""
+_CTES["term_words"] = """select id, w from (
+  select id, unnest(regexp_split_to_array(lower(text), '[ \\t-\\r]+')) as w from term_texts) where w <> ''"""
+_CTES["slot_counts"] = """select id, (('0x' || substr(md5(w), 1, 8))::bigint % 512)::int as slot, count(*) as tf
+from term_words group by all"""
+_CTES["slot_values"] = """select id, slot, round((x / sqrt(sum(x * x) over (partition by id)))::float::double, 6) as value from (
+  select id, slot, tf * ln(((select count(*) from term_texts) + 1.0) / (count(*) over (partition by slot) + 1)) as x from slot_counts)
+qualify x > 0"""
+_CTES["term_counts"] = "select id, w, count(*) as tf, count(*) over (partition by w) as df from term_words group by id, w"
+_CTES["term_weights"] = """select id, w, x / sqrt(sum(x * x) over (partition by id)) as x from (
+  select id, w, tf * ln(((select count(*) from term_texts) + 1.0) / (df + 1)) as x from term_counts) where x > 0"""
+_CTES["term_neighbours"] = """select anchor_id, neighbour_id, score from (
+  select a.id as anchor_id, b.id as neighbour_id, round(sum(a.x * b.x), 9) as score
+  from term_weights a join term_weights b using (w) group by 1, 2 having round(sum(a.x * b.x), 9) >= 0.86
+  qualify row_number() over (partition by a.id order by round(sum(a.x * b.x), 9) desc, b.id) <= 7)
+where anchor_id <> neighbour_id"""
+_CTES["term_links"] = """select anchor_id as a, neighbour_id as b from term_neighbours
+union select neighbour_id, anchor_id from term_neighbours"""
+_CTES["term_reached"] = """select a as id, a as root from term_links
+union select l.b, r.root from term_reached r join term_links l on l.a = r.id"""
+_CTES["term_components"] = "select id, min(root) as component from term_reached group by id"
+_NEEDS |= {
+    "term_texts": ["document_issues"],
+    "term_words": ["term_texts"],
+    "slot_counts": ["term_words"],
+    "slot_values": ["slot_counts"],
+    "term_counts": ["term_words"],
+    "term_weights": ["term_counts"],
+    "term_neighbours": ["term_weights"],
+    "term_links": ["term_neighbours"],
+    "term_reached": ["term_links"],
+    "term_components": ["term_reached"],
+}
 _add(
     "embed_issues",
-    "document_issues",
-    """select 'issue:' || id as id, channel_id as channelId, coalesce(sentiment, '') as sentiment,
-  cast(512 as bigint) as dimension, cast(1 as double) as norm from document_issues""",
+    "slot_values",
+    """select 'issue:' || id as id, channel_id as channelId, coalesce(sentiment, '') as sentiment, slot, value
+from slot_values join term_texts using (id)""",
+)
+_add("refresh_embeddings", "slot_values", "select id, slot, value from slot_values")
+_add(
+    "update_terms",
+    "term_words",
+    """select true as is_word, df, count(*) as words from (select w, count(distinct id) as df from term_words group by w) group by df
+union all select false, count(*), 1 from term_texts""",
+)
+_add(
+    "sparse_knn_join",
+    "term_neighbours",
+    "select anchor_id, neighbour_id, round(score, 6) as score from term_neighbours",
+)
+_add(
+    "duplicate_documents",
+    "term_components document_issues",
+    "select d.id, component as duplicate_cluster_id from document_issues d left join term_components c on c.id = d.id",
 )
 _add(
     "vector_upsert",
@@ -846,11 +899,11 @@ _add(
     """select component as id, coalesce(left(any_value(name), 80), 'cluster-' || component) as name, cast(null as varchar) as description,
   count(*) as issue_count from components left join vector_issues v on v.id = component group by component""",
 )
-# The scheduled job looks for neighbours of the 500 oldest unclustered issues only.
+# The scheduled job looks for neighbours of unclustered issues only.
 _sql["daily_clustering_vectors"] = _sql["build_clusters"].replace(
     "from neighbours)",
     """from neighbours where anchor_id in
-  (select cast(vec_id as varchar) from embeddings where vec_id % 10 <> 0 order by vec_id limit 500))""",
+  (select cast(vec_id as varchar) from embeddings where vec_id % 10 <> 0))""",
 )
 _add(
     "assign_clusters",

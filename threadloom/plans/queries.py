@@ -19,6 +19,7 @@ from threadloom.operators import (
     response,
     sentiment,
     similarity,
+    terms,
     themes,
 )
 from threadloom.operators.distributed import first_n, ranked_top, upper_median
@@ -389,8 +390,8 @@ def issues_light(f: Forum) -> DataFrame:
 
 @query
 def load_issues(f: Forum) -> DataFrame:
-    out = tables.load_issues(f.stored, CHANNEL)
-    return out.select("id", "name", "created_at", "message_count", "first_message_content", "total_results")
+    out = tables.load_issues(f.stored, CHANNEL, replies=f.replies)
+    return out.select("id", "name", "created_at", "message_count", "first_message_content", "total_results", "has_replies")
 
 
 @query
@@ -728,13 +729,48 @@ def embed_text(f: Forum) -> DataFrame:
     return similarity.embed_text(issues).select("id", F.md5("text").alias("text"), F.length("text").alias("n"))
 
 
+def _entries(records: DataFrame, *columns: str) -> DataFrame:
+    """One row for each entry of a vector that is not 0."""
+    each = records.select(*columns, F.posexplode("values").alias("slot", "value")).filter("value != 0")
+    return each.withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
 @query
 def embed_issues(f: Forum) -> DataFrame:
-    records = similarity.embed_issues(f.document_issues)
-    norm = F.aggregate("values", F.lit(0.0), lambda s, x: s + x * x)
-    return records.select(
-        "id", "metadata.channelId", "metadata.sentiment", F.size("values").alias("dimension"), F.round(norm, 3).alias("norm")
-    )
+    return _entries(similarity.embed_issues(f.document_issues), "id", "metadata.channelId", "metadata.sentiment")
+
+
+@query
+def refresh_embeddings(f: Forum) -> DataFrame:
+    """Vectors of texts that the cache lacks, under the model of all; the others from the cache."""
+    texts = similarity.embed_text(f.document_issues).filter("text != ''").select("id", "text")
+    late = F.col("id").cast("bigint") % 150 == 3
+    # The model was fitted before the late texts came.
+    model = similarity.add_models(similarity.fit_slots(texts.filter(~late)), similarity.fit_slots(texts.filter(late)))
+    embedder = similarity.hashing_embedder(model=model.checkpoint())
+    cached = embedder(texts.filter(~late)).select("id", "values").checkpoint()
+    return _entries(similarity.refresh_embeddings(texts, cached, embedder), "id")
+
+
+@query
+def update_terms(f: Forum) -> DataFrame:
+    """How many words have which document frequency, after texts came, changed and went."""
+    texts = similarity.embed_text(f.document_issues).filter("text != ''").select("id", "text")
+    key = F.col("id").cast("bigint")
+    other = texts.withColumn("text", F.concat("text", F.lit(" formerly "), "id"))
+    before = texts.filter((key % 3 != 0) & (key % 5 != 1)).unionByName(other.filter(key % 5 == 1))
+    came = texts.filter((key % 3 == 0) & (key % 5 != 1)).unionByName(texts.filter(key % 5 == 1))
+    model = terms.update_terms(terms.fit_terms(before), came, other.filter(key % 5 == 1))
+    word = F.col("term").isNotNull().alias("is_word")
+    return model.groupBy(word, "df").agg(F.count(F.lit(1)).alias("words"))
+
+
+@query
+def sparse_knn_join(f: Forum) -> DataFrame:
+    """Near neighbours of all documents by their weighted words."""
+    texts = similarity.embed_text(f.document_issues).filter("text != ''").select("id", "text")
+    vectors = terms.term_vectors(texts, terms.fit_terms(texts).checkpoint()).checkpoint()
+    return terms.sparse_knn_join(vectors, vectors).withColumn("score", F.round("score", 6))
 
 
 @query
@@ -813,7 +849,7 @@ def duplicate_documents(f: Forum) -> DataFrame:
 
 @query
 def daily_clustering_vectors(f: Forum) -> DataFrame:
-    """The scheduled form over given vectors: the 500 oldest unclustered anchors."""
+    """The scheduled form over given vectors, all unclustered issues as anchors."""
     key = F.col("id").cast("bigint")
     issues = _vector_issues(f).withColumn("created_at", F.timestamp_seconds(key * 60))
     records = f.vectors.select(F.struct(F.col("id").alias("issueId")).alias("metadata"), "values")

@@ -19,17 +19,22 @@ def issues_light(issues: DataFrame) -> DataFrame:
     )
 
 
-def load_issues(issues: DataFrame, channel_id: str | None = None, limit: int = 1000) -> DataFrame:
-    """Newest issues (of a channel) with ``total_results``, the exact count behind them."""
+def load_issues(
+    issues: DataFrame, channel_id: str | None = None, limit: int = 50_000, replies: DataFrame | None = None
+) -> DataFrame:
+    """Newest issues (of a channel) with ``total_results``, the exact count behind them.
+
+    With ``replies``, ``has_replies`` says whether any issue of the answer has a stored reply.
+    """
     if channel_id:
         issues = issues.filter(F.col("channel_id") == channel_id)
     total = issues.agg(F.count(F.lit(1)))
-    return (
-        issues_light(issues)
-        .orderBy(F.desc("created_at"), F.asc("id"))
-        .limit(limit)
-        .withColumn("total_results", total.scalar())
-    )
+    page = issues_light(issues).orderBy(F.desc("created_at"), F.asc("id")).limit(limit)
+    out = page.withColumn("total_results", total.scalar())
+    if replies is None:
+        return out
+    answered = replies.select(F.col("issue_id").alias("id")).join(page.select("id"), "id", "left_semi")
+    return out.withColumn("has_replies", answered.agg(F.count(F.lit(1)) > 0).scalar())
 
 
 def issue_page(issues: DataFrame, page: int, size: int = 20, after: str | None = None) -> DataFrame:

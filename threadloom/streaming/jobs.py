@@ -36,7 +36,7 @@ from threadloom.operators.normalize import normalize_issue, reply_rows, stored_i
 from threadloom.operators.notes import note_merge_lww
 from threadloom.operators.response import issue_response
 from threadloom.schemas import ANALYTICS_COLUMNS, NOTE, SEARCH_PAGE
-from threadloom.sources.forum_json import first_messages, page_threads, thread_messages, threads_first_message
+from threadloom.sources.forum_json import first_messages, page_threads, threads_first_message
 from threadloom.sources.snapshots import SnapshotTable
 
 
@@ -97,7 +97,9 @@ def _messages_of(messages: DataFrame, issues: DataFrame) -> DataFrame:
         F.col("message.timestamp").alias("timestamp"),
         "message",
     ).join(wanted.select("thread_id"), "thread_id", "left_semi")
-    return thread_messages(flat, wanted, None).select(F.col("thread_id").alias("issue_id"), "message")
+    # All messages of a thread, whose order is in their timestamps.
+    rest = flat.join(wanted, "thread_id", "left").filter(~F.col("id").eqNullSafe(F.col("first_message_id")))
+    return rest.select(F.col("thread_id").alias("issue_id"), "message")
 
 
 def incremental_sync(
