@@ -44,6 +44,7 @@ def term_vectors(texts: DataFrame, model: DataFrame, id: str = "id", text: str =
     """(id, terms) of all texts that have a weight; ``terms`` holds (df, term, weight) by df and term.
 
     A term that the model does not know counts as one of no text. ``id`` is unique.
+    Texts that are partitioned by id need no shuffle to count their terms.
     """
     n = model.filter("term is null").agg(F.coalesce(F.max("df"), F.lit(0)).alias("df")).first()["df"]
     counts = (
@@ -52,44 +53,43 @@ def term_vectors(texts: DataFrame, model: DataFrame, id: str = "id", text: str =
         .groupBy("id", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    known = model.filter("term is not null").withColumn("weight", F.col("df"))
-    total = known.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first()["n"]
-    new = counts.join(known.select("term"), "term", "left_anti").withColumn("df", F.lit(0).cast("bigint"))
-    found = lookup_by_key(counts, known, "term", "weight", total)
-    idf = F.log(F.lit(n + 1.0) / (F.col("df") + 1))
-    weighted = found.unionByName(new).withColumn("weight", F.col("tf") * idf).filter("weight > 0")
-    grouped = weighted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "weight"))).alias("terms"))
+    # One row per text and term, so that no term has more rows than there are texts.
+    known = counts.join(model.filter("term is not null"), "term", "left").withColumn("df", F.coalesce("df", F.lit(0).cast("bigint")))
+    weighted = known.withColumn("weight", F.col("tf") * F.log(F.lit(n + 1.0) / (F.col("df") + 1))).filter("weight > 0")
+    grouped = weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "term", "weight"))).alias("terms"))
     square = F.aggregate("terms", F.lit(0.0), lambda s, x: s + x.weight * x.weight)
     unit = F.transform("terms", lambda x: F.struct(x.df.alias("df"), x.term.alias("term"), (x.weight / F.col("norm")).alias("weight")))
     return grouped.withColumn("norm", F.sqrt(square)).select("id", unit.alias("terms"))
 
 
-def _flat(terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes of the vectors, and the hashes and weights of all their terms."""
-    inside = terms.flatten()
-    sizes = np.diff(terms.offsets.to_numpy())
-    return sizes, inside.field("term").to_numpy(), inside.field("weight").to_numpy()
+def _vectors(df: DataFrame) -> DataFrame:
+    """Terms as two plain arrays, which move faster than one of structs."""
+    return df.withColumns({"keys": F.col("terms.term"), "weights": F.col("terms.weight")}).drop("terms")
 
 
 def _prefixes(threshold: float):
-    """(gid, term) of the terms that a vector cannot do without.
+    """(gid, term, rest): the terms that a vector cannot do without, and its length from each on.
 
     Two vectors of this cosine share one of both prefixes: if the rarest term they
     share came later in one of them, all they share would lie in its rest, whose
-    length is below the threshold.
+    length is below the threshold. And the product of both lengths from that
+    term on is an upper bound of the cosine.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sizes, term, weight = _flat(batch["terms"])
+            sizes = np.diff(batch["weights"].offsets.to_numpy())
+            term, weight = (batch[c].flatten().to_numpy() for c in ("keys", "weights"))
             square = np.concatenate([[0.0], np.cumsum(weight**2)])
             ends = np.repeat(square[np.cumsum(sizes)], sizes)
-            needed = ends - square[:-1] >= threshold**2 - _SLACK
+            rest = ends - square[:-1]
+            needed = rest >= threshold**2 - _SLACK
             owner = np.repeat(np.arange(sizes.size), sizes)[needed]
             yield pa.RecordBatch.from_arrays(
-                [batch["gid"].take(pa.array(owner)), pa.array(term[needed])], names=["gid", "term"]
+                [batch["gid"].take(pa.array(owner)), pa.array(term[needed]), pa.array(np.sqrt(rest[needed]))],
+                names=["gid", "term", "rest"],
             )
 
     return run
@@ -135,8 +135,8 @@ def _compared(keep: int, threshold: float, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rows = None, []
         for batch in batches:
-            sizes, term, weight = _flat(batch["terms"])
-            edges = np.concatenate([[0], np.cumsum(sizes)])
+            edges = batch["weights"].offsets.to_numpy() - batch["weights"].offsets[0].as_py()
+            term, weight = (batch[c].flatten().to_numpy() for c in ("keys", "weights"))
             for k, (t, vb, cb, anchor, gid, first_id) in enumerate(zip(*[batch[c].to_pylist() for c in names], strict=True)):
                 if last != (t, vb, cb):
                     yield from best(rows)
@@ -166,26 +166,32 @@ def sparse_knn_join(
     mine = anchors.filter("id is not null").select(F.col("id").cast("string").alias("id"), fingerprint("terms").alias("gid"), "terms")
     theirs = candidates.filter("id is not null").select(F.col("id").cast("string").alias("id"), fingerprint("terms").alias("gid"), "terms")
     asked, seen = checkpoint_with(
-        mine.groupBy("gid").agg(F.first("terms").alias("terms"), F.count(F.lit(1)).alias("copies")), total=F.sum("copies")
+        _vectors(mine.groupBy("gid").agg(F.first("terms").alias("terms"), F.count(F.lit(1)).alias("copies"))), total=F.sum("copies")
     )
-    pool = (
+    pool = _vectors(
         first_n(theirs, ["gid"], [F.asc("id")], keep)
         .groupBy("gid")
         .agg(F.first("terms").alias("terms"), F.sort_array(F.collect_list("id")).alias("ids"))
-        .checkpoint()
-    )
-
-    def prefixes(df: DataFrame, count: str, own: str) -> tuple[DataFrame, DataFrame, int]:
-        rows, total = checkpoint_with(
-            df.select("gid", "terms").mapInArrow(_prefixes(threshold), "gid string, term bigint"), n=F.count(F.lit(1))
-        )
-        return rows, rows.groupBy("term").agg(F.count(F.lit(1)).alias(count), F.min("gid").alias(own)), total["n"]
+    ).checkpoint()
 
-    visits, visitors, n_visits = prefixes(asked, "m", "anchor")
-    homes, held, n_homes = prefixes(pool, "n", "home")
+    def prefixes(df: DataFrame) -> tuple[DataFrame, int]:
+        rows = df.select("gid", "keys", "weights").mapInArrow(_prefixes(threshold), "gid string, term bigint, rest double")
+        rows, total = checkpoint_with(rows, n=F.count(F.lit(1)))
+        return rows, total["n"] or 0
+
+    def by_term(df: DataFrame, count: str, own: str, top: str) -> DataFrame:
+        return df.groupBy("term").agg(F.count(F.lit(1)).alias(count), F.min("gid").alias(own), F.max("rest").alias(top))
+
+    (visits, n_visits), (homes, n_homes) = prefixes(asked), prefixes(pool)
+    tops = by_term(homes, "n", "home", "far").join(by_term(visits, "m", "anchor", "near"), "term").checkpoint()
+    # Where even the longest partner does not reach the threshold, the entry goes.
+    bound = F.lit(threshold - _SLACK)
+    visits = lookup_by_key(visits, tops.select("term", "m", "far"), "term", "m", n_visits).filter(F.col("rest") * F.col("far") >= bound)
+    homes = lookup_by_key(homes, tops.select("term", "n", "near"), "term", "n", n_homes).filter(F.col("rest") * F.col("near") >= bound)
+    visits, homes = visits.drop("far").checkpoint(), homes.drop("near").checkpoint()
     # A term that only one vector holds, the anchor's own, leads to its copies at most, which follow below.
     alone = (F.col("n") == 1) & (F.col("m") == 1) & (F.col("anchor") == F.col("home"))
-    sizes = held.join(visitors, "term").filter(~alone).select(
+    sizes = by_term(homes, "n", "home", "far").join(by_term(visits, "m", "anchor", "near"), "term").filter(~alone).select(
         "term", "n", "m", F.ceil(F.col("n") / block).cast("int").alias("cs"), F.ceil(F.col("m") / block).cast("int").alias("vs")
     ).checkpoint()
 
@@ -195,15 +201,14 @@ def sparse_knn_join(
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    left = lookup_by_key(visits, sizes.drop("n"), "term", "m", n_visits or 0)
-    left = left.select("gid", "term", part("vs").alias("vb"), every("cs").alias("cb")).join(asked.select("gid", "terms"), "gid")
-    right = lookup_by_key(homes, sizes.drop("m"), "term", "n", n_homes or 0)
+    left = lookup_by_key(visits, sizes.drop("n"), "term", "m", n_visits)
+    left = left.select("gid", "term", part("vs").alias("vb"), every("cs").alias("cb")).join(asked.drop("copies"), "gid")
+    right = lookup_by_key(homes, sizes.drop("m"), "term", "n", n_homes)
     right = right.select("gid", "term", part("cs").alias("cb"), every("vs").alias("vb")).join(pool, "gid")
     order = ["term", "vb", "cb", "anchor"]
-    both = left.select("term", "vb", "cb", F.lit(True).alias("anchor"), "gid", F.lit(None).cast("string").alias("first_id"), "terms")
-    both = both.unionByName(
-        right.select("term", "vb", "cb", F.lit(False).alias("anchor"), "gid", F.col("ids")[0].alias("first_id"), "terms")
-    )
+    columns = [*order, "gid", "first_id", "keys", "weights"]
+    both = left.withColumns({"anchor": F.lit(True), "first_id": F.lit(None).cast("string")}).select(*columns)
+    both = both.unionByName(right.withColumns({"anchor": F.lit(False), "first_id": F.col("ids")[0]}).select(*columns))
     dealt = both.repartition(*order[:3]).sortWithinPartitions(*order)
     found = dealt.mapInArrow(_compared(keep, threshold, pa.string()), "anchor string, gid string, first_id string, score double")
     copied = pool.filter(F.size("ids") > 1).join(asked.select("gid"), "gid")
