@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import cases
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -329,6 +330,40 @@ def test_languages_of_nothing(spark):
     assert langid.predict(cases.no_documents(spark), model).collect() == []
 
 
+def test_every_label_is_learned(spark):
+    rows = [(10 * n + k, " ".join([chr(0x4E00 + 7 * n) * 3] * 20), f"l{n:02d}") for n in range(70) for k in range(9)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted({r[2] for r in rows})
+    asked = spark.createDataFrame(rows[::9], "doc_id long, text string, expected string")
+    assert all(r.lang_pred == r.expected for r in langid.predict(asked, model).collect())
+
+
+@pytest.mark.parametrize("keys", ["null", "same", "different"])
+def test_training_rows_are_bounded(spark, keys):
+    number = {"null": lambda i: None, "same": lambda i: 7, "different": lambda i: i}[keys]
+    rows = [(number(i), speech(lang, i), lang) for lang in ("en", "de") for i in range(90)]
+    rows += [(number(0), speech("ru", 0), "ru")] * 50  # repeated rows are one
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    setup = langid.Training(rows_per_language=40, max_rows=90)
+    got = langid.training_rows(labelled, setup, "doc_id", "text", "lang").distinct().groupBy("l").count().collect()
+    assert dict(got) == {"en": 30, "de": 30, "ru": 1}
+
+
+def test_prediction_by_hand(spark):
+    setup = langid.Training(epochs=3)
+    rows = [(i, speech(lang, i), lang) for i, lang in enumerate(["en", "de", "ru"] * 20)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), setup)
+    texts = {i: speech(lang, 70 + i, 3) for i, lang in enumerate(["en", "de", "ru"])} | {5: "a", 6: "ab. " * 9}
+    weights, bias, (temperature, threshold) = langid.unpack(model.packed)
+    weights, letter = weights.reshape(-1, 3).astype(float), langid._letters()
+    for r in langid.predict(cases.documents(spark, texts), model).collect():
+        logits = (langid._features(texts[r.doc_id], setup, letter).astype(float) @ weights + bias) / temperature
+        p = np.exp(logits - logits.max())
+        p /= p.sum()
+        assert r.lang_pred == model.languages[int(p.argmax())] and abs(r.score - p.max()) < 1e-5
+        assert r.rejected == (r.score < threshold)
+
+
 # Tokens
 
 

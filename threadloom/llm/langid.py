@@ -18,6 +18,7 @@ from threadloom.llm.packing import pack, slices, unpack
 UNKNOWN = "und"
 _TABLE = 0x110000  # all code points
 _BATCH_BYTES = 2 << 20
+_SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -28,7 +29,7 @@ class Training:
     dimensions: int = 16
     grams: tuple[int, ...] = (1, 2, 3, 4)
     rows_per_language: int = 600  # those of smallest hash
-    max_languages: int = 64  # the most frequent ones
+    max_rows: int = 12_000  # of all languages together, at least one of each
     epochs: int = 30
     batch: int = 32
     rate: float = 2.0
@@ -73,25 +74,37 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, classes: int, setup: Training) -> tuple[np.ndarray, np.ndarray, float, float]:
+def fit(
+    x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, setup: Training
+) -> tuple[np.ndarray, np.ndarray, float, float]:
     """Weights per bucket, bias, temperature and rejection threshold.
 
-    Stochastic gradient descent on embeddings and softmax. The embeddings enter
+    A row of ``x`` holds its buckets and their shares; only the rows of a step are
+    ever laid out over all buckets. Stochastic gradient descent on embeddings and softmax. The embeddings enter
     only through their average, so after training they are multiplied out.
     """
+    buckets = 1 << setup.buckets_log2
+
+    def dense(rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((rows.size, buckets), np.float32)
+        for i, r in enumerate(rows):
+            out[i, x[r][0]] = x[r][1]
+        return out
+
     draw = np.random.default_rng(setup.seed)
     order = draw.permutation(y.size)
     held = order[: int(y.size * setup.calibration)] if y.size >= 10 else order[:0]
     used = order[held.size :]
-    embed = draw.normal(0, 0.1, (x.shape[1], setup.dimensions)).astype(np.float32)
+    embed = draw.normal(0, 0.1, (buckets, setup.dimensions)).astype(np.float32)
     linear = np.zeros((setup.dimensions, classes), np.float32)
     bias = np.zeros(classes, np.float32)
     # Averages over thousands of subwords are small: scale them to unit size.
-    scale = np.float32(1 / max(1e-9, float(np.sqrt((x[used] ** 2).sum(axis=1)).mean()))) if used.size else np.float32(1)
+    norms = [float(np.sqrt((x[r][1] ** 2).sum())) for r in used]
+    scale = np.float32(1 / max(1e-9, float(np.mean(norms)))) if norms else np.float32(1)
     for epoch in range(setup.epochs):
         rate = np.float32(setup.rate * (1 - epoch / setup.epochs))
         for at in np.array_split(draw.permutation(used), max(1, used.size // setup.batch)):
-            rows = x[at] * scale
+            rows = dense(at) * scale
             hidden = rows @ embed
             error = _softmax(hidden @ linear + bias)
             error[np.arange(at.size), y[at]] -= 1
@@ -102,7 +115,8 @@ def fit(x: np.ndarray, y: np.ndarray, classes: int, setup: Training) -> tuple[np
             embed -= rate * (rows.T @ back)
     weights = (embed @ linear) * scale
     check = held if held.size else used
-    logits = x[check] @ weights + bias
+    steps = np.array_split(check, max(1, check.size // 256))
+    logits = np.concatenate([dense(at) @ weights for at in steps]) + bias
     best, temperature = np.inf, 1.0
     for t in np.geomspace(0.2, 5, 41):
         p = _softmax(logits / t)
@@ -128,50 +142,66 @@ class LanguageModel:
     setup: Training
 
 
+def training_rows(labelled: DataFrame, setup: Training, key: str, text: str, lang: str) -> DataFrame:
+    """The rows (label, hash of the key and of the text, text) to learn from; repeated rows have the same hashes."""
+    rows = labelled.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l"))
+    rows = rows.filter(F.col("t").isNotNull() & F.col("l").isNotNull())
+    hashed = [F.xxhash64(F.lit(setup.seed), F.coalesce(F.col("k").cast("string"), F.lit(""))), F.xxhash64("t")]
+    rows = rows.withColumns(dict(zip("hg", hashed, strict=True)))
+    slim = rows.select("l", "h", "g", F.pmod(F.xxhash64("h", "g"), F.lit(_SALTS)).alias("s")).distinct()
+    # First within salts, so that no task sorts a whole language.
+    for part in (["l", "s"], ["l"]):
+        place = F.row_number().over(Window.partitionBy(*part).orderBy("h", "g"))
+        slim = slim.withColumn("r", place).filter(F.col("r") <= setup.rows_per_language).drop("r")
+    chosen = slim.drop("s").checkpoint()
+    languages = chosen.select("l").distinct().count()
+    share = max(1, setup.max_rows // max(1, languages))
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h", "g"))
+    chosen = chosen.withColumn("r", place).filter(F.col("r") <= share).drop("r")
+    if languages <= setup.max_rows:  # then as many rows at most
+        chosen = F.broadcast(chosen)
+    return rows.join(chosen, ["l", "h", "g"], "left_semi").select("l", "h", "g", "t")
+
+
 def train(
     labelled: DataFrame, setup: Training = Training(), key: str = "doc_id", text: str = "text", lang: str = "lang"
 ) -> LanguageModel:
     """Fit on the labelled rows (key, text, lang) of smallest hash, per language.
 
-    At most ``rows_per_language`` rows (more if hashes tie) of at most
-    ``max_languages`` languages; nulls and texts without a letter are left out.
-    The texts become feature rows where they are, and one task fits the model.
+    Every label is learned. A language gives at most ``rows_per_language`` different
+    rows, fewer where all together would be more than ``max_rows``; the order is by
+    the hash of the key, then by that of the text, so null and repeated keys are
+    bounded too, and a repeated row counts once. Nulls and texts without a letter are left
+    out. The texts become feature rows where they are, and one task fits the model:
+    at most ``max_rows`` sparse rows, and a weight per bucket and language.
     """
-    rows = labelled.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l"))
-    rows = rows.filter(F.col("t").isNotNull() & F.col("l").isNotNull())
-    rows = rows.withColumn("h", F.xxhash64(F.lit(setup.seed), F.coalesce(F.col("k").cast("string"), F.lit(""))))
-    place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    limits = rows.select("l", "h").withColumn("r", place).filter(F.col("r") <= setup.rows_per_language)
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(setup.max_languages)
-    limits = limits.groupBy("l").agg(F.max("h").alias("top")).join(counts.select("l"), "l")
-    sample = rows.join(F.broadcast(limits), "l").filter("h <= top").select("l", "h", "t")
+    sample = training_rows(labelled, setup, key, text, lang)
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter = _letters()
         for batch in batches:
             out = []
-            for l, h, t in zip(*batch.to_pydict().values(), strict=True):
+            for l, h, g, t in zip(*batch.to_pydict().values(), strict=True):
                 x = _features(t, setup, letter)
                 at = np.flatnonzero(x)
                 if at.size:
-                    out.append((l, h, pack(at.astype(np.uint32), x[at])))
-            columns = list(zip(*out, strict=True)) if out else [[], [], []]
-            kinds = (pa.string(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["l", "h", "x"])
+                    out.append((l, h, g, pack(at.astype(np.uint32), x[at])))
+            columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["l", "h", "g", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = sorted(r for b in batches for r in zip(*b.to_pydict().values(), strict=True))
         languages = sorted({r[0] for r in data})
-        x = np.zeros((len(data), 1 << setup.buckets_log2), np.float32)
-        for i, (_, _, value) in enumerate(data):
-            at, shares = unpack(value)
-            x[i, at] = shares
-        y = np.array([languages.index(r[0]) for r in data], np.int64)
+        number = {name: i for i, name in enumerate(languages)}
+        x = [tuple(unpack(r[3])) for r in data]
+        y = np.array([number[r[0]] for r in data], np.int64)
         weights, bias, temperature, threshold = fit(x, y, max(1, len(languages)), setup)
         body = pack(weights.ravel(), bias, np.array([temperature, threshold]))
         yield pa.RecordBatch.from_arrays([pa.array([languages], pa.list_(pa.string())), pa.array([body])], names=["languages", "packed"])
 
-    found = sample.mapInArrow(featurize, "l string, h long, x binary")
+    found = sample.mapInArrow(featurize, "l string, h long, g long, x binary")
+    found = found.groupBy("l", "h", "g").agg(F.first("x").alias("x"))
     model = found.repartition(1).mapInArrow(learn, "languages array<string>, packed binary").first()
     return LanguageModel(list(model.languages) if model else [], bytes(model.packed) if model else b"", setup)
 

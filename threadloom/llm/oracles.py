@@ -45,21 +45,27 @@ from crc join placed using (doc_id)
 """
 
 _sql["op2_merkle_audit"] = f"""
-with records as (
-  select page_id, 'WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: ' || coalesce(url, '') || '\r\nContent-Length: '
-    || strlen(coalesce(html, '')) || '\r\n\r\n' || coalesce(html, '') || '\r\n\r\n' as record
+with read as (
+  select page_id, coalesce(url, '') as url, coalesce(html, '') as html,
+    coalesce(url, '') || case when page_id % 89 = 3 then '#' else '' end as url2,
+    case when page_id % 97 = 5 then 'x' || substr(coalesce(html, ''), 2) else coalesce(html, '') end as html2
   from pages),
-hashed as (select page_id, strlen(record) as length, sha256(record) as digest from records),
+records as (
+  select page_id, 'WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: ' || url || '\r\nContent-Length: '
+    || strlen(html) || '\r\n\r\n' || html || '\r\n\r\n' as record,
+    'WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: ' || url2 || '\r\nContent-Length: '
+    || strlen(html2) || '\r\n\r\n' || html2 || '\r\n\r\n' as held
+  from read),
+hashed as (select page_id, strlen(record) as length, sha256(record) as digest, sha256(held) as held from records),
 starts as (
-  select page_id, digest, (sum(length) over (order by page_id, digest rows unbounded preceding) - length)::bigint as start
+  select page_id, digest, held, (sum(length) over (order by page_id, digest rows unbounded preceding) - length)::bigint as start
   from hashed),
 one as (
-  select page_id, digest, start // {ARCHIVE_BYTES} as archive, start % {ARCHIVE_BYTES} as "offset" from starts),
+  select page_id, digest, held, start // {ARCHIVE_BYTES} as archive, start % {ARCHIVE_BYTES} as "offset" from starts),
 two as (
-  select archive, "offset", case when page_id % 97 = 5 then sha256(digest || 'x') else digest end as digest
-  from one where page_id % 101 <> 7
+  select archive, "offset", held as digest from one where coalesce(page_id % 101 <> 7, true)
   union all
-  select archive, "offset" + 1, digest from one where page_id % 103 = 9)
+  select archive, "offset" + 1, held from one where page_id % 103 = 9 and page_id % 101 <> 7)
 select coalesce(one.archive, two.archive) as archive, coalesce(one."offset", two."offset") as "offset",
   case when two.digest is null then 'missing' when one.digest is null then 'extra' else 'changed' end as status,
   one.digest as digest_a, two.digest as digest_b

@@ -131,20 +131,26 @@ def op8_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 ARCHIVE_BYTES = 16 << 20
 
 
-def damaged(records: DataFrame) -> DataFrame:
-    """A second replica: some records altered, some lost, some with one more at the same place."""
-    n = F.col("record_id")
-    kept = records.filter(F.pmod(n, F.lit(101)) != 7)
-    altered = F.when(F.pmod(n, F.lit(97)) == 5, F.sha2(F.concat("digest", F.lit("x")), 256)).otherwise(F.col("digest"))
-    more = records.filter(F.pmod(n, F.lit(103)) == 9).withColumn("offset", F.col("offset") + 1)
-    return kept.withColumn("digest", altered).unionByName(more)
+def damaged(pages: DataFrame) -> DataFrame:
+    """A second replica, hashed from its own bytes at the places of the first.
+
+    Some bodies and some urls are altered, some records lost, some written once more
+    one byte on.
+    """
+    n, html, url = F.col("page_id"), F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
+    body = F.when(F.pmod(n, F.lit(97)) == 5, F.concat(F.lit("x"), F.substr(html, F.lit(2)))).otherwise(html)
+    target = F.when(F.pmod(n, F.lit(89)) == 3, F.concat(url, F.lit("#"))).otherwise(url)
+    held = warc.layout(pages, ARCHIVE_BYTES, held=warc.record_text(target, body))
+    more = F.when(F.pmod("record_id", F.lit(103)) == 9, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    kept = held.filter(F.coalesce(F.pmod("record_id", F.lit(101)) != 7, F.lit(True)))
+    return kept.withColumn("_on", F.explode(more)).withColumn("offset", F.col("offset") + F.col("_on")).drop("_on")
 
 
 @_query
 def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a damaged replica of the crawl's archives differs from the first."""
-    records = warc.layout(_table(spark, sf_dir, "pages"), ARCHIVE_BYTES).checkpoint()
-    return warc.audit(records, damaged(records))
+    pages = _table(spark, sf_dir, "pages")
+    return warc.audit(warc.layout(pages, ARCHIVE_BYTES).checkpoint(), damaged(pages).checkpoint())
 
 
 def mail(turns: DataFrame) -> DataFrame:

@@ -27,21 +27,28 @@ def record_text(url: Column, body: Column) -> Column:
     )
 
 
-def layout(pages: DataFrame, archive_bytes: int, page: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
+def layout(
+    pages: DataFrame, archive_bytes: int, page: str = "page_id", url: str = "url", body: str = "html",
+    held: Column | None = None,
+) -> DataFrame:
     """Records in page order, end to end in archives of about ``archive_bytes``.
 
     Returns ``record_id``, ``archive``, ``offset`` (in the archive), ``length`` and
     ``digest`` (SHA-256). An archive holds the records that start in its share of
     the bytes; the offset counts from there. Repeated rows are records of their own.
-    Only digests and lengths are shuffled.
+    Only digests and lengths are shuffled. ``held`` is what a replica holds at the
+    place of the record, if that is not the record itself: places come from the
+    records, length and digest from the bytes held.
     """
     record = record_text(F.col(url), F.col(body))
+    bytes_held = record if held is None else held
     slim = pages.select(
-        F.col(page).alias("record_id"), F.octet_length(record).cast("bigint").alias("length"),
-        F.sha2(record, 256).alias("digest"),
+        F.col(page).alias("record_id"), F.octet_length(record).cast("bigint").alias("_step"),
+        F.sha2(record, 256).alias("_order"), F.octet_length(bytes_held).cast("bigint").alias("length"),
+        F.sha2(bytes_held, 256).alias("digest"),
     ).withColumn("_row", F.monotonically_increasing_id())
-    ends = running_total(slim, [F.col("record_id"), F.col("digest"), F.col("_row")], "length", "_end")
-    start = F.col("_end") - F.col("length")
+    ends = running_total(slim, [F.col("record_id"), F.col("_order"), F.col("_row")], "_step", "_end")
+    start = F.col("_end") - F.col("_step")
     archive = F.floor(start / F.lit(archive_bytes)).cast("bigint")
     return ends.select(
         "record_id", archive.alias("archive"), (start - archive * archive_bytes).alias("offset"), "length", "digest"
@@ -49,15 +56,20 @@ def layout(pages: DataFrame, archive_bytes: int, page: str = "page_id", url: str
 
 
 def _leaves(records: DataFrame) -> DataFrame:
-    """One row per place; several records at one place count together, in any order."""
-
-    def marks(seed: int) -> Column:
-        return F.bit_xor(F.xxhash64(F.lit(seed), "length", "digest", "_copies"))
+    """One row per place; several records at one place count together, in any order.
 
+    The hash of a place adds up the eight 32-bit words of its records' SHA-256, so
+    that no place has to be gathered, and takes the SHA-256 of the sums.
+    """
     counted = records.groupBy("archive", "offset", "length", "digest").agg(F.count(F.lit(1)).alias("_copies"))
-    return counted.groupBy("archive", "offset").agg(
-        F.sum("_copies").alias("records"), F.min("digest").alias("digest"), marks(1).alias("x"), marks(2).alias("y")
+    counted = counted.withColumn("_hash", F.sha2(F.concat_ws(":", "length", "digest", "_copies"), 256))
+    parts = [F.conv(F.substring("_hash", 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(8)]
+    placed = counted.groupBy("archive", "offset").agg(
+        F.sum("_copies").alias("records"), F.min("digest").alias("digest"),
+        *[F.sum(p).alias(f"_s{i}") for i, p in enumerate(parts)],
     )
+    place_hash = F.sha2(F.concat_ws(":", "records", *[f"_s{i}" for i in range(8)]), 256)
+    return placed.select("archive", "offset", "records", "digest", place_hash.alias("hash"))
 
 
 @dataclass(frozen=True)
@@ -73,23 +85,21 @@ class Tree:
 def build_tree(records: DataFrame, height: int, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> Tree:
     """Hash tree over records (archive, offset, length, digest).
 
-    The lowest nodes hash all records that start in a range of offsets. Their
-    hash does not depend on the order of rows, as each record is hashed with its
-    offset, so no range has to be gathered. A node above hashes the digests of
-    its ``fanout`` children in order. Records without archive or offset form an
-    archive and a range of their own. ``height`` must be the same for replicas.
+    A lowest node is the SHA-256 of the places in a range of offsets with their
+    hashes, in order of offset: at most ``range_bytes`` places, however many records
+    there are. A node above hashes the digests of its ``fanout`` children in order.
+    Records without archive or offset share one place, in a range of their own.
+    ``height`` must be the same for replicas.
     """
     # Places without a number sort before all others.
     known = records.withColumns({"archive": F.coalesce("archive", F.lit(-1)), "offset": F.coalesce("offset", F.lit(-1))})
     leaves = _leaves(known).checkpoint()
 
-    def marks(seed: int) -> Column:
-        return F.bit_xor(F.xxhash64(F.lit(seed), "offset", "x", "y", "records"))
-
     node = F.floor(F.col("offset") / F.lit(range_bytes)).alias("node")
-    low = leaves.groupBy("archive", node).agg(F.sum("records").alias("records"), marks(1).alias("x"), marks(2).alias("y"))
-    digest = F.sha2(F.concat_ws(":", "node", "records", "x", "y"), 256)
-    levels = [low.select("archive", "node", "records", digest.alias("digest")).checkpoint()]
+    places = F.array_sort(F.collect_list(F.struct("offset", "hash")))
+    line = F.array_join(F.transform(places, lambda p: F.concat_ws(":", p.offset, p.hash)), "|")
+    low = leaves.groupBy("archive", node).agg(F.sum("records").alias("records"), F.sha2(line, 256).alias("digest"))
+    levels = [low.checkpoint()]
     for _ in range(height):
         children = F.array_sort(F.collect_list(F.struct("node", "digest")))
         joined = F.array_join(F.transform(children, lambda c: F.concat_ws(":", c.node, c.digest)), "|")
@@ -146,7 +156,7 @@ def audit(one: DataFrame, two: DataFrame, range_bytes: int = RANGE_BYTES, fanout
     def suspects(tree: Tree, name: str) -> DataFrame:
         node = F.floor(F.col("offset") / F.lit(range_bytes))
         found = tree.leaves.withColumn("node", node).join(ranges, ["archive", "node"], "left_semi")
-        return found.select("archive", "offset", F.struct("records", "digest", "x", "y").alias(name))
+        return found.select("archive", "offset", F.struct("records", "digest", "hash").alias(name))
 
     both = suspects(trees[0], "a").join(suspects(trees[1], "b"), ["archive", "offset"], "full_outer")
     status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("changed")
