@@ -43,6 +43,24 @@ def test_stages(spark, folder):
     assert held[41] == f"{cases.prose(43, 120)}\n{cases.prose(44, 120)}"
 
 
+def test_stages_keep_other_columns(spark, folder):
+    whole = spark.read.parquet(f"{folder}/documents.parquet")
+    extra = whole.selectExpr("doc_id", "text", "'mine' n_words", "7 n_removed", "doc_id component_id", "1 item_id", "2 token_ids", "3 _own_n_words")
+    for docs in (extra, extra.select("doc_id", "text"), extra.limit(0)):
+        first, given = docs, docs.columns
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            path = f"{folder}/other-{len(given)}-{first.count()}-{k}"
+            stage(spark, docs, folder).write.parquet(path)
+            docs = spark.read.parquet(path)
+            assert docs.columns == given
+        rows = docs.collect()
+        assert {r.doc_id for r in rows} == ({*range(10), 40, 41} if first.count() else set())
+        if len(given) > 2:
+            assert all(r[2:] == ("mine", 7, r.doc_id, 1, 2, 3) for r in rows)
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+        assert {r.source for r in last.collect()} <= {None} and last.count() == len(rows)
+
+
 def test_run(spark, folder):
     got = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in got} == {*range(10), 40, 41}
@@ -53,6 +71,6 @@ def test_run(spark, folder):
 def test_registered():
     names = entry_points.queries()
     assert set(queries.registry()) < set(names) and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.registry()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.registry()) == list(range(1, 14))
     assert set(oracles.registry()) <= set(queries.registry())
     assert len(corpus_pipeline.STAGES) == 5
