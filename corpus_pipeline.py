@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents through the operators, one written table per stage."""
+"""The corpus pipeline: documents through the operators, one written table per stage.
+
+Only ``doc_id`` and ``text`` are needed. All stages but the last return the columns
+they are given, also those whose names their operators use; ``n_chars``, if there, is
+kept up to date. The last one returns ``lang`` and ``source`` as null where they are
+absent. Rows with a null or empty text fail the base rules; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import bpe, decontam, neardup, quality, substring
+from threadloom.llm.common import fresh
 from threadloom.session import configure, staging_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -29,10 +36,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out passages that an earlier document holds; documents left without a word go."""
     configure(spark)
-    kept = substring.remove_repeats(docs)
-    stays = (F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))
-    new = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))
-    return kept.filter(stays).withColumn("n_chars", new.cast("bigint")).select(*docs.columns)
+    own = {c: fresh(docs, f"_own_{c}") for c in docs.columns if c.lower() in ("n_words", "n_removed")}
+    kept = substring.remove_repeats(docs.withColumnsRenamed(own))
+    kept = kept.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    if "n_chars" in docs.columns:
+        new = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))
+        kept = kept.withColumn("n_chars", new.cast("bigint"))
+    return kept.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +55,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with a check that they decode to its text."""
     configure(spark)
     vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    labelled = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    absent = {c: F.lit(None).cast("string") for c in ("lang", "source") if c not in docs.columns}
+    labelled = docs.withColumns({**absent, "text_sha256": F.sha2(F.coalesce("text", F.lit("")), 256)})
     keys = ["doc_id", "lang", "source", "text_sha256"]
     encoded = bpe.encode(labelled, vocabulary, public_tokenizers.PATTERN, keys=keys)
     both = bpe.decode(encoded.withColumn("_ids", F.col("token_ids")), vocabulary, ids="_ids")
