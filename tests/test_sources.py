@@ -12,7 +12,7 @@ from threadloom.schemas import ISSUE, REPLY
 from threadloom.sources import exports as X
 from threadloom.sources import forum_json as J
 from threadloom.sources import tables as B
-from threadloom.sources.snapshots import SnapshotTable
+from threadloom.sources.keyed import KeyedTable
 
 
 def message(i, thread, text, **more):
@@ -108,50 +108,63 @@ def test_pages_and_load(spark):
     assert len(rows[0]["first_message_content"]) == 250
 
 
-def test_snapshots(spark, tmp_path):
-    table = SnapshotTable(spark, str(tmp_path / "t"), ISSUE)
-    assert table.read().count() == 0
-    i = issues(spark, {"id": "1"})
-    i = i.withColumns({f.name: F.lit(None).cast(f.dataType) for f in ISSUE.fields if f.name not in i.columns})
-    table.write(i, 0)
-    table.write(i.union(i), 1)
-    (tmp_path / "t" / "v=2").mkdir()  # left by a job that failed
-    assert table.versions() == [0, 1] and table.read().count() == 2 and table.read(before=1).count() == 1
-
-
-def test_changes_replace_keys(spark, tmp_path):
-    schema = REPLY
-    table = SnapshotTable(spark, str(tmp_path / "t"), schema, ["issue_id"], max_changes=3)
+def test_merge_replaces_keys(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), REPLY, ["issue_id"], buckets=4)
 
     def rows(*pairs):
         r = replies(spark, *[{"id": i, "issue_id": k} for i, k in pairs])
-        return r.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema.fields if f.name not in r.columns})
-
-    def state(**at_batch):
-        return {r["id"] for r in table.read(**at_batch).collect()}
-
-    table.write(rows(("a", "1"), ("b", "2")), -1)
-    table.merge(rows(("c", "1"), ("d", "1")), 0)
-    assert state() == {"b", "c", "d"}
-    table.merge(rows(("e", "3")), 1, spark.createDataFrame([("2",), ("3",)], "issue_id string"))
-    assert state() == {"c", "d", "e"} and state(before=1) == {"b", "c", "d"}
-    table.merge(rows(("f", "3")), 1)  # the batch runs again, with another result
-    assert state() == {"b", "c", "d", "f"}
-    table.merge(rows(("g", "1")), 2)  # the third change: written in full
-    assert table.versions() == [-1, 2] and state() == {"b", "f", "g"}
-    table.merge(rows(("h", "2")), 3)
-    assert state() == {"f", "g", "h"} and state(before=2) == {"b", "c", "d", "f"}
-
-
-@pytest.fixture
-def export_input(spark):
-    i = issues(
-        spark,
-        {"id": "1", "name": 'say "hi", all', "first_message_content": "a\nb" + "x" * 600, "applied_tags": ["1006941128441999421", "7777"]},
-        {"id": "2", "replies_loaded": False, "created_at": None},
-        {"id": "3", "message_count": 4, "sentiment": "frustrated"},
-    )
-    return i.withColumns({f.name: F.lit(None).cast(f.dataType) for f in ISSUE.fields if f.name not in i.columns})
+        return r.withColumns({f.name: F.lit(None).cast(f.dataType) for f in REPLY.fields if f.name not in r.columns})
+
+    def keys(*names):
+        return spark.createDataFrame([(n,) for n in names], "issue_id string")
+
+    def state(df=None):
+        return {r["id"] for r in (table.read() if df is None else df).collect()}
+
+    assert state() == set() and state(table.of(keys("1"))) == set()
+    table.merge(rows(("x", "9"), ("n", None)))  # no table yet
+    table.write(rows(("a", "1"), ("b", "2"), ("n", None)))
+    table.merge(rows(("c", "1"), ("d", "1")))
+    assert state() == {"b", "c", "d", "n"} and state(table.of(keys("1", "7"))) == {"c", "d"}
+    table.merge(rows(("e", "3")), keys("2", "3"))  # nothing is left of 2
+    table.merge(rows(("m", None)))
+    assert state() == {"c", "d", "e", "m"}
+    table.merge(rows().limit(0), keys("1", "3", None))  # nor of any
+    assert state() == set()
+    table.merge(rows(("f", "3")))
+    assert state() == {"f"}
+
+
+def test_merge_touches_only_partitions_of_its_keys(spark, tmp_path):
+    schema = "id bigint, v string"
+    table = KeyedTable(spark, str(tmp_path / "t"), spark.createDataFrame([], schema).schema, buckets=8)
+    table.write(spark.range(1000).selectExpr("id", "'old' v"))
+
+    def files():
+        return {str(p) for p in (tmp_path / "t" / "table").glob("*/*.parquet")}
+
+    before = files()
+    one = spark.createDataFrame([(5, "new")], schema)
+    table.merge(one)
+    assert len(before & files()) == len(before) - 1
+    assert table.read().count() == 1000 and [r["v"] for r in table.of(one).collect()] == ["new"]
+    plan = table.of(one)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [key_bucket" in plan or "key_bucket" in plan.split("PartitionFilters: ")[1].split("]")[0]
+
+
+def test_merge_after_a_lost_driver(spark, tmp_path, monkeypatch):
+    schema = "id bigint, v string"
+    table = KeyedTable(spark, str(tmp_path / "t"), spark.createDataFrame([], schema).schema, buckets=4)
+    table.write(spark.range(20).selectExpr("id", "'old' v"))
+    finish = KeyedTable._finish
+    monkeypatch.setattr(KeyedTable, "_finish", lambda self: None)
+    table.merge(spark.createDataFrame([(5, "new")], schema))  # written beside the table, not put in place
+    assert table.read().filter("v = 'new'").count() == 0
+    monkeypatch.setattr(KeyedTable, "_finish", finish)
+    assert table.read().filter("v = 'new'").count() == 1 and table.read().count() == 20
+    (tmp_path / "t" / "next").mkdir()  # left by one that was lost earlier
+    assert table.read().count() == 20
+
 
 
 def test_csv(spark, tmp_path, export_input):

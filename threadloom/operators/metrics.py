@@ -167,14 +167,10 @@ def weekly_trends(issues: DataFrame) -> DataFrame:
     previous, value, direction and status.
     """
     at = F.unix_millis("created_at")
-    anchor = issues.filter(F.col("created_at") > F.lit("1970-01-01").cast("timestamp")).agg(
-        F.max(at).alias("anchor")
-    )
-    recent = (
-        issues.withColumn("_age", anchor.scalar() - at)
-        .filter((F.col("_age") >= 0) & (F.col("_age") <= 14 * DAY_MS))
-        .withColumn("_cur", F.col("_age") <= 7 * DAY_MS)
-    )
+    dated = issues.filter(F.col("created_at") > F.lit("1970-01-01").cast("timestamp"))
+    # Whole bounds on the column as stored, so that a scan can skip what is older.
+    starts = [dated.agg(F.timestamp_millis(F.max(at) - days * DAY_MS)).scalar() for days in (14, 7)]
+    recent = issues.filter(F.col("created_at") >= starts[0]).withColumn("_cur", F.col("created_at") >= starts[1])
     loaded = F.coalesce(F.col("replies_loaded"), F.lit(False))
     answered = F.coalesce(F.col("is_answered"), F.lit(False))
     wait = F.when(F.col("response_time_ms") > 0, F.col("response_time_ms"))

@@ -29,7 +29,7 @@ from threadloom.schemas import ISSUE, NOTE, REPLY
 from threadloom.session import staging_path
 from threadloom.sources import exports, forum_json, tables
 from threadloom.sources.derived import KEYWORDS, Forum
-from threadloom.sources.snapshots import SnapshotTable
+from threadloom.sources.keyed import KeyedTable
 from threadloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -903,7 +903,7 @@ def backup_ndjson(f: Forum) -> DataFrame:
 @query
 def incremental_sync(f: Forum) -> DataFrame:
     spark, home = f.spark, staging_path(f.spark, "sync")
-    issues, replies = SnapshotTable(spark, f"{home}/issues", ISSUE), SnapshotTable(spark, f"{home}/replies", REPLY, ["issue_id"])
+    issues, replies = KeyedTable(spark, f"{home}/issues", ISSUE), KeyedTable(spark, f"{home}/replies", REPLY, ["issue_id"])
     key = F.col("id").cast("bigint")
     old = f.stored.filter(key % 7 != 0).withColumns(
         {
@@ -915,7 +915,7 @@ def incremental_sync(f: Forum) -> DataFrame:
             "resolution_status": F.lit("unknown"),
         }
     )
-    issues.write(old, -1)
+    issues.write(old)
     messages = f.write_messages(f"{home}/messages")
     jobs.incremental_sync(
         jobs.page_stream(spark, f.write_pages(f"{home}/pages")),
@@ -938,8 +938,8 @@ def incremental_sync(f: Forum) -> DataFrame:
 @query
 def hourly_recent_sync(f: Forum) -> DataFrame:
     spark, home = f.spark, staging_path(f.spark, "hourly")
-    issues, replies = SnapshotTable(spark, f"{home}/issues", ISSUE), SnapshotTable(spark, f"{home}/replies", REPLY, ["issue_id"])
-    issues.write(f.stored.filter("cast(id as bigint) % 7 != 0"), -1)
+    issues, replies = KeyedTable(spark, f"{home}/issues", ISSUE), KeyedTable(spark, f"{home}/replies", REPLY, ["issue_id"])
+    issues.write(f.stored.filter("cast(id as bigint) % 7 != 0"))
     messages = f.write_messages(f"{home}/messages")
     jobs.hourly_recent_sync(
         jobs.page_stream(spark, f.write_pages(f"{home}/pages")),
@@ -959,8 +959,8 @@ def hourly_recent_sync(f: Forum) -> DataFrame:
 @query
 def note_sync(f: Forum) -> DataFrame:
     spark, home = f.spark, staging_path(f.spark, "notes")
-    table = SnapshotTable(spark, f"{home}/notes", NOTE, ["issue_id", "user_id"])
-    table.write(_notes(f, False), -1)
+    table = KeyedTable(spark, f"{home}/notes", NOTE, ["issue_id", "user_id"])
+    table.write(_notes(f, False))
     _notes(f, True).write.parquet(f"{home}/incoming")
     jobs.note_sync(jobs.note_stream(spark, f"{home}/incoming"), table, f"{home}/checkpoint")
     return table.read()
@@ -976,12 +976,12 @@ def stream_daily_stats(f: Forum) -> DataFrame:
         issues.filter(F.col("created_at") >= "2024-01-15"),
         issues.filter(F.crc32(F.col("id").cast("binary")) % 7 == 0).withColumn("message_count", F.col("message_count") + 1),
     ]
-    stored = SnapshotTable(spark, f"{home}/issues", issues.schema)
-    table = SnapshotTable(spark, f"{home}/stats", jobs.DAILY, ["date", "channel_id"])
+    stored = KeyedTable(spark, f"{home}/issues", issues.schema)
+    table = KeyedTable(spark, f"{home}/stats", jobs.DAILY, ["date", "channel_id"])
     for part in reversed(parts):
-        part.coalesce(1).write.mode("append").parquet(f"{home}/incoming")
+        part.write.mode("append").parquet(f"{home}/incoming")
         stream = spark.readStream.schema(issues.schema).parquet(f"{home}/incoming")
         jobs.stream_daily_stats(stream, stored, table, f"{home}/checkpoint", order=["created_at", "message_count"])
-    return table.read()
+    return table.read().drop("batch")
 
 

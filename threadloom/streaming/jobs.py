@@ -1,9 +1,10 @@
 """Scheduled jobs as Structured Streaming with ``availableNow``.
 
 Each job reads new files since its last run (the checkpoint remembers them) and
-merges every micro-batch into snapshot tables, writing only the rows it changed.
-Changes are numbered by batch, so a batch that runs again after a failure writes
-the same change again.
+merges every micro-batch into keyed tables, reading and writing only the partitions
+of the keys it touches. Jobs may share tables, one running at a time. The table that
+tells what has been done is merged last, so a batch that runs again after a failure
+ends in the same state.
 
 Tables: issues are keyed by id, replies by issue_id, notes by issue and user,
 daily totals by date and channel.
@@ -31,13 +32,12 @@ from threadloom.operators.maintenance import (
     upsert_issues,
     upsert_replies,
 )
-from threadloom.operators.metrics import daily_stats
 from threadloom.operators.normalize import normalize_issue, reply_rows, stored_issue
 from threadloom.operators.notes import note_merge_lww
 from threadloom.operators.response import issue_response
 from threadloom.schemas import ANALYTICS_COLUMNS, NOTE, SEARCH_PAGE
-from threadloom.sources.forum_json import first_messages, page_threads, threads_first_message
-from threadloom.sources.snapshots import SnapshotTable
+from threadloom.sources.forum_json import first_messages, threads_first_message
+from threadloom.sources.keyed import KeyedTable
 
 
 def run_available(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -56,10 +56,21 @@ def page_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
         spark.readStream.schema(SEARCH_PAGE)
         .option("maxFilesPerTrigger", files_per_batch)
         .json(path)
-        .withColumn("file", F.col("_metadata.file_path"))
+        .withColumns({"file": F.col("_metadata.file_path"), "file_time": F.col("_metadata.file_modification_time")})
     )
 
 
+def _last_copies(pages: DataFrame) -> DataFrame:
+    """(archived, offset, thread), the copy of each thread that was fetched last.
+
+    Copies are ordered by the time of their file, then by file, offset and position.
+    """
+    copies = pages.select("archived", "offset", "file", "file_time", F.posexplode("threads").alias("pos", "thread"))
+    place = F.struct("file_time", "file", F.coalesce("offset", F.lit(0)), "pos")
+    last = copies.groupBy(F.col("thread.id").alias("id")).agg(F.max_by(F.struct("archived", "offset", "thread"), place).alias("c"))
+    return last.select("c.*")
+
+
 def _fetched_issues(
     pages: DataFrame, channel_id: str | None, now: datetime | str | None, post_data: DataFrame | None = None
 ) -> DataFrame:
@@ -67,13 +78,12 @@ def _fetched_issues(
 
     First messages that the pages lack are taken from ``post_data`` (thread_id, message).
     """
-    threads, firsts = page_threads(pages), first_messages(pages)
+    threads, firsts = _last_copies(pages), first_messages(pages)
     if post_data is not None:
         ids = threads.select(F.col("thread.id").alias("id")).distinct()
         firsts = backfill_first_messages(ids, firsts, post_data).filter("message is not null").drop("origin")
     rows = normalize_issue(threads_first_message(threads, firsts))
-    stored = stored_issue(rows, channel_id, now=now)
-    return latest_by_key(stored, ["id"], ["message_count", "archived", "locked", "name"])
+    return stored_issue(rows, channel_id, now=now)
 
 
 _FIRST = ["first_message_id", "first_message_content", "first_message_author_id", "first_message_author_name", "first_message_created_at"]
@@ -105,8 +115,8 @@ def _messages_of(messages: DataFrame, issues: DataFrame) -> DataFrame:
 def incremental_sync(
     pages: DataFrame,
     messages: DataFrame,
-    issues: SnapshotTable,
-    replies: SnapshotTable,
+    issues: KeyedTable,
+    replies: KeyedTable,
     checkpoint: str,
     channel_id: str | None = None,
     now: datetime | str | None = None,
@@ -123,21 +133,22 @@ def incremental_sync(
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        stored, kept = issues.read(before=batch_id), replies.read(before=batch_id)
-        fetched = _keep_first_messages(_fetched_issues(df, channel_id, now, post_data), stored)
+        fetched = _fetched_issues(df, channel_id, now, post_data).checkpoint()
+        stored = issues.of(fetched)
+        fetched = _keep_first_messages(fetched, stored)
         changed = changed_threads(fetched, stored).filter("change != 'same'").drop("change").checkpoint()
         merged = upsert_issues(of_keys(stored, changed), changed, now=now)
         refresh = changed.filter("message_count > 1")
         refresh = refresh.select("id", "owner_id", "first_message_id", "first_message_created_at", "created_at")
         refresh = refresh.checkpoint()
         fresh = reply_rows(_messages_of(messages, refresh), now)
-        for name in set(kept.columns) - set(fresh.columns):
-            fresh = fresh.withColumn(name, F.lit(None).cast(kept.schema[name].dataType))
+        for name in set(replies.schema.names) - set(fresh.columns):
+            fresh = fresh.withColumn(name, F.lit(None).cast(replies.schema[name].dataType))
         fresh = fresh.checkpoint()
         response = issue_response(refresh, fresh, keywords)
         # All replies of a refreshed thread are replaced, also by none.
-        replies.merge(fresh, batch_id, refresh.select(F.col("id").alias("issue_id")))
-        issues.merge(upsert(merged, response, "id", ANALYTICS_COLUMNS), batch_id)
+        replies.merge(fresh, refresh.select(F.col("id").alias("issue_id")))
+        issues.merge(upsert(merged, response, "id", ANALYTICS_COLUMNS))
 
     run_available(pages, batch, checkpoint)
 
@@ -145,8 +156,8 @@ def incremental_sync(
 def hourly_recent_sync(
     pages: DataFrame,
     messages: DataFrame,
-    issues: SnapshotTable,
-    replies: SnapshotTable,
+    issues: KeyedTable,
+    replies: KeyedTable,
     checkpoint: str,
     channel_id: str | None = None,
     now: datetime | str | None = None,
@@ -156,11 +167,11 @@ def hourly_recent_sync(
     """Store the active threads and fill in replies that are missing.
 
     With ``queue`` and ``take`` a batch looks at the head of the queue only and
-    leaves the rest to later ones.
+    leaves the rest to later ones. The queue is made of the whole tables.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        stored, kept = issues.read(before=batch_id), replies.read(before=batch_id)
+        stored, kept = issues.read(), replies.read()
         fetched = _fetched_issues(df.filter("not coalesce(archived, false)"), channel_id, now)
         newest = _keep_first_messages(fetched, stored).drop("fetched_at").checkpoint()
         touched = upsert(
@@ -175,26 +186,26 @@ def hourly_recent_sync(
         todo = missing_replies(current, kept, queue, take).checkpoint()
         fresh = reply_rows(_messages_of(messages, todo), now)
         ids = todo.select(F.col("id").alias("issue_id"))
-        replies.merge(upsert_replies(of_keys(kept, ids, ["issue_id"]), fresh), batch_id, ids)
-
+        # All that is read from the tables is read before the first of them is written.
         handled = handled_queue(current, kept, queue, take).withColumn("_handled", F.lit(True)).checkpoint()
         moved = of_keys(current, touched.select("id").unionByName(handled.select("id")))
         again = F.when(F.col("_handled"), now_literal(now)).otherwise(F.col("fetched_at"))
-        issues.merge(moved.join(handled, "id", "left").withColumn("fetched_at", again), batch_id)
+        moved = moved.join(handled, "id", "left").withColumn("fetched_at", again).checkpoint()
+        replies.merge(upsert_replies(replies.of(ids), fresh), ids)
+        issues.merge(moved)
 
     run_available(pages, batch, checkpoint)
 
 
 def note_sync(
-    incoming: DataFrame, notes: SnapshotTable, checkpoint: str, keys: Sequence[str] = ("issue_id", "user_id")
+    incoming: DataFrame, notes: KeyedTable, checkpoint: str, keys: Sequence[str] = ("issue_id", "user_id")
 ) -> None:
     """Merge streamed notes into the stored ones, the newer copy wins."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        stored = notes.read(before=batch_id)
-        newest = latest_by_key(df, list(keys), ["updated_at", "version", "id"])
-        old = of_keys(stored, newest, keys)
-        notes.merge(note_merge_lww(old, newest.select(*stored.columns), keys).drop("origin"), batch_id)
+        newest = latest_by_key(df, list(keys), ["updated_at", "version", "id"]).checkpoint()
+        old = notes.of(newest)
+        notes.merge(note_merge_lww(old, newest.select(*old.columns), keys).drop("origin"))
 
     run_available(incoming, batch, checkpoint)
 
@@ -208,32 +219,44 @@ DAILY = T.StructType(
         T.StructField("date", T.DateType()), T.StructField("channel_id", T.StringType()),
         T.StructField("issue_count", T.LongType()), T.StructField("total_messages", T.LongType()),
         T.StructField("answered_count", T.LongType()),
+        T.StructField("batch", T.LongType()),  # the last one that changed the row
     ]
 )
 
 
 def stream_daily_stats(
-    incoming: DataFrame, issues: SnapshotTable, stats: SnapshotTable, checkpoint: str,
+    incoming: DataFrame, issues: KeyedTable, stats: KeyedTable, checkpoint: str,
     order: Sequence[str] = ("message_count", "is_answered", "created_at", "channel_id"),
 ) -> None:
     """Keep daily totals per channel equal to the totals over all issues seen.
 
-    Every batch is merged into ``issues``, then the days and channels that it
-    touches, before or after the merge, are counted again from that table. So
-    rows may come late by any time, and an issue that comes again counts once, in
-    its last state; of copies within a batch the last by ``order`` counts.
+    Every issue of a batch takes its old row out of the totals and adds its new
+    one: the stored issues are read for the issues of the batch only, the totals for the
+    days that change. So rows may come late by any time, and an issue that comes
+    again counts once, in its last state; of copies within a batch the last by
+    ``order`` counts. Counts of messages that are missing count as 0. Totals carry the
+    batch that wrote them, so one that runs again adds nothing twice; one stream
+    writes to a table of totals.
     """
+    day, counts = ["date", "channel_id"], ["issue_count", "total_messages", "answered_count"]
 
     def batch(df: DataFrame, batch_id: int) -> None:
         newest = latest_by_key(df.select(*issues.schema.names), ["id"], list(order)).checkpoint()
-        stored = issues.read(before=batch_id)
-        pair = (F.to_date("created_at").alias("date"), "channel_id")
-        touched = of_keys(stored, newest).select(*pair).unionByName(newest.select(*pair)).distinct().checkpoint()
-        issues.merge(newest, batch_id)
-        current = issues.read(before=batch_id + 1).withColumn("date", F.to_date("created_at"))
-        # Null-safe, so that issues without a channel have totals of their own.
-        same = F.col("date").eqNullSafe(F.col("_date")) & F.col("channel_id").eqNullSafe(F.col("_channel"))
-        mine = current.join(touched.toDF("_date", "_channel"), same, "left_semi")
-        stats.merge(daily_stats(mine), batch_id, touched)
+        signed = newest.withColumn("_sign", F.lit(1)).unionByName(issues.of(newest).withColumn("_sign", F.lit(-1)))
+        amounts = [F.lit(1), F.coalesce("message_count", F.lit(0)), F.coalesce(F.col("is_answered").cast("int"), F.lit(0))]
+        change = signed.groupBy(F.to_date("created_at").alias("date"), "channel_id").agg(
+            *[F.sum(F.col("_sign") * a).cast("bigint").alias(c) for c, a in zip(counts, amounts, strict=True)]
+        ).checkpoint()
+        both = stats.of(change).withColumn("_new", F.lit(False)).unionByName(
+            change.withColumns({"batch": F.lit(None).cast("bigint"), "_new": F.lit(True)})
+        )
+        totals = both.groupBy(*day).agg(
+            F.coalesce(F.max("batch") == batch_id, F.lit(False)).alias("_done"),
+            *[F.sum(F.when(F.col("_new") == new, F.col(c))).alias(f"{c}_{new}") for c in counts for new in (False, True)],
+        )
+        added = {c: F.coalesce(f"{c}_False", F.lit(0)) + F.when(F.col("_done"), 0).otherwise(F.coalesce(f"{c}_True", F.lit(0))) for c in counts}
+        rows = totals.select(*day, *[v.alias(c) for c, v in added.items()], F.lit(batch_id).alias("batch"))
+        stats.merge(rows.filter("issue_count > 0"), change.select(*day))
+        issues.merge(newest)
 
     run_available(incoming, batch, checkpoint)
