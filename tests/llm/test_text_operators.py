@@ -377,6 +377,16 @@ def expected_ids(text):
 TRICKY = ["it's  we'll\t\tgo\n\n  'tis 123abc", "<|endoftext|> x", "   ", "\n", "a" * 5000, "🙂🙂 é\u0301 漢字ab", "'s't''re", "x\u00a0\u3000y  "]
 
 
+def test_decoding_of_odd_ids(spark):
+    rows = [(1, None), (2, b""), (3, expected_ids("plain words")), (4, expected_ids("\U0001F642 é"))]
+    tokens = spark.createDataFrame(rows, "doc_id long, token_ids binary")
+    got = {r.doc_id: r.decoded if r.decoded is None else bytes(r.decoded) for r in bpe.decode(tokens, VOCABULARY).collect()}
+    assert got == {1: None, 2: b"", 3: b"plain words", 4: "\U0001F642 é".encode()}
+    unknown = spark.createDataFrame([(5, struct.pack("<2I", 1, 4_000_000_000))], "doc_id long, token_ids binary")
+    with pytest.raises(Exception):
+        bpe.decode(unknown, VOCABULARY).collect()
+
+
 def test_tokens(spark):
     rows = [*cases.odd_rows(), *[(200 + i, t) for i, t in enumerate(TRICKY)]]
     docs = cases.documents(spark, rows)

@@ -83,8 +83,9 @@ def contained_items(
     """(key, item, n_shingles, n_shared) of every item with ``percent`` of its shingles in a document.
 
     Shingles are ``size`` words, compared without case and punctuation; whole texts
-    are searched. An item of fewer words is one shingle, its words in a row. No such pair is missed. Null and empty texts contain nothing,
-    rows with a null key are left out, repeated rows count once. Rows that share a
+    are searched. An item of fewer words is one shingle, its words in a row. No such pair is
+    missed. Null and empty texts contain nothing, and no item, document or table that is empty gives a pair. Rows
+    with a null key are left out, repeated rows count once. Other columns play no part, whatever their names. Rows that share a
     key or an item id but not the text are judged each, and the best one counts.
     """
     items = items_of(benchmark, size, item, item_text).checkpoint()

@@ -436,7 +436,8 @@ def remove_repeats(
     input. Rows of equal key count as one document, so they keep what they share
     with each other. Rows with a null key neither lose words nor stand for an
     earlier occurrence. A null text stays null with no words; texts of fewer than
-    ``size`` words stay whole.
+    ``size`` words stay whole. Columns named ``n_words`` or ``n_removed`` are replaced,
+    all others stay; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
