@@ -1,8 +1,10 @@
+from pyspark.sql import functions as F
 from rows import at, issues, replies
 
 from threadloom.operators import metrics as M
 from threadloom.operators import rankings as K
 from threadloom.plans.dashboard import metrics_bundle
+from threadloom.schemas import ISSUE
 
 
 def test_global_metrics_interpolate_and_count_zero_as_fast(spark):
@@ -116,3 +118,16 @@ def test_listing_texts(spark):
     assert (got["1"]["status"], got["1"]["created"]) == ("In Progress", "2h ago")
     assert (got["2"]["snippet"], got["2"]["replies"], got["2"]["response"]) == ("(no message body)", "—", "—")
     assert (got["2"]["status"], got["2"]["created"]) == ("—", "1y ago")
+
+
+def test_trends_bound_reaches_the_scan(spark, tmp_path):
+    """The plan has one scalar bound on the column as stored, within the scan's own filters."""
+    path = str(tmp_path / "i")
+    days = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 86_400)
+    types = {f.name: f.dataType for f in ISSUE.fields}
+    columns = {n: F.lit(None).cast(t) for n, t in types.items()} | {"created_at": days, "replies_loaded": F.lit(True)}
+    spark.range(0, 100, 1, 5).select(*[v.alias(n) for n, v in columns.items()]).write.parquet(path)
+    df = M.weekly_trends(spark.read.parquet(path))
+    assert {(r["metric"], r["current"]) for r in df.collect()} >= {("issues_created", 8)}
+    scans = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x]
+    assert any("created_at" in x and "ubquery" in x.split("DataFilters")[1] and "getfield" not in x.lower() for x in scans)

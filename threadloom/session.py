@@ -13,6 +13,8 @@ from pyspark.sql import SparkSession
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the session settings every operator relies on."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Older types of timestamps have no bounds that a scan could use.
+    spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     shared_dir(spark)
