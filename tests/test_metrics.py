@@ -3,6 +3,7 @@ from rows import at, issues, replies
 
 from threadloom.operators import metrics as M
 from threadloom.operators import rankings as K
+from threadloom.operators.response import response_analytics
 from threadloom.plans.dashboard import metrics_bundle
 from threadloom.schemas import ISSUE
 
@@ -15,6 +16,24 @@ def test_global_metrics_interpolate_and_count_zero_as_fast(spark):
     assert (d["median_response_time_ms"], d["avg_response_time_ms"], d["fast_response_count"]) == (None, None, 0)
 
 
+def test_metrics_of_null_values(spark):
+    rows = [{"id": "1", "owner_id": None, "message_count": None}, {"id": "2", "owner_id": "a", "is_answered": None, "channel_id": None},
+            {"id": None, "owner_id": "a", "response_time_ms": 7, "message_count": 2}, {"id": "3", "owner_id": "a", "message_count": None}]
+    got = {r["channel_id"]: r for r in M.global_metrics(issues(spark, *rows)).collect()}
+    c = got["c"]
+    assert (c["total_issues"], c["total_messages"], c["unique_users"], c["median_response_time_ms"]) == (2, 2, 1, 7)
+    assert (got[None]["total_issues"], got[None]["answered_issues"], got[None]["avg_response_time_ms"]) == (1, 0, None)
+    assert M.global_metrics(issues(spark)).count() == 0
+
+
+def test_metrics_read_the_issues_once(spark, tmp_path):
+    issues(spark, {"id": "1", "response_time_ms": 5}).write.parquet(str(tmp_path / "i"))
+    stored = spark.read.parquet(str(tmp_path / "i"))
+    parts = metrics_bundle(stored, replies(spark))
+    for df in (M.global_metrics(stored), response_analytics(stored), parts["kpis"], parts["daily_stats"], parts["top_responders"]):
+        assert "Scan parquet" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bundle_fills_zero(spark):
     parts = metrics_bundle(issues(spark, {"id": "x"}), replies(spark))
     assert parts["kpis"].first()["median_response_time_ms"] == 0

@@ -13,20 +13,19 @@ from pyspark.sql import functions as F
 _BLOCK = 1 << 20
 
 
-def values_at_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column]
-) -> DataFrame:
-    """Exact values of an integer column at 0-based ascending ranks, per group.
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows ``_c`` of each value ``_v`` of an integer column, per group; nulls are left out."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("bigint").alias("_v"))
+    return counted.agg(F.count(F.lit(1)).alias("_c"))
+
 
-    ``ranks`` maps a name to an expression over ``n``, the number of non-null
-    values of the group. Returns one row per (keys, name) with ``value``.
+def values_at_ranks(counted: DataFrame, keys: Sequence[str], ranks: Mapping[str, Column]) -> DataFrame:
+    """Exact values at 0-based ascending ranks per group, from ``value_counts``.
+
+    ``ranks`` maps a name to an expression over ``n``, the number of values of the
+    group. Returns one row per (keys, name) with ``value``.
     """
     keys = list(keys)
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("bigint").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
     block = F.floor(F.col("_v") / F.lit(_BLOCK)).alias("_b")
     per_group = Window.partitionBy(*keys)
     upto = per_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
@@ -65,21 +64,27 @@ def values_at_ranks(
     )
 
 
-def interpolated_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Mean of the two middle values (equal when the count is odd)."""
+def middle_of_counts(counted: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """Mean of the two middle values (equal when the count is odd), from ``value_counts``."""
     n = F.col("n")
-    found = values_at_ranks(
-        df, keys, value, {"low": F.floor((n - 1) / 2), "high": F.floor(n / 2)}
-    )
+    found = values_at_ranks(counted, keys, {"low": F.floor((n - 1) / 2), "high": F.floor(n / 2)})
     return found.groupBy(*keys).agg((F.sum("value") / F.lit(2.0)).alias(out))
 
 
-def upper_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Value at 0-based position floor(n/2)."""
-    found = values_at_ranks(df, keys, value, {"upper": F.floor(F.col("n") / 2)})
+def upper_of_counts(counted: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """Value at 0-based position floor(n/2), from ``value_counts``."""
+    found = values_at_ranks(counted, keys, {"upper": F.floor(F.col("n") / 2)})
     return found.select(*keys, F.col("value").alias(out))
 
 
+def interpolated_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    return middle_of_counts(value_counts(df, keys, value), keys, out)
+
+
+def upper_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    return upper_of_counts(value_counts(df, keys, value), keys, out)
+
+
 def _slots(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Sort globally and note each row's partition and place in it.
 

@@ -7,30 +7,57 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import tag_name
 from threadloom.functions.time import DAY_MS, HOUR_MS, half_up, whole_text
-from threadloom.operators.distributed import interpolated_median
+from threadloom.operators.distributed import middle_of_counts
 
 
 def _n() -> Column:
     return F.count(F.lit(1))
 
 
-def global_metrics(issues: DataFrame) -> DataFrame:
-    """KPIs per channel, with the interpolated median response time."""
-    wait = F.col("response_time_ms")
-    kpis = issues.groupBy("channel_id").agg(
-        F.count("id").alias("total_issues"),
-        F.count_if(F.col("is_answered")).alias("answered_issues"),
-        F.sum("message_count").alias("total_messages"),
-        F.count_if(F.col("resolution_status") == "likely-resolved").alias("resolved_issues"),
-        F.avg(wait).alias("avg_response_time_ms"),
-        F.count_if(wait <= HOUR_MS).alias("fast_response_count"),
-        F.count_distinct("owner_id").alias("unique_users"),
-        F.count_if(F.col("archived")).alias("archived_issues"),
+def _counted(issues: DataFrame) -> DataFrame:
+    """Sums of each channel by response time, and one row for each of its owners.
+
+    Both come from one pass, as two entries of each issue that meet in one grouping.
+    """
+    owner = issues.schema["owner_id"].dataType
+    entries = F.array(
+        F.struct(F.lit(False).alias("is_owner"), F.col("response_time_ms").cast("bigint").alias("wait"), F.lit(None).cast(owner).alias("owner")),
+        F.struct(F.lit(True).alias("is_owner"), F.lit(None).cast("bigint").alias("wait"), F.col("owner_id").alias("owner")),
+    )
+    sums = ["id", "message_count", "is_answered", "resolution_status", "archived"]
+    rows = issues.select("channel_id", *sums, F.inline(entries))
+    once = ~F.col("is_owner")
+    return rows.groupBy("channel_id", "is_owner", "wait", "owner").agg(
+        F.count_if(once).alias("_c"),
+        F.count_if(once & F.col("id").isNotNull()).alias("issues"),
+        F.count_if(once & F.col("is_answered")).alias("answered"),
+        F.sum(F.when(once, F.col("message_count"))).alias("messages"),
+        F.count_if(once & (F.col("resolution_status") == "likely-resolved")).alias("resolved"),
+        F.count_if(once & F.col("archived")).alias("archived"),
     )
-    median = "median_response_time_ms"
-    medians = interpolated_median(issues, ["channel_id"], "response_time_ms", median).select(
-        F.col("channel_id").alias("_channel"), median
+
+
+def global_metrics(issues: DataFrame) -> DataFrame:
+    """KPIs per channel, with the interpolated median response time.
+
+    The issues are read once, when this is called: their counts are checkpointed,
+    and KPIs and medians are taken from these.
+    """
+    counted = _counted(issues).checkpoint()
+    wait, median = F.col("wait"), "median_response_time_ms"
+    waited = F.when(wait.isNotNull(), F.col("_c"))
+    kpis = counted.groupBy("channel_id").agg(
+        F.sum("issues").alias("total_issues"),
+        F.sum("answered").alias("answered_issues"),
+        F.sum("messages").alias("total_messages"),
+        F.sum("resolved").alias("resolved_issues"),
+        (F.sum(wait.cast("double") * F.col("_c")) / F.sum(waited)).alias("avg_response_time_ms"),
+        F.coalesce(F.sum(F.when(wait <= HOUR_MS, F.col("_c"))), F.lit(0)).alias("fast_response_count"),
+        F.count("owner").alias("unique_users"),
+        F.sum("archived").alias("archived_issues"),
     )
+    waits = counted.filter(wait.isNotNull()).select("channel_id", wait.alias("_v"), "_c")
+    medians = middle_of_counts(waits, ["channel_id"], median).withColumnRenamed("channel_id", "_channel")
     same = F.col("channel_id").eqNullSafe(F.col("_channel"))
     return kpis.join(medians, same, "left").drop("_channel")
 

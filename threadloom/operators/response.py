@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.constants import RESOLUTION_KEYWORDS, RESPONSE_BUCKETS
 from threadloom.functions.text import contains_any
 from threadloom.functions.time import HOUR_MS
-from threadloom.operators.distributed import first_n, upper_median
+from threadloom.operators.distributed import first_n, upper_of_counts
 
 
 def issue_response(
@@ -102,26 +102,40 @@ def first_reply(issues: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def response_analytics(issues: DataFrame) -> DataFrame:
-    """One row over the issues whose replies are loaded."""
-    loaded = issues.filter("replies_loaded").select(
-        "is_answered",
-        "resolution_status",
-        "reply_count",
-        F.when(F.col("is_answered") & (F.col("response_time_ms") > 0), F.col("response_time_ms")).alias("wait"),
-    )
-    status = F.col("resolution_status")
-    n = F.col("total_with_replies")
-    totals = loaded.agg(
-        F.count(F.lit(1)).alias("total_with_replies"),
-        F.count_if(F.col("is_answered")).alias("answered_count"),
-        F.count_if(~F.col("is_answered")).alias("unanswered_count"),
-        F.avg("wait").alias("avg_response_time_ms"),
-        F.count_if(F.col("wait") <= HOUR_MS).alias("fast_response_count"),
-        F.count_if(status == "likely-resolved").alias("likely_resolved_count"),
-        F.count_if(status == "in-progress").alias("in_progress_count"),
-        F.coalesce(F.sum("reply_count"), F.lit(0)).alias("total_replies"),
+    """One row over the issues whose replies are loaded.
+
+    They are read once, when this is called: counts by response time are checkpointed.
+    """
+    status, n = F.col("resolution_status"), F.col("total_with_replies")
+    waited = F.col("is_answered") & (F.col("response_time_ms") > 0)
+    counts = {
+        "answered_count": F.count_if(F.col("is_answered")),
+        "unanswered_count": F.count_if(~F.col("is_answered")),
+        "likely_resolved_count": F.count_if(status == "likely-resolved"),
+        "in_progress_count": F.count_if(status == "in-progress"),
+        "total_replies": F.sum("reply_count"),
+    }
+    loaded = issues.filter("replies_loaded")
+    counted = loaded.groupBy(F.when(waited, F.col("response_time_ms")).cast("bigint").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"), *[c.alias(name) for name, c in counts.items()]
+    ).checkpoint()
+    wait, rows = F.col("_v"), F.col("_c")
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0))
+
+    totals = counted.agg(
+        total(rows).alias("total_with_replies"),
+        total(F.col("answered_count")).alias("answered_count"),
+        total(F.col("unanswered_count")).alias("unanswered_count"),
+        (F.sum(wait.cast("double") * rows) / F.sum(F.when(wait.isNotNull(), rows))).alias("avg_response_time_ms"),
+        total(F.when(wait <= HOUR_MS, rows)).alias("fast_response_count"),
+        total(F.col("likely_resolved_count")).alias("likely_resolved_count"),
+        total(F.col("in_progress_count")).alias("in_progress_count"),
+        total(F.col("total_replies")).alias("total_replies"),
     )
-    median = upper_median(loaded, [], "wait", "median").select("median").agg(F.max("median"))
+    waits = counted.filter(wait.isNotNull()).select("_v", "_c")
+    median = upper_of_counts(waits, [], "median").agg(F.max("median"))
 
     def per_issue(c: str) -> Column:
         return F.when(n > 0, F.col(c) / n).otherwise(0.0)
