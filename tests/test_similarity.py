@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from threadloom.operators import graph as G
 from threadloom.operators import similarity as S
-from threadloom.plans.duplicates import daily_clustering
+from threadloom.plans.duplicates import MEMBERS, daily_clustering, grow_components
+from threadloom.sources.keyed import KeyedTable
 
 
 def frame(spark, ids, matrix):
@@ -115,6 +116,46 @@ def test_components_equal_union_find(spark, kind, share, monkeypatch):
     assert got == components_by_union_find(edges)
 
 
+def test_components_grow_as_over_all_edges(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    table = KeyedTable(spark, str(tmp_path / "m"), MEMBERS, buckets=4)
+    # A hub, loops, a repeated edge, a null end and a day without edges; later days join older components.
+    days = [
+        [(f"{a:03d}", f"{b:03d}") for a, b in rng.integers(200, size=(60, 2))] + [("150", f"n{i:03d}") for i in range(60)],
+        [],
+        [(f"{a:03d}", f"{b:03d}") for a, b in rng.integers(200, size=(60, 2))] + [("150", "n003"), ("n004", None), ("zz", "zz")],
+        [("a", "150"), ("a", "zy"), ("n001", "n002")],
+    ]
+    past = []
+    for day in days:
+        past += [(a, b) for a, b in day if b is not None and a != b]
+        links = spark.createDataFrame(day, "src string, dst string")
+        want = components_by_union_find(past)
+        for _ in range(2):  # the second time after a failure
+            touched = {r["id"]: r["component"] for r in grow_components(table, links).collect()}
+            assert {r["id"]: r["component"] for r in table.read().collect()} == want
+            ends = {want[x] for edge in day for x in edge if x in want}
+            assert touched == {i: c for i, c in want.items() if c in ends}
+    assert G.changed_components(table.read(), links).count() == 0
+
+
+def test_clustering_of_a_later_day_extends_clusters(spark, tmp_path):
+    members = KeyedTable(spark, str(tmp_path / "m"), MEMBERS, buckets=4)
+    turned = {"a": 0, "b": 20, "c": 40, "x": 90, "y": 110}  # degrees; b and c join only through one another
+    rows = {i: [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))] for i, d in turned.items()}
+
+    def run(ids, clusters):
+        issues = spark.createDataFrame([(i, f"n{i}", clusters.get(i)) for i in ids], "id string, name string, duplicate_cluster_id string")
+        issues = issues.withColumn("created_at", F.lit(None).cast("timestamp"))
+        vectors = spark.createDataFrame([(rows[i], (i,)) for i in ids], "values array<float>, metadata struct<issueId: string>")
+        found, assigned = daily_clustering(issues, threshold=0.9, vectors=vectors, members=members)
+        return {r["id"]: r["issue_count"] for r in found.collect()}, {r["id"]: r["duplicate_cluster_id"] for r in assigned.collect()}
+
+    first, known = run("bcxy", {})
+    assert first == {"b": 2, "x": 2} and known == {"b": "b", "c": "b", "x": "x", "y": "x"}
+    assert run("abcxy", known) == ({"a": 3}, {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"})
+
+
 def test_rounds_are_limited(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
     with pytest.raises(RuntimeError):

@@ -54,6 +54,11 @@ def _issue_text(*columns: str) -> Column:
     return F.lower(F.concat(*spaced))
 
 
+def searched_text() -> Column:
+    """What the text query looks at, in lower case."""
+    return _issue_text("name", "owner_username", "owner_global_name", "first_message_content")
+
+
 def _known(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("unknown"))
 
@@ -92,8 +97,7 @@ def predicates(spec: IssueFilter) -> list[Column]:
         found.append(F.col("id").isin(*theme.sample_issue_ids) | hit)
     wanted = spec.query.strip().lower()
     if wanted:
-        text = _issue_text("name", "owner_username", "owner_global_name", "first_message_content")
-        found.append(text.contains(wanted))
+        found.append(searched_text().contains(wanted))
     return found
 
 

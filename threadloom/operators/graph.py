@@ -59,6 +59,32 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return members.unionByName(roots)
 
 
+def changed_components(stored: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) of every node whose component is new or another one after the edges (src, dst).
+
+    ``stored`` has (id, component) of all earlier edges, component = smallest id. A
+    stored component takes part as one node, linked with those of its members that new edges
+    end at, so the rounds run over new edges only. The stored table is read for these
+    ends and for the members of components that are joined. Merged into ``stored`` by
+    id, the result makes it what ``connected_components`` gives over all edges. Edges that
+    join nothing, repeated ones, loops and null ends give no rows.
+    """
+    stored = stored.select("id", "component")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    known = stored.join(ends, "id", "left_semi").checkpoint()
+    ties = known.select(F.col("component").alias("src"), F.col("id").alias("dst"))
+    found = connected_components(edges.select("src", "dst").unionByName(ties)).checkpoint()
+    roots = known.select("component").distinct()
+    old = known.select("id").unionByName(roots.withColumnRenamed("component", "id"))
+    new = found.join(old, "id", "left_anti")
+    moves = found.select(F.col("id").alias("component"), F.col("component").alias("_to"))
+    moves = moves.join(roots, "component", "left_semi").filter("component != _to").checkpoint()
+    # A component may hold a third of all nodes.
+    sizes, seen = checkpoint_with(stored.groupBy("component").agg(_rows().alias("n")), total=F.sum("n"))
+    moved = lookup_by_key(stored, sizes.join(moves, "component"), "component", "n", seen["total"] or 0)
+    return new.unionByName(moved.select("id", F.col("_to").alias("component")))
+
+
 def build_clusters(components: DataFrame, issues: DataFrame) -> DataFrame:
     """One cluster per component, named after its head (the smallest id)."""
     sizes = components.groupBy(F.col("component").alias("id")).agg(F.count(F.lit(1)).alias("n"))

@@ -529,6 +529,7 @@ _filters = {
     " and replies_loaded and reply_count > 0 and message_count >= 3 and not has_attachment"
     " and created_at >= '1994-01-01' and created_at < '2000-01-01'",
 }
+_filters["search_issues"] = _filters["filter_query"]
 for _name, _condition in _filters.items():
     _add(_name, "full_issues", f"select id from full_issues where {_condition}")
 _add(
@@ -804,6 +805,13 @@ _merged = f"""select id, issue_id, user_id, user_name, content, version, {_ts('u
 _newest = "qualify row_number() over (partition by id order by updated_at desc, origin) = 1"
 _add("note_merge_lww", "notes", f"{_merged}, origin from notes {_newest}")
 _add("note_sync", "notes", f"{_merged} from notes {_newest}")
+_add(
+    "note_exchange",
+    "notes",
+    f"""select 'stored' as side, * from ({_merged} from notes {_newest})
+union all select 'sent', * from ({_merged} from notes l where origin = 'local' and not exists
+  (select 1 from notes r where r.origin = 'remote' and r.id = l.id and r.updated_at >= l.updated_at))""",
+)
 _add(
     "note_write",
     "notes",
@@ -893,6 +901,7 @@ where vec_id % 2 = 0 or vec_id % 3 = 0""",
 _add("knn_join", "neighbours", "select anchor_id, neighbour_id, round(score, 6) as score from neighbours")
 _add("similarity_edges", "edges", "select * from edges")
 _add("connected_components", "components", "select * from components")
+_add("grow_components", "components", "select * from components")
 _add(
     "build_clusters",
     "components vector_issues",

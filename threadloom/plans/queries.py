@@ -23,11 +23,12 @@ from threadloom.operators import (
     themes,
 )
 from threadloom.operators.distributed import first_n, ranked_top, upper_median
+from threadloom.plans import duplicates
 from threadloom.plans.dashboard import metrics_bundle
-from threadloom.plans.duplicates import daily_clustering
-from threadloom.schemas import ISSUE, NOTE, REPLY
+from threadloom.plans.duplicates import MEMBERS, daily_clustering
+from threadloom.schemas import ISSUE, NOTE, NOTE_MARK, REPLY
 from threadloom.session import staging_path
-from threadloom.sources import exports, forum_json, tables
+from threadloom.sources import exports, forum_json, postings, tables
 from threadloom.sources.derived import KEYWORDS, Forum
 from threadloom.sources.keyed import KeyedTable
 from threadloom.streaming import jobs
@@ -358,6 +359,18 @@ def filter_query(f: Forum) -> DataFrame:
     return _filtered(f, query="  User 7 ")
 
 
+@query
+def search_issues(f: Forum) -> DataFrame:
+    """A third of the texts come twice, first in another state."""
+    spark, home = f.spark, staging_path(f.spark, "search")
+    texts = f.full_issues.select("id", "name", "owner_username", "owner_global_name", "first_message_content").checkpoint()
+    stored = KeyedTable(spark, f"{home}/issues", texts.schema)
+    stored.write(texts)
+    postings.add_postings(texts.filter("cast(id as bigint) % 3 = 0").withColumn("owner_username", F.lit("user 7")), f"{home}/grams")
+    postings.add_postings(texts, f"{home}/grams")
+    return postings.search_issues(stored, f"{home}/grams", "  User 7 ").select("id")
+
+
 @query
 def filter_issues(f: Forum) -> DataFrame:
     return _filtered(
@@ -805,6 +818,17 @@ def connected_components(f: Forum) -> DataFrame:
     return _components(f)
 
 
+@query
+def grow_components(f: Forum) -> DataFrame:
+    """The links of three days, one day after the other."""
+    links = similarity.similarity_edges(_neighbours(f)).checkpoint()
+    members = KeyedTable(f.spark, staging_path(f.spark, "members"), MEMBERS)
+    day = F.pmod(F.xxhash64("src", "dst"), F.lit(3))
+    for n in range(3):
+        duplicates.grow_components(members, links.filter(day == n))
+    return members.read()
+
+
 def _vector_issues(f: Forum) -> DataFrame:
     key = F.col("id").cast("bigint")
     name = F.when(key % 4 != 0, F.concat(F.lit("vector "), "id"))
@@ -966,6 +990,23 @@ def note_sync(f: Forum) -> DataFrame:
     return table.read()
 
 
+@query
+def note_exchange(f: Forum) -> DataFrame:
+    """Remote notes first; then local ones, and a part of the remote ones once more."""
+    spark, home = f.spark, staging_path(f.spark, "exchange")
+    table = KeyedTable(spark, f"{home}/notes", NOTE, ["issue_id", "user_id"])
+    marks = KeyedTable(spark, f"{home}/marks", NOTE_MARK, ["issue_id", "user_id"])
+    local, remote = _notes(f, False), _notes(f, True)
+    again = remote.filter("cast(user_id as bigint) % 3 = 0")
+    for own, other in ((local.limit(0), remote), (local, again)):
+        own.write.mode("append").parquet(f"{home}/local")
+        other.write.mode("append").parquet(f"{home}/remote")
+        sides = [jobs.note_stream(spark, f"{home}/{side}").withColumn("origin", F.lit(side)) for side in ("local", "remote")]
+        jobs.note_exchange(sides[0].unionByName(sides[1]), table, marks, f"{home}/outbox", f"{home}/checkpoint")
+    sent = spark.read.schema(NOTE).parquet(f"{home}/outbox").select(*NOTE.names)
+    return table.read().withColumn("side", F.lit("stored")).unionByName(sent.withColumn("side", F.lit("sent")))
+
+
 @query
 def stream_daily_stats(f: Forum) -> DataFrame:
     spark, home = f.spark, staging_path(f.spark, "daily")

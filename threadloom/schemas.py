@@ -120,6 +120,8 @@ NOTE = _struct(
     updated_at=_TS,
     deleted_at=_TS,
 )
+# The newest copy of a note that the other side is known to hold, and the batch that told so.
+NOTE_MARK = _struct(issue_id=_S, user_id=_S, updated_at=_TS, batch=_L, sent=_B)
 VECTOR = _struct(
     id=_S,
     values=T.ArrayType(T.FloatType()),

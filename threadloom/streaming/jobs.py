@@ -210,6 +210,52 @@ def note_sync(
     run_available(incoming, batch, checkpoint)
 
 
+def note_exchange(
+    copies: DataFrame,
+    notes: KeyedTable,
+    marks: KeyedTable,
+    outbox: str,
+    checkpoint: str,
+    keys: Sequence[str] = ("issue_id", "user_id"),
+) -> None:
+    """Merge notes of both sides and put those out that the other side lacks.
+
+    ``copies`` streams notes with their ``origin``, "local" edits and "remote" copies. The
+    newer copy is stored; of equally new ones the local one stays. A note goes to the
+    folder ``outbox``, in ``batch=<number>``, if the remote side holds no copy or an older
+    one, as far as ``marks`` and the batch tell; one put out counts as held. Notes stored
+    before the first run go out when they come in the stream as local.
+
+    A batch reads and writes the partitions of its keys only. The marks are merged last and
+    carry their batch, so one that runs again puts out the same notes.
+    """
+    names = notes.schema.names
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        df = df.select(*names, "origin").checkpoint()
+        touched = df.select(*keys).distinct().checkpoint()
+        known = marks.of(touched).withColumn("origin", F.lit("mark"))
+        known = known.withColumn("again", F.col("batch") == batch_id)
+        rows = df.unionByName(notes.of(touched).withColumn("origin", F.lit("stored"))).unionByName(known, allowMissingColumns=True)
+        at, origin, again = F.col("updated_at"), F.col("origin"), F.coalesce("again", F.lit(False))
+        order = F.struct("updated_at", (origin != "remote").alias("own"), "version", "id", "content")
+        found = rows.groupBy(*keys).agg(
+            F.max_by(F.struct(*names), F.when(origin != "mark", order)).alias("note"),
+            F.max(F.when(origin.isin("remote", "mark") & ~again, at)).alias("held"),
+            F.max(F.when(origin == "mark", at)).alias("marked"),
+            F.bool_or(F.when(again, F.col("sent"))).alias("sent"),
+        )
+        newer = F.col("held").isNull() | (F.col("note.updated_at") > F.col("held"))
+        found = found.withColumn("sent", F.coalesce("sent", newer, F.lit(False))).checkpoint()
+        merged = found.select("note.*")
+        found.filter("sent").select("note.*").write.mode("overwrite").parquet(f"{outbox.rstrip('/')}/batch={batch_id}")
+        notes.merge(merged)
+        stamp = F.greatest("held", "marked", F.when(F.col("sent"), F.col("note.updated_at")))
+        marks.merge(found.select(*keys, stamp.alias("updated_at"), F.lit(batch_id).alias("batch"), "sent"))
+
+    run_available(copies, batch, checkpoint)
+
+
 def note_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(NOTE).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
