@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,25 @@ def test_neighbours_equal_brute_force(spark, threshold, block):
     assert pairs == brute_force(anchors, table, 4, threshold)
 
 
+def test_neighbour_tasks_hold_bounded_frames():
+    """What a task holds at once does not grow with the number of cells."""
+    rng = np.random.default_rng(4)
+    matrix, pivots = rng.normal(size=(1500, 8)), rng.normal(size=(90, 8))
+    frame = pd.DataFrame({"gid": [f"g{i}" for i in range(1500)], "values": list(matrix)})
+    everywhere = np.zeros(90), np.full(90, np.pi)
+    frames = list(S._reachable_cells(pivots, *everywhere, np.pi)(iter([frame])))
+    assert max(map(len, frames)) <= 512
+    seen = [(g, c) for f in frames for g, cells in zip(f["gid"], f["cells"], strict=True) for c in cells]
+    assert len(seen) == len(set(seen)) == 1500 * 90
+    assert {c // S._TILE == t for f in frames for t, cells in zip(f["tile"], f["cells"], strict=True) for c in cells} == {True}
+
+
+def test_best_in_rows_keeps_ties_and_skips_undefined():
+    scores = np.array([[0.5, np.nan, 0.9, 0.5, 0.5, 0.1], [np.nan] * 6])
+    row, col, value = S._best_in_rows(scores, np.array(list("fedcba")), 3, 0.2)
+    assert list(zip(row, col, value, strict=True)) == [(0, 2, 0.9), (0, 4, 0.5), (0, 3, 0.5)]
+
+
 def test_copies_and_absent_anchor(spark):
     rng = np.random.default_rng(5)
     vectors = clustered(rng, 60, 5)
