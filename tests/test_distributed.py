@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.operators import distributed as D
+from threadloom import session
+from threadloom.sources.derived import Forum
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 501])
@@ -52,3 +54,21 @@ def test_first_n_is_cut_before_the_shuffle(spark, capsys):
     D.first_n(df, ["g"], [F.desc("id")], 2).explain()
     plan = capsys.readouterr().out
     assert plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+
+
+def test_shuffles_start_with_more_partitions_for_more_input(spark, tmp_path, monkeypatch):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(name, None)
+    monkeypatch.setattr(session, "_PARTITION_BYTES", 1000)
+    try:
+        (tmp_path / "small").mkdir()
+        (tmp_path / "large").mkdir()
+        (tmp_path / "small" / "t").write_bytes(b"x" * 10)
+        (tmp_path / "large" / "t").write_bytes(b"x" * 90_500)
+        least = session.partition_by_size(spark, str(tmp_path / "small"))
+        assert least >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+        Forum(spark, str(tmp_path / "large"))
+        assert int(spark.conf.get(name)) == max(least, 91)
+        assert session.partition_by_size(spark, str(tmp_path / "small")) == max(least, 91)  # never lowered
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
