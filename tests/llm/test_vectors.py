@@ -144,6 +144,19 @@ def test_small_tables_are_exact(spark):
     same(got, brute(ids.tolist(), vectors, [i for i in ids.tolist() if i % 20 == 0], 20))
 
 
+def test_window_is_measured_at_every_size(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(120, 6)))]
+    seen, measure = [], curves._window
+    monkeypatch.setattr(curves, "_window", lambda *a: seen.append(measure(*a)) or seen[-1])
+    found = []
+    for block in (4096, 100):  # above and below the number of records
+        rule = curves.Curves(block=block, query_block=8 * block)
+        found.append(neighbours(curves.nearest(table(spark, rows), F.col("vec_id") % 20 == 0, 5, rule)))
+    assert len(seen) == 2 and seen[0] == seen[1]
+    assert found[0].keys() == found[1].keys() == {0, 20, 40, 60, 80, 100}
+
+
 def test_hilbert_curve_visits_neighbouring_cells():
     for d, bits in ((2, 4), (3, 3), (4, 2)):
         cells = np.indices((1 << bits,) * d).reshape(d, -1).T

@@ -138,7 +138,7 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _fitted(groups: DataFrame, rule: Curves) -> tuple[_Places, int] | None:
+def _fitted(groups: DataFrame, rule: Curves) -> _Places | None:
     """Scales of all coordinates, from sums over all records; None if there are none."""
     head = groups.agg(
         F.count(F.lit(1)).alias("n"), F.max("length").alias("longest"),
@@ -165,7 +165,7 @@ def _fitted(groups: DataFrame, rule: Curves) -> tuple[_Places, int] | None:
     sums = parts.groupBy("j").agg(F.sum("s").alias("s"), F.sum("ss").alias("ss")).orderBy("j").collect()  # one row per coordinate
     mean = np.array([r.s for r in sums]) / head.n
     spread = np.sqrt(np.clip(np.array([r.ss for r in sums]) / head.n - mean**2, 0, None))
-    return _Places(rule, dimension, head.longest, mean, spread), head.n
+    return _Places(rule, dimension, head.longest, mean, spread)
 
 
 def _on_curves(groups: DataFrame, places: _Places) -> DataFrame:
@@ -314,8 +314,9 @@ def nearest(
 
     Queries are the rows for which ``is_query`` (over the key) holds; each is
     compared with all rows but its own, all on every curve. Ranks start at 1,
-    nearest first, ties to the smaller key. A table of at most ``rule.block``
-    records is one block, where the result is exact.
+    nearest first, ties to the smaller key. The window is measured in the same way at
+    every size. Where all places of a curve (records and queries) fill one block of
+    ``rule.block``, a query meets all records and the result is exact.
 
     Null, empty or zero vectors, vectors with null or non-finite entries, and
     rows with a null key take no part. Equal vectors are one point with its k + 1
@@ -342,12 +343,12 @@ def nearest(
         distinct.join(sizes, "gid").select("gid", _packed(F.col("v")).alias("vec"), F.sqrt(square).alias("length"), "n_asked", "first_id"),
         "groups",
     )
-    fitted = _fitted(groups, rule)
-    if fitted is None:
+    places = _fitted(groups, rule)
+    if places is None or groups.filter("n_asked > 0").isEmpty():
         return spark.createDataFrame([], schema)
     # Of k + 1 records at most one is the query's own.
-    placed = _written(_on_curves(groups, fitted[0]), "places")
-    window = fitted[1] if fitted[1] <= rule.block else _window(groups, placed, rule, k + 1, kind)
+    placed = _written(_on_curves(groups, places), "places")
+    window = _window(groups, placed, rule, k + 1, kind)
     best = _written(_best_of(_in_windows(groups, placed, window, rule, k + 1, kind), k + 1), "best")
 
     copies = first_n(members, ["gid"], [F.asc("id")], k + 1).drop("rank")
