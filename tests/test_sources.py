@@ -1,6 +1,7 @@
 import csv
 import glob
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from threadloom.schemas import ISSUE, REPLY
 from threadloom.sources import exports as X
 from threadloom.sources import forum_json as J
 from threadloom.sources import tables as B
+from threadloom.sources.derived import Forum
 from threadloom.sources.keyed import KeyedTable
 
 
@@ -200,3 +202,17 @@ def test_report_without_themes_or_clusters(spark, tmp_path, export_input):
     assert lines[0] == "# T" and "| Frustrated Issues | 1 |" in lines
     assert not any(x.startswith(("## Common", "## Duplicate")) for x in lines)
     assert [x for x in lines if x.startswith("- **")][0].startswith("- **n** — 4 msgs, by @owner (May 14, 2026)")
+
+
+def test_written_pages_are_compressed(spark, tmp_path):
+    """Texts of many threads lie on disk compressed, and every thread is on its page."""
+    forum = Forum(spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
+    raw = forum.full_issues.agg(F.sum(F.octet_length("first_message_content"))).first()[0]
+    for write, name in ((forum.write_pages, "pages"), (forum.write_post_data, "post"), (forum.write_messages, "messages")):
+        path = write(str(tmp_path / name))
+        files = [p for p in (tmp_path / name).iterdir() if p.name.startswith("part-")]
+        assert {p.suffix for p in files} == {".gz"}
+        if name != "messages":
+            assert sum(p.stat().st_size for p in files) < raw / 2, path
+    pages = J.read_pages(spark, str(tmp_path / "pages"))
+    assert pages.select(F.explode("threads.id")).distinct().count() == forum.issues.count()
