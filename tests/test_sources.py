@@ -216,3 +216,22 @@ def test_written_pages_are_compressed(spark, tmp_path):
             assert sum(p.stat().st_size for p in files) < raw / 2, path
     pages = J.read_pages(spark, str(tmp_path / "pages"))
     assert pages.select(F.explode("threads.id")).distinct().count() == forum.issues.count()
+
+
+def test_export_sorts_only_threads_beyond_a_task(spark, monkeypatch):
+    threads = issues(spark, *[{"id": i} for i in "123"])
+    rows = [{"id": f"r{n:02d}", "issue_id": i, "timestamp": at(n)} for i in "12" for n in range(7 if i == "1" else 3)]
+    rows += [rows[0], {**rows[1], "id": None}, {**rows[2], "issue_id": None}]  # a row that comes twice, one without id or thread
+    r = replies(spark, *rows).withColumn("has_attachment", F.lit(False)).withColumn("attachment_count", F.lit(0))
+
+    def lines(df):
+        return [(x["id"], x["part"], [y["id"] for y in x["replies"]]) for x in df.orderBy("id", "part").collect()]
+
+    # In a thread of several parts each copy of an id goes to the parts of all its copies.
+    want = [("1", 0, ["r00"] * 4 + ["r01"]), ("1", 1, ["r02", "r03", "r04", "r05"]), ("1", 2, ["r06"]),
+            ("2", 0, ["r00", "r01", "r02"]), ("3", 0, [])]
+    monkeypatch.setattr(X, "positions", lambda *a: pytest.fail("no thread is longer than a task holds"))
+    assert lines(X.export_json(threads, r, per_line=4)) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(X, "REPLIES_PER_LINE", 4)  # thread 1 goes by the sort
+    assert lines(X.export_json(threads, r, per_line=4)) == want

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.constants import CSV_HEADERS, DEFAULT_GUILD_ID
 from threadloom.functions.text import cut, one_line, tag_name, thread_url
 from threadloom.functions.time import duration_text, half_up, short_date
-from threadloom.operators.distributed import positions, ranked_top
+from threadloom.operators.distributed import checkpoint_with, positions, ranked_top
 
 
 def _iso(c: str) -> Column:
@@ -77,23 +77,33 @@ def export_json(issues: DataFrame, replies: DataFrame, per_line: int = REPLIES_P
     fields = ["id", "author_id", "author_username", "author_global_name", "content", "timestamp",
               "has_attachment", "attachment_count"]
     rows = replies.select("issue_id", *fields)
-    long_ones = (
-        replies.groupBy("issue_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > per_line).select("issue_id")
-    )
-    # Only the replies of long threads are numbered, and without their texts.
-    numbered = positions(
-        replies.select("issue_id", "id", "timestamp").join(long_ones, "issue_id", "left_semi"),
-        ["issue_id"],
-        [F.asc("timestamp"), F.asc("id")],
-        "_at",
-    ).select("issue_id", "id", F.floor(F.col("_at") / per_line).alias("part"))
-    short = rows.join(long_ones, "issue_id", "left_anti").withColumn("part", F.lit(0).cast("bigint"))
-    parted = short.unionByName(rows.join(numbered, ["issue_id", "id"]))
-    parts = (
-        parted.groupBy("issue_id", "part")
-        .agg(F.sort_array(F.collect_list(F.struct("timestamp", "id", F.struct(*fields).alias("r")))).alias("_rows"))
-        .select(F.col("issue_id").alias("id"), "part", F.col("_rows.r").alias("replies"))
-    )
+    order, held = [F.asc("timestamp"), F.asc("id")], max(per_line, REPLIES_PER_LINE)
+    # Threads that fit in a task are numbered where they are collected, so their rows move once;
+    # longer ones by a sort over all tasks.
+    counts = replies.groupBy("issue_id").agg(F.count(F.lit(1)).alias("n"))
+    busy, seen = checkpoint_with(counts.filter(F.col("n") > held).select("issue_id"), n=F.count(F.lit(1)))
+
+    def collected(parted: DataFrame) -> DataFrame:
+        return (
+            parted.groupBy("issue_id", "part")
+            .agg(F.sort_array(F.collect_list(F.struct("timestamp", "id", F.struct(*fields).alias("r")))).alias("_rows"))
+            .select(F.col("issue_id").alias("id"), "part", F.col("_rows.r").alias("replies"))
+        )
+
+    usual = rows.join(busy, "issue_id", "left_anti") if seen["n"] else rows
+    thread, part = Window.partitionBy("issue_id"), F.floor(F.col("_at") / per_line)
+    usual = usual.withColumn("_at", F.row_number().over(thread.orderBy(*order)) - 1)
+    usual = usual.withColumns({"_n": F.count(F.lit(1)).over(thread), "_part": part})
+    # In a thread of several parts a reply goes to the parts of its id: a repeated id has several, none has no part.
+    own = F.collect_list("_part").over(Window.partitionBy("issue_id", "id"))
+    zero = F.array(F.lit(0).cast("bigint"))
+    several = F.when(F.col("id").isNotNull(), own)
+    usual = usual.withColumn("_parts", F.when(F.col("_n") > per_line, several).otherwise(zero))
+    parts = collected(usual.withColumn("part", F.explode("_parts")))
+    if seen["n"]:
+        slim = replies.select("issue_id", "id", "timestamp").join(busy, "issue_id", "left_semi")
+        numbered = positions(slim, ["issue_id"], order, "_at").select("issue_id", "id", part.alias("part"))
+        parts = parts.unionByName(collected(rows.join(numbered, ["issue_id", "id"])))
     return issues.join(parts, "id", "left").withColumns(
         {
             "part": F.coalesce("part", F.lit(0)),
