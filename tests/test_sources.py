@@ -235,3 +235,12 @@ def test_export_sorts_only_threads_beyond_a_task(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(X, "REPLIES_PER_LINE", 4)  # thread 1 goes by the sort
     assert lines(X.export_json(threads, r, per_line=4)) == want
+
+
+def test_first_messages_with_some_fields(spark):
+    rows = [("f", 0, [message("1", "a", "x"), message("2", "a", "y"), message("3", "b", "z")]), ("f", 25, [message("0", "b", "w")])]
+    pages = spark.createDataFrame(rows, "file string, offset int, first_messages array<struct<id: string, channel_id: string, content: string>>")
+    whole = J.first_messages(pages).select("thread_id", "message.id")
+    some = J.first_messages(pages, ["id"])
+    assert some.schema["message"].dataType.names == ["id"]
+    assert {tuple(r) for r in some.select("thread_id", "message.id").collect()} == {tuple(r) for r in whole.collect()} == {("a", "2"), ("b", "0")}
