@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -131,3 +132,26 @@ def test_daily_clustering_by_words(spark):
     sizes = Counter(map(root, texts))
     assert {r.id: r.duplicate_cluster_id for r in assigned.collect()} == {i: root(i) if sizes[root(i)] > 1 else None for i in texts}
     assert {r.id: r.issue_count for r in clusters.collect()} == {i: n for i, n in sizes.items() if n > 1}
+
+
+def test_only_likely_pairs_move(spark):
+    # All share one rare word with all others, which no two texts need to be alike for.
+    texts = {f"{i:03d}": "seldom " + " ".join(f"x{i}_{j}" for j in range(12)) for i in range(60)}
+    texts |= {f"n{i:02d}": " ".join(f"y{i // 2}_{j}" for j in range(40)) + f" z{i}" for i in range(20)}
+    df = frame(spark, texts)
+    vectors = T.term_vectors(df, T.fit_terms(df)).checkpoint()
+    held = T._vectors(vectors).select(
+        F.monotonically_increasing_id().alias("row"), "id", F.lit(1).alias("copies"), F.array("id").alias("ids"), "keys", "weights"
+    ).checkpoint()
+    name = {r.row: r.id for r in held.select("row", "id").collect()}
+    pairs = {(name[r.a], name[r.b]) for r in T._candidate_pairs(held, S.THRESHOLD, 7).collect()}
+    assert pairs == {(a, b) for a, b, _ in brute(texts, 6, S.THRESHOLD)} and len(pairs) == 20
+
+
+def test_length_of_a_text_is_computed_once(spark):
+    df = frame(spark, {str(i): " ".join(f"w{i}_{j}" for j in range(6000)) for i in range(80)}).repartition(4).checkpoint()
+    vectors = T.term_vectors(df, T.fit_terms(df).checkpoint())
+    began = time.monotonic()
+    assert vectors.agg(F.round(F.sum(F.aggregate("terms", F.lit(0.0), lambda s, x: s + x.weight * x.weight)), 6)).first()[0] == 80
+    # 480,000 terms; the square of a text's terms would be 2.9 billion steps.
+    assert time.monotonic() - began < 25
