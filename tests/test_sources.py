@@ -2,6 +2,8 @@ import csv
 import glob
 import json
 import os
+import random
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,3 +246,35 @@ def test_first_messages_with_some_fields(spark):
     some = J.first_messages(pages, ["id"])
     assert some.schema["message"].dataType.names == ["id"]
     assert {tuple(r) for r in some.select("thread_id", "message.id").collect()} == {tuple(r) for r in whole.collect()} == {("a", "2"), ("b", "0")}
+
+
+def star(spark, folder, threads, texts):
+    """Small star-schema tables: ``threads`` orders with a reply each, and the documents that they take turns at."""
+    day = "timestamp '1996-01-01'"
+    tables = {
+        "region": "select 0L r_regionkey, 'ASIA' r_name",
+        "nation": "select 0L n_nationkey, 0L n_regionkey",
+        "customer": "select 1L c_custkey, 0L c_nationkey, 'seg' c_mktsegment",
+        "part": "select 1L p_partkey, 'a ring' p_name",
+        "orders": f"select id o_orderkey, 1L o_custkey, 'O' o_orderstatus, {day} o_orderdate, '1-URGENT' o_orderpriority from range({threads})",
+        "lineitem": f"select id l_orderkey, 1L l_partkey, 1L l_suppkey, 1 l_linenumber, {day} l_shipdate from range({threads})",
+        "labels": "select 0L doc_id, 1 quality, 0 toxic",
+    }
+    frames = {name: spark.sql(sql) for name, sql in tables.items()}
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    frames["documents"] = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for name, df in frames.items():
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return Forum(spark, str(folder))
+
+
+def test_post_data_stores_the_text_of_many_threads_about_once(spark, tmp_path):
+    texts = ["".join(random.Random(i).choices(string.ascii_letters, k=8000)) for i in range(7)] + [None]
+    forum = star(spark, tmp_path / "star", 400, texts)
+    path = forum.write_post_data(str(tmp_path / "post"))
+    stored = sum(p.stat().st_size for p in (tmp_path / "post").glob("part-*"))
+    assert stored < 400 / 4 * 8000  # 50 threads share a text, a map holds ten of them
+    got = {r["thread_id"]: r["message"]["content"] for r in J.read_post_data_map(spark, path).collect()}
+    assert got == {str(i): texts[i % 8] or "" for i in range(400) if i % 11}
+    sizes = spark.read.json(path).count(), spark.read.schema(J.POST_DATA).json(path).agg(F.max(F.size("threads"))).first()[0]
+    assert sizes == (8 * 5, 10)
