@@ -170,6 +170,17 @@ def test_merge_after_a_lost_driver(spark, tmp_path, monkeypatch):
     assert table.read().count() == 20
 
 
+@pytest.fixture
+def export_input(spark):
+    i = issues(
+        spark,
+        {"id": "1", "name": 'say "hi", all', "first_message_content": "a\nb" + "x" * 600, "applied_tags": ["1006941128441999421", "7777"]},
+        {"id": "2", "replies_loaded": False, "created_at": None},
+        {"id": "3", "message_count": 4, "sentiment": "frustrated"},
+    )
+    return i.withColumns({f.name: F.lit(None).cast(f.dataType) for f in ISSUE.fields if f.name not in i.columns})
+
+
 
 def test_csv(spark, tmp_path, export_input):
     X.write_csv(X.export_csv(export_input).coalesce(1), str(tmp_path / "csv"))
