@@ -15,6 +15,7 @@ from threadloom.schemas import ISSUE, REPLY
 from threadloom.sources import exports as X
 from threadloom.sources import forum_json as J
 from threadloom.sources import tables as B
+from threadloom.sources import texts as L
 from threadloom.sources.derived import Forum
 from threadloom.sources.keyed import KeyedTable
 
@@ -289,3 +290,32 @@ def test_post_data_stores_the_text_of_many_threads_about_once(spark, tmp_path):
     assert got == {str(i): texts[i % 8] or "" for i in range(400) if i % 11}
     sizes = spark.read.json(path).count(), spark.read.schema(J.POST_DATA).json(path).agg(F.max(F.size("threads"))).first()[0]
     assert sizes == (8 * 5, 10)
+
+
+def test_pages_store_the_text_of_many_threads_about_once(spark, tmp_path):
+    texts = ["".join(random.Random(i).choices(string.ascii_letters, k=8000)) for i in range(7)] + [None]
+    forum = star(spark, tmp_path / "star", 400, texts)
+    path = forum.write_pages(str(tmp_path / "pages"))
+    stored = sum(p.stat().st_size for p in (tmp_path / "pages").glob("part-*"))
+    assert stored < 400 / 4 * 8000  # 50 threads share a text
+    rows = J.read_search_dump(spark, path).collect()
+    got = {r["id"]: (r["first_message_id"], r["first_message_content"]) for r in rows}
+    assert len(rows) == 400 and got == {str(i): (f"m{i}", texts[i % 8] or "") if i % 5 else (None, "") for i in range(400)}
+    assert [(r["offset"], len(r["threads"])) for r in J.read_pages(spark, path).orderBy("offset").collect()] == [(25 * i, 25) for i in range(16)]
+
+
+def test_long_texts_move_once(spark, tmp_path):
+    """Of a text that many messages share one copy moves; short ones and those that look like a reference are kept."""
+    odd = ["sha256:" + "0" * 64, "x" * 64, "x" * 65, "", None, "é" * 33]
+    texts = odd + ["".join(random.Random(i).choices(string.ascii_letters, k=20000)) for i in range(3)]
+    threads = [{"id": str(i), "name": "n"} for i in range(300)]
+    first = [{"id": f"m{i}", "channel_id": str(i), "content": texts[i % 9]} for i in range(299)]
+    first.append({"id": "again", "channel_id": "7", "content": "later"})
+    (tmp_path / "dump.json").write_text(json.dumps({"threads": threads, "first_messages": first}))
+    found = J.read_search_dump(spark, str(tmp_path / "dump.json"))
+    got = {r["id"]: (r["first_message_id"], r["first_message_content"]) for r in found.collect()}
+    want = {str(i): (f"m{i}", texts[i % 9] or "") for i in range(299)} | {"299": (None, ""), "7": ("again", "later")}
+    assert got == want
+    spread = L.distinct_texts(spark.createDataFrame([(t,) for t in texts * 20], "text string"))
+    assert {r["text"] for r in spread.collect()} == {t for t in texts if t and len(t.encode()) > 64} and spread.count() == 6
+    assert all(r["ref"].startswith("sha256:") and len(r["ref"]) == 71 for r in spread.collect())
