@@ -7,17 +7,21 @@ import string
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from rows import at, issues, replies
 
 from threadloom.operators import maintenance as M
 from threadloom.operators import normalize as Z
+from threadloom.plans.queries import registry
 from threadloom.schemas import ISSUE, REPLY
+from threadloom.session import shared_dir
 from threadloom.sources import exports as X
 from threadloom.sources import forum_json as J
 from threadloom.sources import tables as B
 from threadloom.sources import texts as L
 from threadloom.sources.derived import Forum
 from threadloom.sources.keyed import KeyedTable
+from threadloom.streaming import jobs
 
 
 def message(i, thread, text, **more):
@@ -292,8 +296,12 @@ def test_post_data_stores_the_text_of_many_threads_about_once(spark, tmp_path):
     assert sizes == (8 * 5, 10)
 
 
+def long_texts():
+    return ["".join(random.Random(i).choices(string.ascii_letters, k=8000)) for i in range(7)] + [None]
+
+
 def test_pages_store_the_text_of_many_threads_about_once(spark, tmp_path):
-    texts = ["".join(random.Random(i).choices(string.ascii_letters, k=8000)) for i in range(7)] + [None]
+    texts = long_texts()
     forum = star(spark, tmp_path / "star", 400, texts)
     path = forum.write_pages(str(tmp_path / "pages"))
     stored = sum(p.stat().st_size for p in (tmp_path / "pages").glob("part-*"))
@@ -319,3 +327,58 @@ def test_long_texts_move_once(spark, tmp_path):
     spread = L.distinct_texts(spark.createDataFrame([(t,) for t in texts * 20], "text string"))
     assert {r["text"] for r in spread.collect()} == {t for t in texts if t and len(t.encode()) > 64} and spread.count() == 6
     assert all(r["ref"].startswith("sha256:") and len(r["ref"]) == 71 for r in spread.collect())
+
+
+def test_table_with_texts_by_reference(spark, tmp_path):
+    schema = T.StructType.fromDDL("id string, v string, text string")
+    table = KeyedTable(spark, str(tmp_path / "t"), schema, buckets=2, texts=["text"])
+    long = ["".join(random.Random(i).choices(string.ascii_letters, k=5000)) for i in range(3)]
+
+    def rows(*found):
+        return spark.createDataFrame(found, schema)
+
+    def state(df):
+        return {tuple(r) for r in df.collect()}
+
+    assert state(table.read()) == set()
+    first = [(str(i), "a", long[0]) for i in range(50)] + [("x", "a", "short"), ("n", "a", None)]
+    table.write(rows(*first))
+    assert state(table.read()) == set(first) and state(table.of(rows(("7", None, None)))) == {first[7]}
+    table.merge(rows(("7", "b", long[1]), ("x", "b", long[0]), (None, "b", "sha256:" + "0" * 64)))
+    light = table.read(light=True)
+    assert {len(r["text"] or "") for r in light.collect()} == {0, 71}
+    new = spark.createDataFrame([(t,) for t in long], "text string")
+    refs = L.distinct_texts(new).filter(F.col("text") == long[2]).select(F.lit("8").alias("id"), F.lit("c").alias("v"), F.col("ref").alias("text"))
+    table.merge(refs, texts=new)
+    want = {r for r in first if r[0] not in ("7", "8", "x")}
+    want |= {("7", "b", long[1]), ("x", "b", long[0]), (None, "b", "sha256:" + "0" * 64), ("8", "c", long[2])}
+    assert state(table.read()) == want
+    kept = spark.read.parquet(str(tmp_path / "t" / "texts"))
+    assert sorted(r["text"] for r in kept.collect()) == sorted([*long, "sha256:" + "0" * 64])
+
+
+@pytest.mark.parametrize("job", ["incremental_sync", "hourly_recent_sync"])
+def test_sync_by_reference_stores_the_same(spark, tmp_path, job):
+    forum = star(spark, tmp_path / "star", 120, long_texts())
+    pages, messages = forum.write_pages(str(tmp_path / "pages")), forum.write_messages(str(tmp_path / "messages"))
+    states = []
+    for name, texts in (("plain", ()), ("shared", ["first_message_content"])):
+        issues_table = KeyedTable(spark, str(tmp_path / name / "issues"), ISSUE, texts=texts)
+        replies_table = KeyedTable(spark, str(tmp_path / name / "replies"), REPLY, ["issue_id"])
+        issues_table.write(forum.stored.filter("cast(id as bigint) % 7 != 0").withColumn("message_count", F.expr("message_count + int(cast(id as bigint) % 3 = 0)")))
+        run = getattr(jobs, job)
+        run(jobs.page_stream(spark, pages), J.read_messages(spark, messages), issues_table, replies_table, str(tmp_path / name / "cp"), now=at())
+        states.append([sorted(map(str, t.read().collect())) for t in (issues_table, replies_table)])
+    assert states[0] == states[1] and len(states[0][0]) == 120
+
+
+@pytest.mark.parametrize("name", ["incremental_sync", "hourly_recent_sync"])
+def test_sync_keeps_shared_texts_about_once_on_disk(spark, tmp_path, name):
+    star(spark, tmp_path / "star", 400, long_texts())
+
+    def kept():
+        return sum(os.path.getsize(os.path.join(d, x)) for d, _, names in os.walk(shared_dir(spark)) for x in names)
+
+    before = kept()
+    assert registry()[name](spark, str(tmp_path / "star")).count() == 400
+    assert kept() - before < 400 * 8000  # of all threads; each state of the rows held that once

@@ -38,6 +38,7 @@ from threadloom.operators.response import issue_response
 from threadloom.schemas import ANALYTICS_COLUMNS, NOTE, SEARCH_PAGE
 from threadloom.sources.forum_json import first_messages, threads_first_message
 from threadloom.sources.keyed import KeyedTable
+from threadloom.sources.texts import message_texts, reference, referenced_messages
 
 
 def run_available(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -86,6 +87,20 @@ def _fetched_issues(
     return stored_issue(rows, channel_id, now=now)
 
 
+def _by_reference(
+    issues: KeyedTable, pages: DataFrame, post_data: DataFrame | None = None
+) -> tuple[bool, DataFrame, DataFrame | None, DataFrame | None]:
+    """Whether the table stores first messages by reference; if so pages and post data with references, and their texts."""
+    if issues.texts != ["first_message_content"]:
+        return False, pages, post_data, None
+    light, texts = referenced_messages(pages), message_texts(pages)
+    if post_data is not None:
+        content = F.col("message.content")
+        texts = texts.unionAll(post_data.select(content.alias("text")))
+        post_data = post_data.withColumn("message", F.col("message").withField("content", reference(content)))
+    return True, light, post_data, texts
+
+
 _FIRST = ["first_message_id", "first_message_content", "first_message_author_id", "first_message_author_name", "first_message_created_at"]
 
 
@@ -133,8 +148,9 @@ def incremental_sync(
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        fetched = _fetched_issues(df, channel_id, now, post_data).checkpoint()
-        stored = issues.of(fetched)
+        light, threads, post, texts = _by_reference(issues, df, post_data)
+        fetched = _fetched_issues(threads, channel_id, now, post).checkpoint()
+        stored = issues.of(fetched, light)
         fetched = _keep_first_messages(fetched, stored)
         changed = changed_threads(fetched, stored).filter("change != 'same'").drop("change").checkpoint()
         merged = upsert_issues(of_keys(stored, changed), changed, now=now)
@@ -148,7 +164,7 @@ def incremental_sync(
         response = issue_response(refresh, fresh, keywords)
         # All replies of a refreshed thread are replaced, also by none.
         replies.merge(fresh, refresh.select(F.col("id").alias("issue_id")))
-        issues.merge(upsert(merged, response, "id", ANALYTICS_COLUMNS))
+        issues.merge(upsert(merged, response, "id", ANALYTICS_COLUMNS), texts=texts)
 
     run_available(pages, batch, checkpoint)
 
@@ -171,8 +187,9 @@ def hourly_recent_sync(
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        stored, kept = issues.read(), replies.read()
-        fetched = _fetched_issues(df.filter("not coalesce(archived, false)"), channel_id, now)
+        light, threads, _, texts = _by_reference(issues, df.filter("not coalesce(archived, false)"))
+        stored, kept = issues.read(light), replies.read()
+        fetched = _fetched_issues(threads, channel_id, now)
         newest = _keep_first_messages(fetched, stored).drop("fetched_at").checkpoint()
         touched = upsert(
             of_keys(stored, newest),
@@ -183,7 +200,7 @@ def hourly_recent_sync(
         )
         touched = touched.withColumn("fetched_at", F.coalesce("fetched_at", "updated_at")).checkpoint()
         current = stored.join(touched.select("id"), "id", "left_anti").unionByName(touched)
-        todo = missing_replies(current, kept, queue, take).checkpoint()
+        todo = missing_replies(current, kept, queue, take).select("id", "first_message_id").checkpoint()
         fresh = reply_rows(_messages_of(messages, todo), now)
         ids = todo.select(F.col("id").alias("issue_id"))
         # All that is read from the tables is read before the first of them is written.
@@ -192,7 +209,7 @@ def hourly_recent_sync(
         again = F.when(F.col("_handled"), now_literal(now)).otherwise(F.col("fetched_at"))
         moved = moved.join(handled, "id", "left").withColumn("fetched_at", again).checkpoint()
         replies.merge(upsert_replies(replies.of(ids), fresh), ids)
-        issues.merge(moved)
+        issues.merge(moved, texts=texts)
 
     run_available(pages, batch, checkpoint)
 
