@@ -36,7 +36,7 @@ from threadloom.operators.normalize import normalize_issue, reply_rows, stored_i
 from threadloom.operators.notes import note_merge_lww
 from threadloom.operators.response import issue_response
 from threadloom.schemas import ANALYTICS_COLUMNS, NOTE, SEARCH_PAGE
-from threadloom.sources.forum_json import first_messages, threads_first_message
+from threadloom.sources.forum_json import first_messages
 from threadloom.sources.keyed import KeyedTable
 from threadloom.sources.texts import message_texts, reference, referenced_messages
 
@@ -62,14 +62,14 @@ def page_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 
 def _last_copies(pages: DataFrame) -> DataFrame:
-    """(archived, offset, thread), the copy of each thread that was fetched last.
+    """(thread_id, archived, offset, thread), the copy of each thread that was fetched last.
 
     Copies are ordered by the time of their file, then by file, offset and position.
     """
     copies = pages.select("archived", "offset", "file", "file_time", F.posexplode("threads").alias("pos", "thread"))
     place = F.struct("file_time", "file", F.coalesce("offset", F.lit(0)), "pos")
-    last = copies.groupBy(F.col("thread.id").alias("id")).agg(F.max_by(F.struct("archived", "offset", "thread"), place).alias("c"))
-    return last.select("c.*")
+    last = copies.groupBy(F.col("thread.id").alias("thread_id")).agg(F.max_by(F.struct("archived", "offset", "thread"), place).alias("c"))
+    return last.select("thread_id", "c.*")
 
 
 def _fetched_issues(
@@ -81,9 +81,9 @@ def _fetched_issues(
     """
     threads, firsts = _last_copies(pages), first_messages(pages)
     if post_data is not None:
-        ids = threads.select(F.col("thread.id").alias("id")).distinct()
+        ids = threads.select(F.col("thread_id").alias("id"))
         firsts = backfill_first_messages(ids, firsts, post_data).filter("message is not null").drop("origin")
-    rows = normalize_issue(threads_first_message(threads, firsts))
+    rows = normalize_issue(threads.join(firsts, "thread_id", "left"))
     return stored_issue(rows, channel_id, now=now)
 
 
@@ -116,14 +116,9 @@ def _keep_first_messages(fetched: DataFrame, stored: DataFrame) -> DataFrame:
 def _messages_of(messages: DataFrame, issues: DataFrame) -> DataFrame:
     """All messages of the given issues without their first one, as (issue_id, message)."""
     wanted = issues.select(F.col("id").alias("thread_id"), "first_message_id")
-    flat = messages.select(
-        F.col("issue_id").alias("thread_id"),
-        F.col("message.id").alias("id"),
-        F.col("message.timestamp").alias("timestamp"),
-        "message",
-    ).join(wanted.select("thread_id"), "thread_id", "left_semi")
+    flat = messages.select(F.col("issue_id").alias("thread_id"), "message").join(wanted.select("thread_id"), "thread_id", "left_semi")
     # All messages of a thread, whose order is in their timestamps.
-    rest = flat.join(wanted, "thread_id", "left").filter(~F.col("id").eqNullSafe(F.col("first_message_id")))
+    rest = flat.join(wanted, "thread_id", "left").filter(~F.col("message.id").eqNullSafe(F.col("first_message_id")))
     return rest.select(F.col("thread_id").alias("issue_id"), "message")
 
 
@@ -153,7 +148,7 @@ def incremental_sync(
         stored = issues.of(fetched, light)
         fetched = _keep_first_messages(fetched, stored)
         changed = changed_threads(fetched, stored).filter("change != 'same'").drop("change").checkpoint()
-        merged = upsert_issues(of_keys(stored, changed), changed, now=now)
+        merged = upsert_issues(issues.of(changed, light), changed, now=now)
         refresh = changed.filter("message_count > 1")
         refresh = refresh.select("id", "owner_id", "first_message_id", "first_message_created_at", "created_at")
         refresh = refresh.checkpoint()
