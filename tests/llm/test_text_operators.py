@@ -450,3 +450,14 @@ def test_components_across_many_blocks_and_tasks(spark, monkeypatch):
         parent[high] = low
     assert got == {i: root(i) for i in range(len(texts))}
     assert len(set(got.values())) > 45
+
+
+def test_tables_that_grow_with_the_documents_are_not_broadcast(spark, tmp_path):
+    """Exploded keys of a few classes look small; a bucket join of many must not bring them to the driver."""
+    rule = neardup.Similarity(shingle_words=4)
+    texts = {i: cases.prose(i % 30, 60) + (" more" if i > 30 else "") for i in range(40)}
+    found = neardup.signatures(cases.documents(spark, texts), rule).select("id", "parts")
+    found.write.parquet(str(tmp_path / "classes"))
+    pairs = neardup._centre_pairs(spark.read.parquet(str(tmp_path / "classes")), rule)
+    assert {(r.a, r.b) for r in pairs.collect()} >= {(1, 31), (5, 35), (0, 30)}
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()

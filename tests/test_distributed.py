@@ -72,3 +72,12 @@ def test_shuffles_start_with_more_partitions_for_more_input(spark, tmp_path, mon
         assert session.partition_by_size(spark, str(tmp_path / "small")) == max(least, 91)  # never lowered
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def test_light_keys_are_looked_up_by_shuffle(spark):
+    facts = spark.range(3000).select((F.col("id") % 1500).alias("k"), "id")
+    dim = spark.range(1500).select(F.col("id").alias("k"), (2 + F.col("id") % 2).alias("n"), (F.col("id") * 10).alias("v"))
+    found = D.lookup_by_key(facts, dim, "k", "n", 3000)
+    assert found.filter("v = k * 10").count() == 3000
+    # Only the heavy keys are broadcast, once for each side.
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("BroadcastHashJoin") == 2

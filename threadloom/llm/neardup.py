@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from threadloom.llm.common import fresh
 from threadloom.llm.hashing import WordHashes, as_longs, fold, minhashes, seeds, shingle_set, split_words
 from threadloom.llm.packing import slices, spans
-from threadloom.operators.distributed import lookup_by_key
+from threadloom.operators.distributed import by_shuffle, lookup_by_key
 from threadloom.operators.graph import connected_components
 from threadloom.session import staging_path
 
@@ -117,9 +117,9 @@ def _similar(pairs: DataFrame, texts: DataFrame, rule: Similarity) -> DataFrame:
     counts = counts.withColumn("parts", F.ceil(F.col("n") / _MEMBERS))
     spread = lookup_by_key(pairs, counts, "a", "n", pairs.count())
     placed = spread.select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-    members = placed.join(texts.withColumnRenamed("id", "b"), "b").select("a", "part", F.lit(True).alias("member"), "b", "text")
+    members = placed.join(by_shuffle(texts.withColumnRenamed("id", "b")), "b").select("a", "part", F.lit(True).alias("member"), "b", "text")
     tasks = counts.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
-    centres = tasks.join(texts.withColumnRenamed("id", "a"), "a").select(
+    centres = tasks.join(by_shuffle(texts.withColumnRenamed("id", "a")), "a").select(
         "a", "part", F.lit(False).alias("member"), F.col("a").alias("b"), "text"
     )
     rows = members.unionByName(centres).repartition("a", "part").sortWithinPartitions("a", "part", "member")
@@ -187,7 +187,7 @@ def _links_across(pairs: DataFrame, parts: DataFrame, texts: DataFrame, rule: Si
     are compared with everything: every pair of texts of different components
     meets in a task, and the work follows what lies outside the largest one.
     """
-    labels = parts.withColumnRenamed("component", "label")
+    labels = by_shuffle(parts.withColumnRenamed("component", "label"))
     # Members first: those of one component leave one row for each centre.
     ends = pairs.join(labels.withColumnRenamed("id", "b"), "b", "left").select("a", F.coalesce("label", "b").alias("b")).distinct()
     starts = ends.join(labels.withColumnRenamed("id", "a"), "a", "left").select(F.coalesce("label", "a").alias("a"), "b")
@@ -195,7 +195,7 @@ def _links_across(pairs: DataFrame, parts: DataFrame, texts: DataFrame, rule: Si
     clusters = _components(crossing).select(F.col("id").alias("component"), F.col("component").alias("cluster"))
     sized = texts.select("id", F.length("text").alias("chars")).join(labels, "id", "left")
     sized = sized.select("id", "chars", F.coalesce("label", "id").alias("component"))
-    sizes = sized.groupBy("component").agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("n")).join(clusters, "component")
+    sizes = sized.groupBy("component").agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("n")).join(by_shuffle(clusters), "component")
     sizes = _written(sizes, "sizes")
 
     def blocks(chars: str) -> Column:
@@ -205,7 +205,7 @@ def _links_across(pairs: DataFrame, parts: DataFrame, texts: DataFrame, rule: Si
         F.max(F.struct("chars", "component")).alias("main"), F.sum("chars").alias("chars")
     ).select("cluster", "main.component", F.col("main.chars").alias("inside"), (F.col("chars") - F.col("main.chars")).alias("outside"))
     plan = plan.select("cluster", F.col("component").alias("main"), blocks("inside").alias("mains"), blocks("outside").alias("others"))
-    dealing = sizes.select("component", "n", "cluster").join(plan, "cluster")
+    dealing = sizes.select("component", "n", "cluster").join(by_shuffle(plan), "cluster")
     member = lookup_by_key(sized.drop("chars"), dealing, "component", "n", texts.count())
     draw, is_main = F.xxhash64("id"), F.col("component") == F.col("main")
     block = F.when(is_main, F.col("others") + F.pmod(draw, F.col("mains"))).otherwise(F.pmod(draw, F.col("others")))
@@ -214,7 +214,7 @@ def _links_across(pairs: DataFrame, parts: DataFrame, texts: DataFrame, rule: Si
         F.sequence(F.lit(0).cast("bigint"), last),
         lambda j: F.struct(F.least(F.col("block"), j).alias("low"), F.greatest(F.col("block"), j).alias("high")),
     )
-    dealt = member.withColumn("block", block).join(texts, "id").select("cluster", "component", "text", F.explode(tasks).alias("t"))
+    dealt = member.withColumn("block", block).join(by_shuffle(texts), "id").select("cluster", "component", "text", F.explode(tasks).alias("t"))
     dealt = dealt.select("cluster", "t.low", "t.high", "component", "text")
     keys = ["cluster", "low", "high"]
     kind = pairs.schema["a"].dataType
@@ -222,27 +222,33 @@ def _links_across(pairs: DataFrame, parts: DataFrame, texts: DataFrame, rule: Si
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across(rule, kind), schema)
 
 
+def _centre_pairs(classes: DataFrame, rule: Similarity) -> DataFrame:
+    """(a, b): each class b with the smallest class a of every bucket that it shares."""
+    keyed = classes.select("id", F.explode(table_keys(F.col("parts"), rule.collections)).alias("bucket"))
+    shared = keyed.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("last"))
+    shared = shared.filter("center != last").drop("last")
+    # Spark takes the exploded keys for one row of each class.
+    left = keyed.join(by_shuffle(shared), "bucket").filter("id != center")
+    return left.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+
+
 def similar_classes(classes: DataFrame, docs: DataFrame, rule: Similarity, key: str, text: str) -> DataFrame:
     """(id, component) of every class that is linked with another.
 
     Each class is compared with one centre, the smallest of those of its buckets.
     What the links leave apart is compared in blocks, see ``_links_across``.
     """
-    keyed = classes.select("id", F.explode(table_keys(F.col("parts"), rule.collections)).alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("last"))
-    shared = shared.filter("center != last").drop("last")
-    left = keyed.join(shared, "bucket").filter("id != center")
-    pairs = _written(left.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    pairs = _written(_centre_pairs(classes, rule), "pairs")
     involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     slim = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     # Texts move by their id at every size of the input.
-    texts = _written(slim.join(involved.hint("merge"), "id", "left_semi").distinct(), "texts")
+    texts = _written(slim.join(by_shuffle(involved), "id", "left_semi").distinct(), "texts")
     links = _written(_similar(pairs.groupBy("b").agg(F.min("a").alias("a")), texts, rule), "links")
     parts = _components(links)
     roots = _components(_written(_links_across(pairs, parts, texts, rule), "across"))
     nodes = parts.unionByName(roots.select("id", F.col("id").alias("component"))).distinct()
     roots = roots.select(F.col("id").alias("component"), F.col("component").alias("root"))
-    return nodes.join(roots, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    return nodes.join(by_shuffle(roots), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
 
 
 def _forest(kind: T.DataType):
@@ -318,6 +324,6 @@ def one_of_each(docs: DataFrame, rule: Similarity = Similarity(), key: str = "do
     """
     one = fresh(docs, "_kept")
     kept = near_duplicates(docs, rule, key, text).filter(F.col("kept")).select(F.col(key).alias(one))
-    chosen = docs.join(kept.distinct(), F.col(f"`{key}`") == F.col(one), "left_semi")
+    chosen = docs.join(by_shuffle(kept.distinct()), F.col(f"`{key}`") == F.col(one), "left_semi")
     nulls = docs.filter(F.col(f"`{key}`").isNull())
     return chosen.dropDuplicates([key]).unionByName(nulls)
