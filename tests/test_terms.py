@@ -155,3 +155,28 @@ def test_length_of_a_text_is_computed_once(spark):
     assert vectors.agg(F.round(F.sum(F.aggregate("terms", F.lit(0.0), lambda s, x: s + x.weight * x.weight)), 6)).first()[0] == 80
     # 480,000 terms; the square of a text's terms would be 2.9 billion steps.
     assert time.monotonic() - began < 25
+
+
+def test_no_table_of_pairs_and_one_move_of_vectors(spark, monkeypatch):
+    """Texts that all share rare words: pairs outnumber texts, but only vectors are stored, once, and no candidate moves."""
+    stored = []
+    real = T._blocks
+    monkeypatch.setattr(T, "_blocks", lambda held, parts, threshold: stored.append(real(held, parts, threshold)) or stored[-1])
+    monkeypatch.setattr(T, "_TERMS", 500)
+    texts = {f"{i:03d}": " ".join(f"x{i % 7}_{j}" for j in range(9)) + f" y{i} z{i}" for i in range(140)}
+    df = frame(spark, texts)
+    vectors = T.term_vectors(df, T.fit_terms(df)).checkpoint()
+    got = T.sparse_knn_join(vectors, vectors, 3, 0.5)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "CartesianProduct" in plan and stored[0].count() == 4
+    assert {(r.anchor_id, r.neighbour_id, round(r.score, 6)) for r in got.collect()} == brute(texts, 3, 0.5)
+    some = df.select("id").filter("id like '%7'")
+    assert {(r.anchor_id, r.neighbour_id, round(r.score, 6)) for r in T.sparse_knn_join(some, vectors, 3, 0.5).collect()} == brute(
+        texts, 3, 0.5, [i for i in texts if i.endswith("7")]
+    )
+
+
+def test_texts_that_share_an_id_are_added_up(spark):
+    df = frame(spark, {"a": "one two", "b": "two three"})
+    vectors = T.term_vectors(df.unionAll(df.filter("id = 'a'")), T.fit_terms(df))
+    assert {(r.id, len(r.terms)) for r in vectors.collect()} == {("a", 1), ("b", 1)}
