@@ -4,6 +4,7 @@ import json
 import os
 import random
 import string
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from threadloom.operators import maintenance as M
 from threadloom.operators import normalize as Z
 from threadloom.plans.queries import registry
 from threadloom.schemas import ISSUE, REPLY
-from threadloom.session import shared_dir
+from threadloom.session import release, shared_dir
 from threadloom.sources import exports as X
 from threadloom.sources import forum_json as J
 from threadloom.sources import tables as B
@@ -382,3 +383,36 @@ def test_sync_keeps_shared_texts_about_once_on_disk(spark, tmp_path, name):
     before = kept()
     assert registry()[name](spark, str(tmp_path / "star")).count() == 400
     assert kept() - before < 400 * 8000  # of all threads; each state of the rows held that once
+
+
+def test_shared_texts_move_once_and_by_reference(spark):
+    long, other = "a long text " * 20, "another one " * 20
+    page = [{"content": long}] * 30 + [{"content": other}, {"content": "short"}, {"content": None}]
+    pages = spark.createDataFrame([(page,), ([{"content": long}],), (None,)], "first_messages array<struct<content:string>>")
+    assert pages.select(F.explode(F.array_distinct("first_messages"))).count() == 5
+    texts = L.message_texts(pages)
+    assert texts.count() == 5  # not 34
+    found = L.distinct_texts(texts)
+    assert {r.text: len(r.ref) for r in found.collect()} == {long: 71, other: 71}
+    rows = spark.createDataFrame([(str(i), "x" * 71) for i in range(9)], "id string, c string")
+    plan = L.with_texts(rows, found.hint("merge"), "c")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # one for each side
+
+
+def test_files_of_a_finished_step_are_deleted(spark, tmp_path):
+    df = spark.range(50_000).select((F.col("id") % 977).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    kept = df.repartition(8, "k").sortWithinPartitions("v")
+    kept.write.parquet(str(tmp_path / "rows"))
+    home = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return home.getAllBlocks().size()
+
+    before = shuffled()
+    del kept
+    release(spark)
+    for _ in range(50):  # the cleaner works beside the driver
+        if shuffled() < before:
+            break
+        time.sleep(0.2)
+    assert shuffled() < before

@@ -36,6 +36,7 @@ from threadloom.operators.normalize import normalize_issue, reply_rows, stored_i
 from threadloom.operators.notes import note_merge_lww
 from threadloom.operators.response import issue_response
 from threadloom.schemas import ANALYTICS_COLUMNS, NOTE, SEARCH_PAGE
+from threadloom.session import release
 from threadloom.sources.forum_json import first_messages
 from threadloom.sources.keyed import KeyedTable
 from threadloom.sources.texts import message_texts, reference, referenced_messages
@@ -145,9 +146,12 @@ def incremental_sync(
     def batch(df: DataFrame, batch_id: int) -> None:
         light, threads, post, texts = _by_reference(issues, df, post_data)
         fetched = _fetched_issues(threads, channel_id, now, post).checkpoint()
+        release(df.sparkSession)
         stored = issues.of(fetched, light)
         fetched = _keep_first_messages(fetched, stored)
         changed = changed_threads(fetched, stored).filter("change != 'same'").drop("change").checkpoint()
+        del fetched, stored  # with their files
+        release(df.sparkSession)
         merged = upsert_issues(issues.of(changed, light), changed, now=now)
         refresh = changed.filter("message_count > 1")
         refresh = refresh.select("id", "owner_id", "first_message_id", "first_message_created_at", "created_at")
@@ -156,6 +160,7 @@ def incremental_sync(
         for name in set(replies.schema.names) - set(fresh.columns):
             fresh = fresh.withColumn(name, F.lit(None).cast(replies.schema[name].dataType))
         fresh = fresh.checkpoint()
+        release(df.sparkSession)
         response = issue_response(refresh, fresh, keywords)
         # All replies of a refreshed thread are replaced, also by none.
         replies.merge(fresh, refresh.select(F.col("id").alias("issue_id")))
@@ -186,6 +191,7 @@ def hourly_recent_sync(
         stored, kept = issues.read(light), replies.read()
         fetched = _fetched_issues(threads, channel_id, now)
         newest = _keep_first_messages(fetched, stored).drop("fetched_at").checkpoint()
+        release(df.sparkSession)
         touched = upsert(
             of_keys(stored, newest),
             newest,
@@ -194,8 +200,11 @@ def hourly_recent_sync(
             stamps={"updated_at": now_literal(now)},
         )
         touched = touched.withColumn("fetched_at", F.coalesce("fetched_at", "updated_at")).checkpoint()
+        del fetched, newest  # with their files
+        release(df.sparkSession)
         current = stored.join(touched.select("id"), "id", "left_anti").unionByName(touched)
         todo = missing_replies(current, kept, queue, take).select("id", "first_message_id").checkpoint()
+        release(df.sparkSession)
         fresh = reply_rows(_messages_of(messages, todo), now)
         ids = todo.select(F.col("id").alias("issue_id"))
         # All that is read from the tables is read before the first of them is written.
@@ -203,6 +212,8 @@ def hourly_recent_sync(
         moved = of_keys(current, touched.select("id").unionByName(handled.select("id")))
         again = F.when(F.col("_handled"), now_literal(now)).otherwise(F.col("fetched_at"))
         moved = moved.join(handled, "id", "left").withColumn("fetched_at", again).checkpoint()
+        del current, handled, touched  # with their files
+        release(df.sparkSession)
         replies.merge(upsert_replies(replies.of(ids), fresh), ids)
         issues.merge(moved, texts=texts)
 
