@@ -410,7 +410,7 @@ def test_files_of_a_finished_step_are_deleted(spark, tmp_path):
 
     before = shuffled()
     del kept
-    release(spark)
+    release(spark, every=0)
     for _ in range(50):  # the cleaner works beside the driver
         if shuffled() < before:
             break
